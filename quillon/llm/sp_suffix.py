@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .textbatch import text_slices
-from .tokens import WHOLE, ChunkEncoder
+from .tokens import WHOLE, ChunkEncoder, Coded, in_turn
 
 MARK = "▁"
 
@@ -131,7 +131,7 @@ class SuffixEncoder:
         """Runs of marks with the characters that follow, of a text with the leading mark that the model adds."""
         return re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)) if text else []
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+    def encode_chunks(self, chunks: list[str]) -> Coded:
         """For ChunkEncoder: a mark alone stands for an empty text."""
         lists = [self.chunks(c.removeprefix(WHOLE)) if c.startswith(WHOLE) else [] if c == MARK else [c] for c in chunks]
         if len(self.parts) > self.MOST:
@@ -139,7 +139,7 @@ class SuffixEncoder:
         cut = [[p for c in x for p in self.cut.split(c)] for x in lists]
         if new := list({p for x in cut for p in x if p not in self.parts}):
             self._learn(new)
-        return [[i for p in x for i in self.parts[p]] for x in cut]
+        return in_turn(chunks, [[i for p in x for i in self.parts[p]] for x in cut])
 
     def chunk_encoder(self) -> ChunkEncoder:
         return ChunkEncoder(self.encode_chunks, MARK, MARK, re.compile(f"  |^ | $|{MARK}"))

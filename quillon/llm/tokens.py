@@ -21,13 +21,48 @@ _RUN = re.compile(r"\s (?=\s|$)")
 WHOLE = "\0whole\0"  # before texts that are encoded as they are
 
 
+_SPACED = re.compile(r" [^\s\x1c-\x1f]+")
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?#$%&*|]+)?")
+Coded = tuple[list[str], np.ndarray, np.ndarray]  # chunks in some order, their ids, the number of ids of each
+
+
+def in_turn(chunks: list[str], coded: list[list[int]]) -> Coded:
+    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+    return chunks, np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths
+
+
+class Library:
+    """Chunks through the tokenizers library: most of them joined to one text, whose ids are then cut at the chunks' ends."""
+
+    def __init__(self, path: str, kind: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.tokenizer.encode_special_tokens = True
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        # 'byte': bytes of each id, a character of its name for each; 'word': whether the id ends a word
+        self.of_id = np.array([len(x) if kind == "byte" else x.endswith("</w>") for x in names], np.int64)
+
+    def __call__(self, chunks: list[str]) -> Coded:
+        if self.kind == "byte":
+            size = [len(c.encode("utf-8", "replace")) if _SPACED.fullmatch(c) else 0 for c in chunks]
+        else:  # words: a run of letters is one, a run of marks after it another
+            size = [(2 if m[1] else 1) if (m := _PLAIN.fullmatch(c)) else 0 for c in chunks]
+        joined, single = [c for c, n in zip(chunks, size) if n], [c for c, n in zip(chunks, size) if not n]
+        ids = np.array(self.tokenizer.encode(("" if self.kind == "byte" else " ").join(joined), add_special_tokens=False).ids, np.uint32)
+        ends = np.searchsorted(np.cumsum(self.of_id[ids]), np.cumsum([n for n in size if n])) + 1
+        order, rest, lengths = in_turn(single, [e.ids for e in self.tokenizer.encode_batch_fast([c.removeprefix(WHOLE) for c in single], add_special_tokens=False)])
+        return joined + order, np.concatenate((ids, rest)), np.concatenate((np.diff(ends, prepend=0), lengths)).astype(np.int64)
+
+
 class ChunkEncoder:
-    """encode_chunks: ids of each chunk, or of each text after WHOLE. lead, first: what stands before a later and the first
-    chunk in place of its space. odd: matches texts that must not be cut."""
+    """encode_chunks: ids of chunks, and of texts after WHOLE. lead, first: what stands before a later and the first chunk in
+    place of its space. odd: matches texts that must not be cut."""
 
-    MOST = 600_000  # chunks that a worker remembers; later ones are encoded for their batch alone
+    MOST = 1_000_000  # chunks that a worker remembers; later ones are encoded for their batch alone
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[list[int]]], lead: str, first: str, odd: re.Pattern[str] | None):
+    def __init__(self, encode_chunks: Callable[[list[str]], Coded], lead: str, first: str, odd: re.Pattern[str] | None):
         self.encode_chunks, self.lead, self.first, self.odd = encode_chunks, lead, first, odd
         self.index: dict[str, int] = {}
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
@@ -36,24 +71,17 @@ class ChunkEncoder:
     @cache
     def get(cls, path: str, kind: str) -> ChunkEncoder:
         """kind: 'byte' (a space belongs to the following chunk) or 'word' (white space is dropped)."""
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        run = lambda chunks: [e.ids for e in tokenizer.encode_batch_fast([c.removeprefix(WHOLE) for c in chunks], add_special_tokens=False)]
-        return cls(run, " ", "", _RUN) if kind == "byte" else cls(run, "", "", None)
+        return cls(Library(path, kind), " ", "", _RUN) if kind == "byte" else cls(Library(path, kind), "", "", None)
 
     def _learn(self, chunks: list[str]) -> None:
-        coded = self.encode_chunks(chunks)
+        chunks, coded, lengths = self.encode_chunks(chunks)
         k, n = len(self.index), int(self.ends[len(self.index)])
-        ends = n + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
         while k + len(chunks) + 1 > len(self.ends):
             self.ends = np.resize(self.ends, 2 * len(self.ends))
-        while len(ends) and ends[-1] > len(self.ids):
+        while n + len(coded) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[n : ends[-1] if len(ends) else n] = np.fromiter(chain.from_iterable(coded), np.uint32)
-        self.ends[k + 1 : k + 1 + len(chunks)] = ends
+        self.ids[n : n + len(coded)] = coded
+        self.ends[k + 1 : k + 1 + len(chunks)] = n + np.cumsum(lengths)
         self.index.update(zip(chunks, range(k, k + len(chunks)), strict=True))
 
     def _rows(self, chunks: list[str]) -> np.ndarray:
