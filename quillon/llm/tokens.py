@@ -50,7 +50,7 @@ class Library:
         else:  # words: a run of letters is one, a run of marks after it another
             size = [(2 if m[1] else 1) if (m := _PLAIN.fullmatch(c)) else 0 for c in chunks]
         joined, single = [c for c, n in zip(chunks, size) if n], [c for c, n in zip(chunks, size) if not n]
-        ids = np.array(self.tokenizer.encode(("" if self.kind == "byte" else " ").join(joined), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([("" if self.kind == "byte" else " ").join(joined)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.searchsorted(np.cumsum(self.of_id[ids]), np.cumsum([n for n in size if n])) + 1
         order, rest, lengths = in_turn(single, [e.ids for e in self.tokenizer.encode_batch_fast([c.removeprefix(WHOLE) for c in single], add_special_tokens=False)])
         return joined + order, np.concatenate((ids, rest)), np.concatenate((np.diff(ends, prepend=0), lengths)).astype(np.int64)
