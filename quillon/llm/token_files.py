@@ -102,7 +102,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_i
         if held:
             yield row()
 
-    ordered = docs.where("doc_id is not null").select("doc_id", "text").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.where("doc_id is not null").select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInPandas(write, "part int, seq int, start long, n_ids long, image binary"), "token-files", "uncompressed")
 
 

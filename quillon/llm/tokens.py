@@ -85,10 +85,11 @@ class ChunkEncoder:
         self.index.update(zip(chunks, range(k, k + len(chunks)), strict=True))
 
     def _rows(self, chunks: list[str]) -> np.ndarray:
-        get = self.index.get
-        if new := list(dict.fromkeys(x for x in chunks if get(x) is None)):
-            self._learn(new)
-        return np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        at = list(map(self.index.get, chunks))
+        if None in at:
+            self._learn(list({c for c, k in zip(chunks, at) if k is None}))
+            at = list(map(self.index.get, chunks))
+        return np.array(at, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids). Null is empty."""
