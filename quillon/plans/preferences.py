@@ -51,9 +51,9 @@ def _affinity(read):
     return p.weighted(parts)
 
 
-@query(f"SELECT p_partkey, round({_AFF}, 4) AS affinity FROM part")
+@query(f"SELECT p_partkey, round({_AFF}, 10) AS affinity FROM part")
 def affinity_score(read):
-    return read("part").select("p_partkey", F.round(_affinity(read), 4).alias("affinity"))
+    return read("part").select("p_partkey", F.round(_affinity(read), 10).alias("affinity"))
 
 
 @query(f"WITH a AS (SELECT *, {_AFF} AS aff, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER (PARTITION BY p_type) AS n FROM part), b AS (SELECT *, min(aff) OVER (PARTITION BY p_type) AS lo, max(aff) OVER (PARTITION BY p_type) AS hi FROM a) SELECT p_type, p_partkey, round(0.65::DOUBLE * greatest(0.0::DOUBLE, 1 - (r - 1) / greatest(10, n - 1)::DOUBLE) + 0.35::DOUBLE * CASE WHEN hi - lo < 1e-9 THEN 0.5::DOUBLE ELSE (aff - lo) / (hi - lo) END, 6) AS final FROM b")
