@@ -176,7 +176,7 @@ def test_windows_cover():
 
 def test_top_k(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    hot = df.where("vec_id = 3").select(F.explode(F.sequence(F.lit(10000), F.lit(10040))).cast("long").alias("vec_id"), "embedding", "label")
+    hot = df.where("vec_id = 3").select(F.explode(F.expr("sequence(10000L, 10040L)")).alias("vec_id"), "embedding", "label")
     bad = spark.createDataFrame([(20000, None, 1), (20100, [float("nan")] * 64, 1), (None, [1.0] * 64, 1)], "vec_id long, embedding array<float>, label int")
     v = mtree.integer_vectors(df.unionByName(hot).unionByName(bad))
     rows = v.collect()
