@@ -13,7 +13,8 @@ NATURAL = ("cotton", "linen", "wool", "silk", "cashmere", "hemp", "alpaca", "moh
 OTHER = ("polyester", "elastane", "nylon", "viscose", "modal", "acrylic", "lyocell", "acetate", "cupro", "rayon")
 ALIASES = {"spandex": "elastane", "lycra": "elastane", "polyamide": "nylon", "tencel": "lyocell", "flax": "linen", "merino": "wool", "coton": "cotton", "laine": "wool", "soie": "silk"}
 SCHEMA = "struct<fibers: array<struct<fiber: string, pct: double, component: string, recycled: boolean, organic: boolean>>, primary_fiber: string, natural_ratio: double, incomplete: boolean>"
-_SHARE = re.compile(r"(\d+(?:\.\d+)?)\s*%\s*([a-zA-ZÀ-ÿ ]+?)(?=[,;/.&]|\d|$)|([a-zA-ZÀ-ÿ ]+?)\s*(\d+(?:\.\d+)?)\s*%")
+_FIRST = re.compile(r"(?P<pct>\d+(?:\.\d+)?)\s*%\s*(?P<name>[a-zA-ZÀ-ÿ][a-zA-ZÀ-ÿ ]*)")
+_LAST = re.compile(r"(?P<name>[a-zA-ZÀ-ÿ][a-zA-ZÀ-ÿ ]*?)\s*(?P<pct>\d+(?:\.\d+)?)\s*%")
 _LABEL = re.compile(r"([A-Za-z ]+):")
 
 
@@ -35,7 +36,9 @@ def parse(text: str | None) -> dict:
         component = label[1].strip().lower() if label else "main"
         if component in ("shell", "body", "main", "outer"):
             component = "main"
-        shares = [(m[2] or m[3], float(m[1] or m[4])) for m in _SHARE.finditer(segment)]
+        body = segment.strip()[label.end() :] if label else segment
+        shape = _FIRST if re.match(r"\s*\d", body) else _LAST  # percent first or percent last
+        shares = [(m["name"], float(m["pct"])) for m in shape.finditer(body)]
         if not shares and not found and (f := fiber(segment)) and len(segment.split()) <= 12:
             shares = [(segment, 100.0)]
         if shares and main is None:

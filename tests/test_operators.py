@@ -40,7 +40,7 @@ def test_arrays(spark):
     ("s", "primary", "ratio", "incomplete"),
     [
         ("78% cotton, 22% polyester. Wash cold", "cotton", 0.78, False), ("95% wool, 5% spandex", "wool", 0.95, False), ("1% elastane", None, None, True),
-        ("Shell: 96% cotton, 4% elastane; Lining: 100% polyester", "cotton", 0.96, False), ("silk", "silk", 1.0, False), ("", None, None, False), (None, None, None, False),
+        ("Shell: 96% cotton, 4% elastane; Lining: 100% polyester", "cotton", 0.96, False), ("silk", "silk", 1.0, False), ("polyester 65% cotton 35%", "polyester", 0.35, False), ("", None, None, False), (None, None, None, False),
     ],
 )
 def test_material(s, primary, ratio, incomplete):
