@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, small_batches
 
 # Titles and replacement given names by script and gender.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Sr": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Sra": "f", "Mme": "f", "Madame": "f", "Dr": "n", "г-н": "m", "г-жа": "f", "κ.": "m", "κα": "f"}
@@ -103,7 +103,7 @@ def canonical(kind: str, surface: str) -> str:
     return re.sub(r"\s", "", surface).lower()
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of a canonical entity, itself canonical."""
     tweak = f"{kind}|{attempt}"
@@ -199,6 +199,7 @@ def replace_private(docs: DataFrame, secret: str = "surrogates", most: int = 100
     """All columns of docs with the text's entities replaced, and `entities`: their places in the original, kinds and surrogates.
 
     Exceptional entities travel with the tasks, `most` at most; more of them raise an error that asks for another secret."""
+    small_batches(docs.sparkSession)
     key, rare = _key(secret), exceptions(docs, secret)
     few = rare.limit(most + 1).collect()
     if len(few) > most:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .textbatch import as_bytes
 
 NAMES = ("length", "upper", "letters", "digits", "marks", "shouts", "bars", "lines", "word_length", "long_words", "distinct", "top_word", "repeats", "same_lines", "deflate", "stops", "commas")
@@ -76,6 +77,7 @@ def held_out(doc_id="doc_id"):
 
 def train(documents: DataFrame, labels: DataFrame, most: int = 12_000, pairs: int = 60_000) -> dict:
     """Fit on at most `most` labelled rows outside the held-out third."""
+    small_batches(documents.sparkSession)
     rows = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most `most` rows are broadcast
     found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "quality", feature_column("text").alias("x")).orderBy("doc_id").limit(most).collect()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,6 +30,21 @@ def as_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: nothing to trim
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
 def text_slices(pdf: pd.DataFrame, column: str, limit: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Cut a batch into row ranges of about `limit` characters (one text at least), so memory stays bounded."""
     sizes = pdf[column].map(lambda t: 0 if t is None else len(t)).to_numpy().cumsum() if len(pdf) else np.zeros(0)
@@ -35,6 +53,7 @@ def text_slices(pdf: pd.DataFrame, column: str, limit: int = 4_000_000) -> Itera
         stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit, "right")))
         yield pdf.iloc[start:stop]
         start = stop
+    release()
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -60,7 +60,7 @@ class ChunkEncoder:
     """encode_chunks: ids of chunks, and of texts after WHOLE. lead, first: what stands before a later and the first chunk in
     place of its space. odd: matches texts that must not be cut."""
 
-    MOST = 1_000_000  # chunks that a worker remembers; later ones are encoded for their batch alone
+    MOST = 500_000  # chunks that a worker remembers; later ones are encoded for their batch alone
 
     def __init__(self, encode_chunks: Callable[[list[str]], Coded], lead: str, first: str, odd: re.Pattern[str] | None):
         self.encode_chunks, self.lead, self.first, self.odd = encode_chunks, lead, first, odd
@@ -71,7 +71,11 @@ class ChunkEncoder:
     @cache
     def get(cls, path: str, kind: str) -> ChunkEncoder:
         """kind: 'byte' (a space belongs to the following chunk) or 'word' (white space is dropped)."""
-        return cls(Library(path, kind), " ", "", _RUN) if kind == "byte" else cls(Library(path, kind), "", "", None)
+        if kind == "word":
+            return cls(Library(path, kind), "", "", None)
+        encoder = cls(Library(path, kind), " ", "", _RUN)
+        encoder.MOST = 1_200_000
+        return encoder
 
     def _learn(self, chunks: list[str]) -> None:
         chunks, coded, lengths = self.encode_chunks(chunks)
