@@ -152,6 +152,15 @@ def sanitize_terms(read):
     return read("benchmark").select("item_id", F.slice(F.filter(tokens(F.col("text")), lambda t: F.length(t) > 1), 1, 20).alias("terms"))
 
 
+@query(f"""WITH x AS (SELECT p_partkey, list_concat(list_filter({_TOK.format('p_name')}, lambda t: len(t) > 1), coalesce({_SYN_SQL}[lower(p_type)], [lower(p_type)])) AS ts FROM part)
+SELECT p_partkey, array_to_string(list_filter(ts, lambda t, i: list_position(ts, t) = i), ' ') AS text FROM x""")
+def expansion_text(read):
+    """The terms of a query and the words of its expanded facets, in first-seen order."""
+    terms = F.filter(tokens(F.col("p_name")), lambda t: F.length(t) > 1)
+    words = F.flatten(F.transform(expand(F.array(F.lower("p_type")), _SYN), lambda w: F.split(w, " ")))
+    return read("part").select("p_partkey", F.array_join(F.array_distinct(F.concat(terms, words)), " ").alias("text"))
+
+
 @query("SELECT k AS cache_key, count(*) AS hits FROM (SELECT sha256('v1:' || trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g'))) AS k FROM conversations WHERE role = 'user') GROUP BY k")
 def cache_key_lookup(read):
     key = F.sha2(F.concat(F.lit("v1:"), F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\r]+", " "))), 256)

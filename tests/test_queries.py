@@ -20,7 +20,7 @@ def duck(sf_dir):
 def plain(v):
     if v is None or str(v) in ("NaT", "<NA>", "nan"):
         return None
-    if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "iuf" and not getattr(v, "ndim", 0):
+    if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in ("i", "u", "f") and not getattr(v, "ndim", 0):
         return None if math.isnan(v) else round(float(v), 6)
     return tuple(v) if hasattr(v, "__iter__") and not isinstance(v, str) else str(v)
 
