@@ -142,7 +142,7 @@ class SuffixEncoder:
         return in_turn(chunks, [[i for p in x for i in self.parts[p]] for x in cut])
 
     def chunk_encoder(self) -> ChunkEncoder:
-        return ChunkEncoder(self.encode_chunks, MARK, MARK, re.compile(f"  |^ | $|{MARK}"))
+        return ChunkEncoder(self.encode_chunks, MARK, MARK, rf"  |\A | \n?\z|{MARK}|\x00")
 
     def decode(self, ids: list[int]) -> str:
         if self.first_byte <= min(ids, default=self.last_byte + 1) <= self.last_byte:  # some are bytes

@@ -8,24 +8,29 @@ texts are given to the library whole."""
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 from functools import cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_RUN = re.compile(r"\s (?=\s|$)")
-WHOLE = "\0whole\0"  # before texts that are encoded as they are
+_SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"  # white space, for Arrow's patterns
+_RUN = rf"[{_SPACE}] (?:[{_SPACE}]|\z)"
+_MARKS = r"\x00"
+WHOLE, FIRST = "\0whole\0", "\0first\0"  # before texts that are encoded as they are (as are all with a zero), and before first chunks
 
-
-_SPACED = re.compile(r" [^\s\x1c-\x1f]+")
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?#$%&*|]+)?")
+_SPACED = rf"\A [^{_SPACE}]+\z"
+_WORD = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_MARKED = _WORD + r"[.,;:!?#$%&*|]+\z"
 Coded = tuple[list[str], np.ndarray, np.ndarray]  # chunks in some order, their ids, the number of ids of each
 
 
+def _matches(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+
+
 def in_turn(chunks: list[str], coded: list[list[int]]) -> Coded:
     lengths = np.fromiter(map(len, coded), np.int64, len(coded))
     return chunks, np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths
@@ -45,24 +50,25 @@ class Library:
         self.of_id = np.array([len(x) if kind == "byte" else x.endswith("</w>") for x in names], np.int64)
 
     def __call__(self, chunks: list[str]) -> Coded:
+        text = pa.array(chunks, pa.large_string())
         if self.kind == "byte":
-            size = [len(c.encode("utf-8", "replace")) if _SPACED.fullmatch(c) else 0 for c in chunks]
+            size = np.where(_matches(text, _SPACED), pc.binary_length(text).to_numpy(), 0)
         else:  # words: a run of letters is one, a run of marks after it another
-            size = [(2 if m[1] else 1) if (m := _PLAIN.fullmatch(c)) else 0 for c in chunks]
-        joined, single = [c for c, n in zip(chunks, size) if n], [c for c, n in zip(chunks, size) if not n]
+            size = np.where(_matches(text, _WORD + r"\z"), 1, 2 * _matches(text, _MARKED))
+        joined, single = list(compress(chunks, size > 0)), list(compress(chunks, size == 0))
         ids = np.array(self.tokenizer.encode_batch_fast([("" if self.kind == "byte" else " ").join(joined)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.searchsorted(np.cumsum(self.of_id[ids]), np.cumsum([n for n in size if n])) + 1
+        ends = np.searchsorted(np.cumsum(self.of_id[ids]), np.cumsum(size[size > 0])) + 1
         order, rest, lengths = in_turn(single, [e.ids for e in self.tokenizer.encode_batch_fast([c.removeprefix(WHOLE) for c in single], add_special_tokens=False)])
         return joined + order, np.concatenate((ids, rest)), np.concatenate((np.diff(ends, prepend=0), lengths)).astype(np.int64)
 
 
 class ChunkEncoder:
     """encode_chunks: ids of chunks, and of texts after WHOLE. lead, first: what stands before a later and the first chunk in
-    place of its space. odd: matches texts that must not be cut."""
+    place of its space. odd: an Arrow pattern of texts that must not be cut. index: chunks without lead, first chunks after FIRST."""
 
     MOST = 500_000  # chunks that a worker remembers; later ones are encoded for their batch alone
 
-    def __init__(self, encode_chunks: Callable[[list[str]], Coded], lead: str, first: str, odd: re.Pattern[str] | None):
+    def __init__(self, encode_chunks: Callable[[list[str]], Coded], lead: str, first: str, odd: str):
         self.encode_chunks, self.lead, self.first, self.odd = encode_chunks, lead, first, odd
         self.index: dict[str, int] = {}
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
@@ -72,13 +78,15 @@ class ChunkEncoder:
     def get(cls, path: str, kind: str) -> ChunkEncoder:
         """kind: 'byte' (a space belongs to the following chunk) or 'word' (white space is dropped)."""
         if kind == "word":
-            return cls(Library(path, kind), "", "", None)
-        encoder = cls(Library(path, kind), " ", "", _RUN)
+            return cls(Library(path, kind), "", "", _MARKS)
+        encoder = cls(Library(path, kind), " ", "", f"{_RUN}|{_MARKS}")
         encoder.MOST = 1_200_000
         return encoder
 
-    def _learn(self, chunks: list[str]) -> None:
-        chunks, coded, lengths = self.encode_chunks(chunks)
+    def _learn(self, named: dict[str, str]) -> None:
+        """named: the chunk of each text to encode."""
+        texts, coded, lengths = self.encode_chunks(list(named))
+        chunks = [named[t] for t in texts]
         k, n = len(self.index), int(self.ends[len(self.index)])
         while k + len(chunks) + 1 > len(self.ends):
             self.ends = np.resize(self.ends, 2 * len(self.ends))
@@ -88,28 +96,34 @@ class ChunkEncoder:
         self.ends[k + 1 : k + 1 + len(chunks)] = n + np.cumsum(lengths)
         self.index.update(zip(chunks, range(k, k + len(chunks)), strict=True))
 
-    def _rows(self, chunks: list[str]) -> np.ndarray:
+    def _rows(self, chunks: list[str], lead: str, skip: int = 0) -> np.ndarray:
+        """Places of chunks in the index; new ones are encoded with lead in place of their first `skip` characters."""
         at = list(map(self.index.get, chunks))
         if None in at:
-            self._learn(list({c for c, k in zip(chunks, at) if k is None}))
-            at = list(map(self.index.get, chunks))
+            new = [k for k, x in enumerate(at) if x is None]
+            self._learn({lead + chunks[k][skip:]: chunks[k] for k in new})
+            for k in new:
+                at[k] = self.index[chunks[k]]
         return np.array(at, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids). Null is empty."""
         kept = len(self.index)
         texts = [t or "" for t in texts]
-        whole = [(k, t) for k, t in enumerate(texts) if self.odd and self.odd.search(t)]
-        for k, _ in whole:
-            texts[k] = ""
-        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        column = pa.array(texts, pa.large_string())
+        whole = [(k, texts[k]) for k in np.flatnonzero(_matches(column, self.odd)).tolist()]
+        if whole:
+            for k, _ in whole:
+                texts[k] = ""
+            column = pa.array(texts, pa.large_string())
+        parts = pc.split_pattern(column, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.values.dictionary_encode() if len(parts.values) else pa.array([""], pa.large_string()).dictionary_encode()
-        at = self._rows([self.lead + x for x in coded.dictionary.to_pylist()])[coded.indices.to_numpy()][: offsets[-1]]
+        at = self._rows(coded.dictionary.to_pylist(), self.lead)[coded.indices.to_numpy()][: offsets[-1]]
         if self.first != self.lead and len(texts):
-            at[offsets[:-1]] = self._rows([self.first + t.partition(" ")[0] for t in texts])
+            at[offsets[:-1]] = self._rows([FIRST + t.partition(" ")[0] for t in texts], self.first, len(FIRST))
         for k, t in whole:
-            at[offsets[k]] = self._rows([WHOLE + t])[0]
+            at[offsets[k]] = self._rows([WHOLE + t], "")[0]
         lengths = self.ends[at + 1] - self.ends[at]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         ids = self.ids[np.arange(ends[-1]) + np.repeat(self.ends[at] - ends[:-1], lengths)]
