@@ -96,8 +96,8 @@ def _shared(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     if not len(v) or (k := _digest(v)) in seen:
                         continue
                     seen.add(k)
-                    own = v[v < limit]
-                    if len(own) > _missable(len(v), num, den):
+                    own = v[v < limit]  # of every class: also those that need none are partners of others
+                    if len(own):
                         owner.append(np.full(len(own), len(keys), np.uint32))
                         values.append(own)
                         keys.append(_class(k))

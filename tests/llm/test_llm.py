@@ -145,6 +145,21 @@ def test_jaccard(spark, docs, odd, empty, width, num, den):
         assert got == brute_groups(texts(df), width, num, den)
 
 
+@pytest.mark.parametrize("width,num,den", [(3, 90, 100), (5, 80, 100)])
+def test_jaccard_short(spark, width, num, den):
+    draw, t, want = random.Random(width), {}, {}
+    for i in range(0, 6000, 2):  # pairs of 5 to 30 words that differ by one word, each pair with words of its own
+        w = [f"p{i}w{k}" for k in range(draw.randrange(5, 31))]
+        k = draw.choice([0, len(w) - 1, draw.randrange(len(w))])
+        other = w[:k] + draw.choice([[], ["x"], [w[k], "x"]]) + w[k + 1 :]
+        pair = {i: " ".join(w), i + 1: " ".join(other)}
+        t |= pair
+        want |= brute_groups(pair, width, num, den)
+    df = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_groups(df, width, num, den).collect()}
+    assert {i: (got.get(i), x) for i, x in want.items() if got.get(i) != x} == {} and len(got) == len(want)
+
+
 def test_passages(spark, odd, empty):
     draw = random.Random(3)
     word = lambda n: [f"v{draw.randrange(10**6)}" for _ in range(n)]
