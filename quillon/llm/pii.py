@@ -1,9 +1,12 @@
 """Surrogates for personal data: keyed, consistent in type, format, gender and script, distinct for distinct entities.
 
-An entity's canonical form (case and separators dropped) is mapped by a keyed permutation of all strings of its shape, so equal
-entities agree across the corpus and different ones of one shape differ by construction. Names take a given name from the
-list of the same script and gender and a permuted surname. A check over all distinct entities finds surrogates that two
-entities share or that equal their entity; those entities take their next surrogate. Null texts stay null."""
+An entity's canonical form (case and separators dropped) is mapped by a keyed permutation, without fixed points, of all strings
+of its shape, so equal entities agree across the corpus and different ones of one shape differ by construction. A person's
+surnames are permuted by themselves, so 'Mr John Smith', 'Mr Smith' and an untitled 'John Smith', 'Smith' or 'John' elsewhere
+in the same document keep one name; the given name comes from the list of the same script and gender, lengthened where later
+surrogates need more. People are found by a title; a name that no title introduces in its document is not. A check over all
+distinct entities finds surrogates that two entities share or that equal their entity; those entities take their next
+surrogate. Null texts stay null."""
 
 from __future__ import annotations
 
@@ -30,8 +33,8 @@ GIVEN = {
     ("greek", "m"): ("Γιώργος", "Δημήτρης", "Κώστας", "Νίκος"),
     ("greek", "f"): ("Άννα", "Ελένη", "Μαρία", "Σοφία"),
 }
-_ALPHABETS = {"d": "0123456789", "h": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "c": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "g": "αβγδεζηθικλμνξοπρστυφχψω"}
-_CLASS = {ch: k for k in "dacg" for ch in _ALPHABETS[k]}
+_ALPHABETS = {"d": "0123456789", "h": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "c": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "g": "αβγδεζηθικλμνξοπρστυφχψω", "e": "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "k": "άέήίόύώ"}
+_CLASS = {ch: k for k in "dacgek" for ch in _ALPHABETS[k]}
 _NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+|[А-Я][а-я-]+|[Α-ΩΆ-Ώ][α-ωά-ώ]+"
 # In order of priority: kind, trigger that must be in the text, pattern.
 PATTERNS = [
@@ -42,8 +45,9 @@ PATTERNS = [
     ("ip", re.compile(r"\d\.\d"), re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")),
     ("phone", re.compile(r"[+(]\d|\d-\d"), re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)")),
     ("ssn", re.compile(r"\d{3}-\d\d-"), re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("person", re.compile("|".join(map(re.escape, TITLES))), re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.?\s+(?:(?:{_NAME})\s+)?(?:{_NAME})")),
+    ("person", re.compile("|".join(map(re.escape, TITLES))), re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\.?\s+(?:(?:{_NAME})\s+)?(?:{_NAME})(?: (?:{_NAME})){{0,2}}")),
 ]
+_WORD = re.compile(rf"(?<!\w)(?:{_NAME})")
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -54,33 +58,79 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text):
                 if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
                     continue
-                if not any(m.start() < e and s < m.end() for s, e, _ in found):
-                    found.append((m.start(), m.end(), kind))
+                end = m.start() + _bare(m[0]) if kind == "person" else m.end()
+                if not any(m.start() < e and s < end for s, e, _ in found):
+                    found.append((m.start(), end, kind))
     return sorted(found)
 
 
-def _permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
-    """A keyed permutation of range(size): a balanced Feistel network with cycle walking."""
+def _bare(name: str) -> int:
+    """The length of name without a possessive ending or marks behind it."""
+    return len((name[:-2] if name[-2:] in ("'s", "’s") else name).rstrip("'’-"))
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str, tuple[int, int] | None]]:
+    """find() with the canonical entity of each place, and untitled repeats of a person's names with the range of names they give."""
+    found = find(text)
+    out = [(a, b, kind, canonical(kind, text[a:b]), None) for a, b, kind in found]
+    forms: dict[tuple[str, ...], tuple[str, tuple[int, int]]] = {}
+    for a, b, kind, entity, _ in out:
+        if kind == "person":
+            names = text[a:b].split()[1:]
+            for i in range(len(names)):
+                for j in range(i + 1, len(names) + 1):
+                    forms.setdefault(tuple(names[i:j]), (entity, (i, j)))
+    if not forms:
+        return out
+    longest, at, free = max(map(len, forms)), 0, []
+    for m in _WORD.finditer(text):  # capitalised words outside the places found
+        while at < len(found) and found[at][1] <= m.start():
+            at += 1
+        if at == len(found) or m.end() <= found[at][0]:
+            free.append((m.start(), m.start() + _bare(m[0])))
+    k = 0
+    while k < len(free):
+        for n in range(min(longest, len(free) - k), 0, -1):
+            some = free[k : k + n]
+            if all(text[x[1] : y[0]].isspace() for x, y in zip(some, some[1:])) and (hit := forms.get(tuple(text[a:b] for a, b in some))):
+                out.append((some[0][0], some[-1][1], "person", *hit))
+                k += n
+                break
+        else:
+            k += 1
+    return sorted(out, key=lambda x: x[:2])
+
+
+def _permute(value: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
+    """A keyed permutation of range(size), or its inverse: a balanced Feistel network with cycle walking."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
     while True:
         left, right = value >> half, value & mask
-        for r in range(8):
-            f = hmac.digest(key, tweak + bytes([r]) + right.to_bytes(width, "big"), "sha256")
-            left, right = right, left ^ (int.from_bytes(f * (1 + width // 32), "big") & mask)
+        for r in range(7, -1, -1) if back else range(8):
+            f = hmac.digest(key, tweak + bytes([r]) + (left if back else right).to_bytes(width, "big"), "sha256")
+            f = int.from_bytes(f * (1 + width // 32), "big") & mask
+            left, right = (right ^ f, left) if back else (right, left ^ f)
         value = (left << half) | right
         if value < size:
             return value
 
 
+def _derange(value: int, size: int, key: bytes, tweak: bytes) -> int:
+    """One step on a keyed cycle through all of range(size): a permutation that moves every value."""
+    return _permute((_permute(value, size, key, tweak) + 1) % size, size, key, tweak, True)
+
+
 def _shaped(chars: str, key: bytes, tweak: str, kinds: str | None = None) -> str:
-    """chars (lower case) permuted among the strings with the same classes of characters at each place; others stay."""
+    """chars (lower case) permuted among the strings with the same classes of characters at each place; others stay.
+
+    Only where no character has a class do they come back as they were."""
     classes = kinds or "".join(_CLASS.get(c, "-") for c in chars)
     value, size = 0, 1
     for c, k in zip(chars, classes):
         if k != "-":
             value, size = value * len(_ALPHABETS[k]) + _ALPHABETS[k].index(c), size * len(_ALPHABETS[k])
-    value, out = _permute(value, size, key, f"{tweak}|{classes}".encode()) if size > 1 else 0, []
+    value, out = _derange(value, size, key, f"{tweak}|{classes}".encode()) if size > 1 else 0, []
     for c, k in zip(reversed(chars), reversed(classes)):
         if k == "-":
             out.append(c)
@@ -90,6 +140,12 @@ def _shaped(chars: str, key: bytes, tweak: str, kinds: str | None = None) -> str
     return "".join(reversed(out))
 
 
+def _letters(tweak: str, key: bytes, count: int, script: str = "latin") -> str:
+    letters = _ALPHABETS[{"cyrillic": "c", "greek": "g"}.get(script, "a")]
+    value = int.from_bytes(hmac.digest(key, f"{tweak}|letters".encode(), "sha256"), "big")
+    return "".join(letters[value // len(letters) ** k % len(letters)] for k in range(count))
+
+
 def luhn(digits: str) -> bool:
     return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
 
@@ -110,40 +166,53 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind == "person":
         gender, *names = entity.split(" ")
         script = "cyrillic" if names[-1][0] in _ALPHABETS["c"] else "greek" if "Ͱ" <= names[-1][0] < "Ѐ" else "latin"
-        out = [_shaped(names[-1], key, f"{tweak}|{' '.join(names[:-1])}")]
+        # surnames don't depend on the given name, its gender or the attempt
+        out = [x if (x := _shaped(n, key, "person|surname")) != n else n + _letters(n, key, 1, script) for n in names[min(1, len(names) - 1) :]]
         if len(names) > 1:
-            given = GIVEN.get((script, gender)) or GIVEN.get((script, "m"))
-            out.insert(0, given[int.from_bytes(hmac.digest(key, f"{tweak}|{' '.join(names[:-1])}".encode(), "sha256")[:8], "big") % len(given)].lower())
+            given, own = GIVEN.get((script, gender)) or GIVEN.get((script, "m")), f"{tweak}|{' '.join(names)}"
+            at = int.from_bytes(hmac.digest(key, own.encode(), "sha256")[:8], "big") % len(given)
+            # after the first attempts the names grow by a letter each time, so a free one always comes
+            out.insert(0, given[at].lower() + _letters(own, key, max(0, attempt - 2), script))
         return f"{gender} {' '.join(out)}"
     if kind == "card" and luhn(entity):  # numbers with a right check digit keep one
         body = _shaped(entity[:-1], key, tweak + "|luhn")
         return next(body + c for c in "0123456789" if luhn(body + c))
+    if kind == "card":  # on along the cycle to the next one with a wrong check digit: distinct, and none of those above
+        new = _shaped(entity, key, tweak)
+        while luhn(new):
+            new = _shaped(new, key, tweak)
+        return new
     if kind == "ip":
-        v = _permute(int.from_bytes(bytes(map(int, entity.split("."))), "big"), 2**32, key, tweak.encode())
+        v = _derange(int.from_bytes(bytes(map(int, entity.split("."))), "big"), 2**32, key, tweak.encode())
         return ".".join(map(str, v.to_bytes(4, "big")))
     if kind == "phone":
         lead = 2 if entity.startswith("+1") else 3 if entity.startswith("+") else 0  # the country stays
         keep = entity[5:8] == "555" and lead == 2  # numbers reserved for fiction stay so
         free = entity[2:5] + entity[8:] if keep else entity[lead:]
         new = _shaped(free, key, tweak + "|" + entity[:lead])
+        while lead == 2 and not keep and new[3:6] == "555":
+            new = _shaped(new, key, tweak + "|" + entity[:lead])
         return entity[:lead] + (new[:3] + "555" + new[3:] if keep else new)
     if kind == "secret" and re.fullmatch("[0-9a-f]+", entity):
         return _shaped(entity, key, tweak, "h" * len(entity))
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         head, _, top = domain.rpartition(".")
-        return _shaped(f"{local}@{head}", key, tweak + "|" + top) + "." + top
+        new = _shaped(f"{local}@{head}", key, tweak + "|" + top)
+        if new == f"{local}@{head}":  # marks alone: nothing to permute
+            new = f"{local}{_letters(f'{tweak}|{entity}', key, attempt + 1)}@{head}"
+        return f"{new}.{top}"
     if kind == "iban":
         return entity[:2] + _shaped(entity[2:], key, tweak + "|" + entity[:2])
     return _shaped(entity, key, tweak)
 
 
-def render(kind: str, surface: str, new: str) -> str:
-    """new in the format of surface: separators, case and title as they were."""
+def render(kind: str, surface: str, new: str, part: tuple[int, int] | None = None) -> str:
+    """new in the format of surface: separators, case and title as they were. part: which of a person's names an untitled surface has."""
     if kind == "person":
         gap = re.split(r"(\s+)", surface)
-        names = iter(new.split(" ")[1:])
-        return "".join(gap[:1] + [x if x.isspace() else next(names).capitalize() for x in gap[1:]])
+        names, title = (iter(new.split(" ")[1:][slice(*part)]), []) if part else (iter(new.split(" ")[1:]), gap[:1])
+        return "".join(title + [x if x.isspace() else next(names).capitalize() for x in gap[len(title) :]])
     if kind == "ip":
         return new
     chars, out = iter(new.lstrip("+") if kind in ("card", "phone", "ssn") else new), []
@@ -155,7 +224,7 @@ def render(kind: str, surface: str, new: str) -> str:
         else:
             x = next(chars)
             out.append(x.upper() if c.isupper() else x)
-    return "".join(out)
+    return new if kind == "email" and len(new) > len(surface) else "".join(out)
 
 
 def _key(secret: str) -> bytes:
@@ -168,7 +237,7 @@ def exceptions(docs: DataFrame, secret: str) -> DataFrame:
 
     def entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = {(kind, canonical(kind, t[a:b])) for t in pdf["text"] if t for a, b, kind in find(t)}
+            rows = {(kind, entity) for t in pdf["text"] if t for _, _, kind, entity, _ in mentions(t)}
             yield pd.DataFrame([(k, e, surrogate(k, e, key)) for k, e in rows], columns=["kind", "entity", "new"])
 
     found = materialize(docs.select("text").mapInPandas(entities, "kind string, entity string, new string").distinct(), "entities")
@@ -211,9 +280,8 @@ def replace_private(docs: DataFrame, secret: str = "surrogates", most: int = 100
             texts, found = [], []
             for t in pdf["text"]:
                 parts, at, own = [], 0, []
-                for a, b, kind in find(t) if t else ():
-                    e = canonical(kind, t[a:b])
-                    new = render(kind, t[a:b], surrogate(kind, e, key, later.get((kind, e), 0)))
+                for a, b, kind, e, part in mentions(t) if t else ():
+                    new = render(kind, t[a:b], surrogate(kind, e, key, later.get((kind, e), 0)), part)
                     parts += [t[at:a], new]
                     at = b
                     own.append({"start": a, "end": b, "kind": kind, "surrogate": new})

@@ -265,6 +265,17 @@ def test_surrogates(spark, odd, empty):
         assert pii.replace_private(df).count() == df.count()
 
 
+def test_surrogates_people(spark):
+    rows = [(1, "Mr John Smith met Mr Smith. Later John Smith's friend saw Smith and John; Smithson stayed."), (2, "Dr Maria Garcia Lopez, then Lopez and Mrs Smith."), (3, "Smith alone"), (4, "Mr Éá and _@-.com")]
+    got = {r["doc_id"]: r for r in pii.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    _, given, sur, *_ = got[1]["text"].split()
+    assert got[1]["text"] == f"Mr {given} {sur} met Mr {sur}. Later {given} {sur}'s friend saw {sur} and {given}; Smithson stayed."
+    assert not any(x in got[2]["text"] for x in ("Maria", "Garcia", "Lopez", "Smith")) and got[2]["text"].endswith(f"Mrs {sur}.") and got[3]["text"] == "Smith alone"
+    assert not any(x in got[4]["text"] for x in ("Éá", "_@-.com"))
+    perm = [pii._derange(x, 700, b"k", b"t") for x in range(700)]
+    assert sorted(perm) == list(range(700)) and all(x != y for x, y in enumerate(perm))
+
+
 def test_quality(spark, sf_dir, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
