@@ -264,31 +264,53 @@ def exceptions(docs: DataFrame, secret: str) -> DataFrame:
     return total
 
 
+def _text_key(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _with_rare(base: DataFrame, rare: DataFrame) -> DataFrame:
+    """base with _rare: the exceptional entities of its text and their attempts, joined by the text's key."""
+
+    def entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = {(_text_key(t), kind, entity) for t in pdf["text"] if t for _, _, kind, entity, _ in mentions(t)}
+            yield pd.DataFrame(list(rows), columns=["_key", "kind", "entity"])
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(_key=[_text_key(t) if t else None for t in pdf["text"]])
+
+    own = base.select("text").mapInPandas(entities, "_key binary, kind string, entity string").distinct().join(rare, ["kind", "entity"])
+    per = materialize(own.groupBy("_key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_rare")), "rare")  # of one text
+    schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
+    return base.mapInPandas(keyed, schema + ", _key binary").join(per, "_key", "left").drop("_key")
+
+
 def replace_private(docs: DataFrame, secret: str = "surrogates", most: int = 100_000) -> DataFrame:
     """All columns of docs with the text's entities replaced, and `entities`: their places in the original, kinds and surrogates.
 
-    Exceptional entities travel with the tasks, `most` at most; more of them raise an error that asks for another secret."""
+    Up to `most` exceptional entities travel with the tasks; more of them are joined to the texts that have them."""
     small_batches(docs.sparkSession)
     key, rare = _key(secret), exceptions(docs, secret)
-    few = rare.limit(most + 1).collect()
-    if len(few) > most:
-        raise ValueError("more exceptional entities than a task may hold: use another secret")
-    later = {(r["kind"], r["entity"]): r["attempt"] for r in few}
+    few, base = rare.limit(most + 1).collect(), docs.drop("entities")
+    joined = len(few) > most
+    later = {} if joined else {(r["kind"], r["entity"]): r["attempt"] for r in few}
 
     def swap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, found = [], []
-            for t in pdf["text"]:
+            for t, rare in zip(pdf["text"], pdf["_rare"] if joined else [None] * len(pdf)):
                 parts, at, own = [], 0, []
+                attempts = {(r["kind"], r["entity"]): r["attempt"] for r in rare} if rare is not None else later
                 for a, b, kind, e, part in mentions(t) if t else ():
-                    new = render(kind, t[a:b], surrogate(kind, e, key, later.get((kind, e), 0)), part)
+                    new = render(kind, t[a:b], surrogate(kind, e, key, int(attempts.get((kind, e), 0))), part)
                     parts += [t[at:a], new]
                     at = b
                     own.append({"start": a, "end": b, "kind": kind, "surrogate": new})
                 texts.append(t if not own else "".join([*parts, t[at:]]))
                 found.append(own)
-            yield pdf.assign(text=texts, entities=found)
+            yield pdf.drop(columns="_rare", errors="ignore").assign(text=texts, entities=found)
 
-    base = docs.drop("entities")
     schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
-    return base.mapInPandas(swap, schema + ", entities array<struct<start: int, end: int, kind: string, surrogate: string>>")
+    full = _with_rare(base, rare) if joined else base
+    return full.mapInPandas(swap, schema + ", entities array<struct<start: int, end: int, kind: string, surrogate: string>>")

@@ -276,6 +276,14 @@ def test_surrogates_people(spark):
     assert sorted(perm) == list(range(700)) and all(x != y for x, y in enumerate(perm))
 
 
+def test_surrogates_many_given(spark):
+    names = [f"{a}{b}{c}" for a in "BCDF" for b in "aeiou" for c in "lmnrst"]
+    rows = [(k, f"Ms. {n} Li and Dr {n} Li, Ms. {n} Wu", k) for k, n in enumerate(names)]  # more of one surname than there are given names
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    near, far = ({r["doc_id"]: r for r in pii.replace_private(df, most=most).collect()} for most in (100_000, 10))
+    assert near == far and len({e["surrogate"] for r in near.values() for e in r["entities"]}) == 3 * len(names)
+
+
 def test_quality(spark, sf_dir, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
