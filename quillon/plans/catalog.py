@@ -48,6 +48,9 @@ def search_meta(read):
 
 @query("SELECT a.p_partkey AS first, b.p_partkey AS second FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 1) a, (SELECT * FROM part ORDER BY p_partkey LIMIT 40) b WHERE b.p_brand <> a.p_brand ORDER BY b.p_partkey LIMIT 1")
 def pick_pair(read):
-    few = read("part").orderBy("p_partkey").limit(40).select("p_partkey", "p_brand")
-    pairs = few.alias("a").join(few.alias("b"), (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.col("a.p_brand") != F.col("b.p_brand")))
-    return pairs.orderBy("a.p_partkey", "b.p_partkey").limit(1).select(F.col("a.p_partkey").alias("first"), F.col("b.p_partkey").alias("second"))
+    """The first item and the next one of another brand; the first two where all have one brand."""
+    part = read("part").select("p_partkey", "p_brand")
+    first = part.orderBy("p_partkey").limit(1).select(F.col("p_partkey").alias("first"), F.col("p_brand").alias("brand"))
+    rest = part.join(F.broadcast(first), F.col("p_partkey") > F.col("first"))  # one row
+    least = rest.groupBy("first").agg(F.min(F.when(F.col("p_brand") != F.col("brand"), F.col("p_partkey"))).alias("other"), F.min("p_partkey").alias("next"))
+    return least.select("first", F.coalesce("other", "next").alias("second"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import arrays, text
 from quillon.operators import maintenance, material, preferences, ranking, retrieval
+from quillon.plans.registry import QUERIES
 from quillon.sources import readers
 from quillon.streaming import limits
 
@@ -64,6 +65,12 @@ def test_ranking(spark):
     assert ranking.page_numbers(5, 20) == [1, None, 4, 5, 6, None, 20]
 
 
+def test_pick_pair(spark, tmp_path):
+    for name, brands, want in (("late", ["a"] * 60 + ["b"], (0, 60)), ("same", ["a"] * 5, (0, 1))):
+        spark.createDataFrame(list(enumerate(brands)), "p_partkey long, p_brand string").write.parquet(str(tmp_path / name / "part.parquet"))
+        assert tuple(QUERIES["pick_pair"](spark, str(tmp_path / name)).first()) == want
+
+
 def test_arguments():
     assert (retrieval.clamp_limit(None), retrieval.clamp_limit(0), retrieval.clamp_limit(9999)) == (120, 1, 500)
     with pytest.raises(ValueError):
