@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +19,59 @@ def elo_step(score: Column, won: Column, k: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(won, score + F.lit(k) * (1 - score)).otherwise(score - F.lit(k) * score)))
 
 
+def _same(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Whether each row but the first has the values of the row before it; null equals null."""
+    out = np.ones(max(0, len(table) - 1), bool)
+    for n in names:
+        x, y = table[n].slice(1), table[n].slice(0, len(out))
+        both = pc.and_(pc.is_null(x), pc.is_null(y))
+        out &= pc.or_(pc.fill_null(pc.equal(x, y), False), both).to_numpy().astype(bool)
+    return out
+
+
 def elo_replay(log: DataFrame, by: list[str], order: list[str], won: str, k: float = K, start: float = 0.5) -> DataFrame:
-    """(by, score, n): the ordered fold of each key's wins and losses. One key's log is one row's array."""
-    events = F.array_sort(F.collect_list(F.struct(*order, F.col(won).alias("won"))))
-    folded = F.aggregate(F.col("events"), F.lit(float(start)), lambda s, e: elo_step(s, e["won"], k))
-    return log.groupBy(*by).agg(events.alias("events")).select(*by, folded.alias("score"), F.size("events").alias("n"))
+    """(by, score, n): the ordered fold of each key's wins and losses.
+
+    With k and start in [0, 1] every step is s -> a*s + b and stays in range, and steps compose. Rows are dealt by ranges of key and
+    order, so a key's long log is cut; each task gives one (a, b) for each of its keys, and these are folded in order."""
+    if not (0 <= k <= 1 and 0 <= start <= 1):
+        raise ValueError("k and start must lie in [0, 1]")
+    names = [f"_k{i}" for i in range(len(by))]
+    keys = [F.col(c).alias(n) for c, n in zip(by, names)]
+    sort = [*names, *(f"_o{i}" for i in range(len(order))), "_won"]
+    rows = log.select(*keys, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.coalesce(F.col(won), F.lit(False)).alias("_won"))
+    dealt = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).select(*names, "_won", F.spark_partition_id().alias("_part"))
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seq = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            starts = np.concatenate(([0], np.flatnonzero(~_same(table, names)) + 1))
+            ends = np.append(starts[1:], len(table))
+            back = np.repeat(ends, ends - starts) - 1 - np.arange(len(table))
+            b = np.add.reduceat(np.where(table["_won"].to_numpy().astype(bool), k * (1.0 - k) ** back, 0.0), starts)
+            a, n = (1.0 - k) ** (ends - starts), ends - starts
+            runs = table.select([*names, "_part"]).take(pa.array(starts))
+            if held is not None:
+                runs, a, b, n = pa.concat_tables([held[0], runs]), np.append(held[1], a), np.append(held[2], b), np.append(held[3], n)
+                if _same(runs.slice(0, 2), names)[0]:
+                    a[1], b[1], n[1] = a[0] * a[1], b[0] * a[1] + b[1], n[0] + n[1]
+                    runs, a, b, n = runs.slice(1), a[1:], b[1:], n[1:]
+            yield from out(runs.slice(0, len(runs) - 1), seq, a[:-1], b[:-1], n[:-1])
+            held, seq = (runs.slice(len(runs) - 1), a[-1:], b[-1:], n[-1:]), seq + 1
+        if held is not None:
+            yield from out(held[0], seq, *held[1:])
+
+    def out(runs: pa.Table, seq: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        full = runs.append_column("_seq", pa.array(np.full(len(n), seq, np.int64))).append_column("_a", pa.array(a)).append_column("_b", pa.array(b)).append_column("_n", pa.array(n.astype(np.int64)))
+        yield from full.combine_chunks().to_batches()
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in dealt.dtypes if n != "_won") + ", _seq long, _a double, _b double, _n long"
+    pieces = dealt.mapInArrow(maps, schema).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_part", "_seq", "_a", "_b"))).alias("_m"), F.sum("_n").cast("int").alias("n"))
+    folded = F.aggregate("_m", F.lit(float(start)), lambda s, m: s * m["_a"] + m["_b"])  # one piece for each task
+    return pieces.select(*(F.col(n).alias(c) for c, n in zip(by, names)), folded.alias("score"), "n")
 
 
 def comparisons_to_sides(log: DataFrame, winner: str, loser: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,39 @@ def test_limits(spark):
     assert limits.fixed_window(ev, "k", "ts", "i", 3, 60).first()["admitted"] == 6
 
 
+def test_one_long_log(spark):
+    """A key with most rows is cut over tasks and gives what one pass gives."""
+    draw, t = random.Random(5), dt.datetime(2024, 1, 1)
+    rows, at = [], 0
+    for i in range(6000):
+        at += draw.choice([1, 2, 9, 40])
+        rows.append((None if i % 50 == 0 else 2**60 + i // 10 % 2 if i % 10 == 0 else 7, i, t + dt.timedelta(seconds=at), draw.random() < 0.5))
+    df = spark.createDataFrame(rows, "k long, i int, ts timestamp, bad boolean").repartition(5)
+    elo, ok, win, cut = {}, {}, {}, {}
+    for k, i, x, bad in rows:
+        s, n = elo.get(k, (0.5, 0))
+        elo[k] = (s + 0.1 * (1 - s) if bad else s - 0.1 * s, n + 1)
+        x = (x - t).total_seconds()
+        start, n, hits, good = win.get(k, (-1e9, 0, 0, 0))
+        start, n = (x, 1) if x - start >= 60 else (start, n + 1)
+        win[k] = (start, n, hits + 1, good + (n <= 3))
+        run, until, trips, no = cut.get(k, (0, -1e9, 0, 0))
+        shut = x < until
+        run = run if shut else run + 1 if bad else 0
+        trip = not shut and bad and run >= 3
+        cut[k] = (run, x + 30 if trip else until, trips + trip, no + shut)
+        if k is not None:
+            ok.setdefault(k, []).append((i, x))
+    got = {r["k"]: (r["score"], r["n"]) for r in preferences.elo_replay(df, ["k"], ["ts", "i"], "bad").collect()}
+    assert got.keys() == elo.keys() and all(abs(got[k][0] - elo[k][0]) < 1e-12 and got[k][1] == elo[k][1] for k in elo)
+    assert {r["k"]: (r["hits"], r["admitted"]) for r in limits.fixed_window(df, "k", "ts", "i", 3, 60).collect()} == {k: x[2:] for k, x in win.items()}
+    assert {r["k"]: (r["trips"], r["refused"]) for r in limits.breaker(df, "k", "ts", "i", "bad").collect()} == {k: x[2:] for k, x in cut.items()}
+    want = {i: a for x in ok.values() for (i, _), a in zip(x, limits.admit([s for _, s in x], 3, 60)[0])}
+    limited = limits.rate_limit(df.where("k is not null"), "k", "ts", "i", 3, 60).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["i"]: r["admitted"] for r in limited} == want
+    assert len({r["task"] for r in limited if r["k"] == 7}) > 1
+
+
 def test_upsert_is_idempotent(spark):
     e = spark.createDataFrame([(1, "a", "h1", 5), (2, "b", "h2", 5)], "k int, v string, content_hash string, seen int")
     i = spark.createDataFrame([(2, "c", "h3", 4), (3, "d", "h4", 9)], "k int, v string, content_hash string, seen int")
