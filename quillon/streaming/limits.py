@@ -1,4 +1,4 @@
-"""Keyed state machines over event logs: batch folds, and the same state as a streaming operator."""
+"""Keyed state machines over event logs as batch folds, and a windowed count of a stream."""
 
 from __future__ import annotations
 
