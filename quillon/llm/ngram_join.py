@@ -3,13 +3,14 @@
 1. Equal sets are one class, so copies cost nothing later. 2. A class that links to another shares ceil(t*n) of its n shingles,
 so of the shingles below a fixed hash threshold it may miss n - ceil(t*n) at most; classes that miss more end here, and need no
 further shuffle. 3. For the rest, document frequency gives the global order, shingles of one class are dropped (they count as
-missed), and the order is cut into fragments. 4. Prefixes of the order give candidates: first each class with the most central
-class of its prefix lists, then in rounds with that of a list's largest group, and once no round links more, all pairs whose
-groups still differ, so a group of near copies doesn't make all its pairs. Both keep
+missed), and the order is cut into fragments. 4. Prefixes of the order give candidates, in rounds: a class meets the heads of its
+prefix lists, the most central classes of the largest groups so far, and the BEST nearest of them are tried. Groups that link are
+contracted, and lists that hold one group alone leave. Once a round links nothing, or the pairs left are no more than the
+postings, all pairs whose groups still differ are tried, so a group of near copies never makes all its pairs. Candidates are
 only pairs that the places of their first shared shingle and their parity signatures allow to link.
 5. The overlap of a candidate is counted in each fragment by itself and summed per pair; the sum decides exactly.
 
-Rows without words, text or doc_id are linked with nothing. Links between different texts: 1 <= similarity by shingle sets."""
+Rows without words or text are linked with nothing. A row without doc_id keeps its set's size; its component is null."""
 
 from __future__ import annotations
 
@@ -18,14 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import drop, materialize, small_batches
 from .textbatch import as_bytes, shingles, text_slices, words
 
-FRAGMENTS = 8
+FRAGMENTS, BEST = 4, 2
 WORDS = 4  # of 64 bits in a parity signature
+BUCKET = 2_000_000  # sampled shingles that a task compares at once
 
 
 def sets(pdf: pd.DataFrame, width: int) -> list[np.ndarray]:
@@ -83,10 +85,10 @@ def _missable(n, num: int, den: int):
     return n - -(-n * num // den)
 
 
-def _shared(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """class, shared: how many of each class's sampled shingles other classes have."""
+def _shared(docs: DataFrame, width: int, num: int, den: int, total: int) -> DataFrame:
+    """class, shared: how many of each class's sampled shingles other classes have. total: shingles of all documents."""
     spark, limit = docs.sparkSession, _sample(num, den)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, int(total * (int(limit) / 2**64)) // BUCKET)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -137,6 +139,9 @@ def _shared(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return blobs.groupBy("bucket").applyInPandas(shared, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
 
 
+SIGNATURE = [f"s{k}" for k in range(WORDS)]
+
+
 def _signature(vector: str) -> list:
     """Columns of a parity signature: each shingle flips one of 64 * WORDS bits. Signatures of two sets differ in at most as many
     bits as there are shingles in just one of them."""
@@ -145,7 +150,7 @@ def _signature(vector: str) -> list:
 
 
 def jaccard_groups(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, links of every document; links: classes found linked with the document's class.
+    """doc_id, n_shingles, component_id of every document.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of `width`-word shingles."""
     small_batches(documents.sparkSession)
@@ -153,16 +158,35 @@ def jaccard_groups(documents: DataFrame, width: int = 5, num: int = 80, den: int
     members = materialize(_classes(docs, width, num, den), "members")
     small = F.col("n") > F.lit(0)
     classes = members.where(small).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("class").alias("class"), F.first("need").alias("need"))
+    total = members.agg(F.sum("n")).first()[0] or 0
     # a class with few shingles may miss all of its sample; it goes on as it is
-    alive = classes.join(_shared(docs, width, num, den), "class", "left").where("need <= coalesce(shared, 0)")
+    alive = classes.join(_shared(docs, width, num, den, total), "class", "left").where("need <= coalesce(shared, 0)")
     kept = materialize(alive.select("rep", "n"), "kept")
+    labels = _labels(_postings(docs, kept, width, num, den), num, den)
+    found = classes.select("key", "rep").join(labels, "rep", "left")
+    # a key may be that of a third of all rows: the joined side has one row for it, and Spark splits the other
+    full = members.join(found.select("key", F.coalesce("component", "rep").alias("component")), "key", "left")
+    full = full.select("doc_id", F.col("n").alias("n_shingles"), F.when(small, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for some in text_slices(pdf, "text"):
+                yield pd.DataFrame({"n_shingles": [len(v) for v in sets(some, width)]})
+
+    nameless = documents.where("doc_id is null").select("text").mapInPandas(count, "n_shingles long")
+    none = F.lit(None).cast("long")
+    return full.unionByName(nameless.select(none.alias("doc_id"), "n_shingles", none.alias("component_id")))
+
+
+def _postings(docs: DataFrame, kept: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix postings of the classes in kept, and all their shared shingles by fragment of the global order."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for some in text_slices(pdf, "text"):
                 yield pd.DataFrame({"rep": some["rep"].to_numpy(), "n": some["n"].to_numpy(), "tokens": [v.view(np.int64) for v in sets(some, width)]})
 
-    tokens = materialize(docs.join(kept.hint("merge"), docs["doc_id"] == kept["rep"]).select("rep", "n", "text").mapInPandas(explode, "rep long, n long, tokens array<long>"), "tokens")
+    tokens = materialize(docs.join(kept.hint("merge"), docs["doc_id"] == kept["rep"]).select("rep", "n", "text").dropDuplicates(["rep"]).mapInPandas(explode, "rep long, n long, tokens array<long>"), "tokens")
     flat = tokens.select("rep", "n", F.explode("tokens").alias("token"))
     df = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # the global order: rare first, ties by hash, in one long
@@ -176,55 +200,79 @@ def jaccard_groups(documents: DataFrame, width: int = 5, num: int = 80, den: int
     slot = sum((F.when(F.col("x.o") > F.lit(int(c)), 1).otherwise(0) for c in cuts), F.lit(0))
     segments = materialize(vectors.select("rep", F.explode("v").alias("x")).select("rep", slot.alias("fragment"), "x.token").groupBy("rep", "fragment").agg(F.collect_list("token").alias("tokens")), "segments")
     left = F.floor(F.col("n") * (den - num) / F.lit(den)) + 1 - (F.col("n") - F.size("v"))  # prefix, without the dropped shingles
-    signature = [f"s{k}" for k in range(WORDS)]
     signed = vectors.withColumn("p", left).where("p > 0").select("rep", "n", F.size("v").alias("r"), "weight", F.slice("v", 1, F.col("p").cast("int")).alias("prefix"), *_signature("v"))
     postings = materialize(
-        signed.select("rep", "n", "r", "weight", *signature, F.posexplode("prefix").alias("at", "x"))
-        .select("x.token", "rep", "n", "r", (F.col("r") - F.col("at")).alias("rest"), "weight", *signature), "postings"
-    )
+        signed.select("rep", "n", "r", "weight", *SIGNATURE, F.posexplode("prefix").alias("at", "x"))
+        .select("x.token", "rep", "n", "r", (F.col("r") - F.col("at")).alias("rest"), "weight", *SIGNATURE, F.col("rep").alias("component"), F.lit(1).cast("long").alias("size")), "postings"
+    )
+    drop(vectors)
+    return postings, segments
 
-    def possible(a: str, b: str):
-        """At the first shared shingle of two orders, the intersection is at most what is left of either, this one included.
 
-        At a later shared shingle the bound is lower still, so a pair that may link passes at its first. The second bound: of both
-        sets' r shingles together, those that differ, at least as many as differing bits, are in just one."""
-        differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in signature), F.lit(0))
-        most = F.least(f"{a}.rest", f"{b}.rest", F.floor((F.col(f"{a}.r") + F.col(f"{b}.r") - differ) / 2))
-        return den * most >= num * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
+def _differ(a: str, b: str):
+    """Bits in which two signatures differ."""
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SIGNATURE), F.lit(0))
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of pairs (a, b, na, nb) that link: partial overlaps in each fragment, summed per pair."""
+
+def _possible(a: str, b: str, num: int, den: int):
+    """Whether two postings of one shingle, of different groups, may link.
+
+    At the first shared shingle of two orders, the intersection is at most what is left of either, this one included. At a later
+    shared shingle the bound is lower still, so a pair that may link passes at its first. The second bound: of both sets' r
+    shingles together, those that differ, at least as many as differing bits, are in just one."""
+    most = F.least(f"{a}.rest", f"{b}.rest", F.floor((F.col(f"{a}.r") + F.col(f"{b}.r") - _differ(a, b)) / 2))
+    return den * most >= num * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
+
+
+def _labels(parts: tuple[DataFrame, DataFrame], num: int, den: int) -> DataFrame:
+    """rep, component of the classes that link with another: the least class that can be reached."""
+    posted, segments = parts
+    spark, held = posted.sparkSession, posted
+    labels = spark.createDataFrame([], "rep long, component long")
+    most, more = posted.count(), True
+    place = F.struct("size", "weight", F.negative("rep").alias("m"), "rep", "n", "r", "rest", *SIGNATURE, "component")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b, na, nb, ca, cb) that link: partial overlaps in each fragment, summed per pair."""
         # the fragment is part of both join keys: a class with many pairs is spread over them
         sa, sb = segments.select(F.col("rep").alias("a"), "fragment", F.col("tokens").alias("ta")), segments.select(F.col("rep").alias("b"), "fragment", F.col("tokens").alias("tb"))
-        part = pairs.join(sa, "a").join(sb, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("k"))
-        total = part.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-        return materialize(total.where(den * F.col("k") >= num * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b"), name)
-
-    middle = F.max(F.struct("weight", F.negative("rep").alias("m"), "rep", "n", "r", "rest", *signature))
-    central = postings.groupBy("token").agg(middle.alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = postings.alias("p").join(central.select("token", *(f"c.{x}" for x in ("rep", "n", "r", "rest", *signature))).alias("c"), "token").where("p.rep <> c.rep").where(possible("p", "c"))
-    columns = [F.least("p.rep", "c.rep").alias("a"), F.greatest("p.rep", "c.rep").alias("b"), F.when(F.col("p.rep") < F.col("c.rep"), F.col("p.n")).otherwise(F.col("c.n")).alias("na"), F.when(F.col("p.rep") < F.col("c.rep"), F.col("c.n")).otherwise(F.col("p.n")).alias("nb")]
-    first = linked(materialize(star.select(*columns).distinct(), "stars"), "links")
-    links, labels = first, components(first)
-    while True:  # each class outside a list's largest group with that group's most central class, until no groups meet
-        mine = materialize(postings.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "marked")
-        sizes = mine.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-        lists = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token", F.col("top.component").alias("top"))
-        mixed = mine.join(lists, "token")
-        heads = mixed.where("component = top").groupBy("token").agg(middle.alias("c")).select("token", *(f"c.{x}" for x in ("rep", "n", "r", "rest", *signature)))
-        more = linked(mixed.where("component <> top").alias("p").join(heads.alias("c"), "token").where(possible("p", "c")).select(*columns).distinct(), "links")
-        if not more.limit(1).count():
+        part = pairs.join(sa, "a").join(sb, ["b", "fragment"]).select(*pairs.columns, F.size(F.array_intersect("ta", "tb")).alias("k"))
+        total = part.groupBy(*pairs.columns).agg(F.sum("k").alias("k"))
+        return materialize(total.where(den * F.col("k") >= num * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b", "ca", "cb"), "links")
+
+    while True:
+        dealt = posted.repartition("token")
+        groups = dealt.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.max(place).alias("c"))
+        # of each list with several groups: its head, and its pairs across groups
+        lists = groups.groupBy("token").agg(F.max("c").alias("c"), F.count(F.lit(1)).alias("groups"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"))
+        lists = materialize(lists.where("groups > 1").select("token", "c", "cross"), "lists")
+        cross = lists.agg(F.sum("cross")).first()[0] or 0
+        mixed = dealt.join(lists.select("token"), "token", "left_semi")
+        if not more or cross <= most:
             break
-        drop(mine)
-        links = links.unionByName(more)
-        labels = components(links)
-    # pairs whose groups still differ: the members outside a list's largest group against the whole list
-    other = mixed.where("component <> top").alias("p").join(mixed.alias("c"), "token").where("p.component <> c.component and (c.component = c.top or p.rep < c.rep)").where(possible("p", "c"))
-    rest = linked(materialize(other.select(*columns).distinct(), "rest"), "links")
-    links = links.unionByName(rest)
-    labels = components(links)
-    degree = links.select("a", "b").union(links.select("b", "a")).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
-    found = classes.select("key", "rep").join(labels.select(F.col("id").alias("rep"), "component").join(degree, "rep"), "rep", "left")
-    # a key may be that of a third of all rows: the joined side has one row for it, and Spark splits the other
-    full = members.join(found.select("key", "rep", "component", F.coalesce("links", F.lit(0)).alias("links")), "key", "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(small, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        head = posted.alias("p").join(lists.select("token", "c.*").alias("c"), "token").where("p.component <> c.component").where(_possible("p", "c", num, den))
+        near = head.select("p.rep", "p.n", "p.component", F.struct(_differ("p", "c").alias("d"), F.col("c.rep").alias("rep"), F.col("c.n").alias("n"), F.col("c.component").alias("component")).alias("c"))
+        # heads of one class's lists: no more than its shingles
+        best = near.groupBy("rep", "n", "component").agg(F.explode(F.slice(F.sort_array(F.collect_set("c")), 1, BEST)).alias("c"))
+        links = linked(best.select(F.col("rep").alias("a"), F.col("c.rep").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"), F.col("component").alias("ca"), F.col("c.component").alias("cb")))
+        more = links.limit(1).count() > 0
+        if not more:
+            continue
+        labels = _merged(labels, links)
+        grown = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        known = labels.join(grown, "component").select("rep", F.col("component").alias("to"), F.col("size").alias("grown"))
+        kept = posted.join(lists.select("token"), "token", "left_semi").join(known, "rep", "left")
+        posted = materialize(kept.withColumn("component", F.coalesce("to", "component")).withColumn("size", F.coalesce("grown", "size")).select(*held.columns), "postings")
+        drop(held), drop(lists)
+        held = posted
+    pairs = mixed.alias("p").join(mixed.alias("c"), "token").where("p.component < c.component").where(_possible("p", "c", num, den))
+    sides = [F.col(f"{x}.{n}").alias(f"{m}{y}") for n, m in (("rep", ""), ("n", "n"), ("component", "c")) for x, y in (("p", "a"), ("c", "b"))]
+    rest = linked(pairs.select(*sides).distinct())
+    return _merged(labels, rest)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (rep, component) after links (a, b, ca, cb) between groups; the classes they name come in."""
+    to = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    known = labels.unionByName(links.select(F.col("a").alias("rep"), F.col("ca").alias("component"))).unionByName(links.select(F.col("b").alias("rep"), F.col("cb").alias("component"))).distinct()
+    return materialize(known.join(to.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("rep", F.coalesce("to", "component").alias("component")), "labels")
