@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 The distinct chunks of a batch (runs that begin with word marks; no piece crosses one) are concatenated and indexed by a suffix
-array. Every piece of the vocabulary is binary-searched for its range of occurrences; these are edges between text positions.
-Sorted by end position they are relaxed from left to right: a position's label is the last piece of the encoding of the text
-before it, and an edge may extend a label when the two pieces stay apart under the model's merge order. For a BPE model that
-label is unique, so the path to the last position is the model's own encoding. Characters outside the vocabulary become byte
-pieces. Null texts are empty. Texts hold no mark of their own: a literal mark encodes like a space, as in the library."""
+array, in slices of about SLICE characters. Every piece of the vocabulary is binary-searched for its range of occurrences; these
+are edges between text positions. Sorted by end position they are relaxed from left to right, in all chunks at once: a
+position's label is the last piece of the encoding of the text before it, and an edge may extend a label when the two pieces stay
+apart under the model's merge order. For a BPE model that label is unique, so the path to the last position is the model's own
+encoding. Characters outside the vocabulary become byte pieces. Null texts are empty; a row without doc_id keeps none. Texts hold
+no mark of their own: a literal mark encodes like a space, as in the library. A text's memory is its own size's, whatever it is."""
 
 from __future__ import annotations
 
@@ -16,12 +17,16 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .storage import materialize, named, nameless, small_batches
 from .textbatch import text_slices
 from .tokens import WHOLE, ChunkEncoder, Coded, in_turn
 
 MARK = "▁"
+SLICE = 400_000  # characters that are indexed at once
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -42,7 +47,9 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 
 
 class SuffixEncoder:
-    MOST = 500_000  # chunks that a worker remembers
+    """Pieces are numbered by rank here: single characters first, then in the order in which the model merges them."""
+
+    MOST = 300_000  # chunks that a worker remembers
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -53,79 +60,122 @@ class SuffixEncoder:
         self.text = [model.id_to_piece(i) for i in n]
         self.byte = {int(self.text[i][3:5], 16): i for i in n if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
-        self.first_byte, self.last_byte = min(self.byte_of, default=-1), max(self.byte_of, default=-2)  # ids below all other pieces
-        self.id, self.score = {self.text[i]: i for i in plain}, {i: model.get_score(i) for i in plain}
-        self.depth = max(map(len, self.id))
-        self.sorted = np.sort(np.array(list(self.id), f"<U{self.depth + 1}"))
-        self.above = np.array([p + "\U0010ffff" for p in self.sorted], f"<U{self.depth + 1}")
-        self.ids, self.lengths = np.array([self.id[p] for p in self.sorted]), np.array([len(p) for p in self.sorted])
-        self.split: dict[int, tuple[int, int]] = {}
-        self.whole = {i for i in plain if self._merges(self.text[i]) == [self.text[i]]}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.high_bytes = np.array([i for i, b in self.byte_of.items() if b > 127], np.int32)
+        plain.sort(key=lambda i: (len(self.text[i]) > 1, -model.get_score(i), i))
+        self.id = np.array(plain, np.int32)
+        pieces = [self.text[i] for i in plain]
+        self.rank = {p: k for k, p in enumerate(pieces)}
+        self.lengths = np.array([len(p) for p in pieces])
+        self.depth = int(self.lengths.max())
+        # merges: which two pieces join to which; and the last merge of each piece's own encoding, itself for single characters
+        pairs = sorted((self.rank[a] * len(pieces) + self.rank[b], k) for k, p in enumerate(pieces) for j in range(1, len(p)) if (a := p[:j]) in self.rank and (b := p[j:]) in self.rank)
+        self.pairs, self.joined = np.array([x for x, _ in pairs], np.int64), np.array([k for _, k in pairs], np.int32)
+        self.left, self.right = np.arange(len(pieces)), np.arange(len(pieces))
+        whole = np.ones(len(pieces), bool)
+        for k, p in enumerate(pieces):
+            if len(p) > 1:
+                last = self._last_merge(p)
+                whole[k] = last is not None
+                self.left[k], self.right[k] = last or (k, k)
+        by = sorted(np.flatnonzero(whole).tolist(), key=pieces.__getitem__)
+        self.sorted = np.array(by)  # in the order of their code points
+        self.low, self.high = (np.array([pieces[k] + x for k in by], f"<U{self.depth + 1}") for x in ("", "\U0010ffff"))
+        self.plain = pa.array([chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else t.replace(MARK, " ") for i, t in enumerate(self.text)])
         # marks that follow a letter in no piece: the text before and after them is encoded apart
-        inner = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        inner = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
         letters = "A-Za-zÀ-ÖØ-öø-ÿ"
         ends = "".join(c for c in ".,;:!?#$%&*|\"()" if not any(b[1] == c and re.match(f"[{letters}]", b[0]) for b in inner))
         self.cut = re.compile(f"(?<=[{letters}])(?=[{re.escape(ends)}])") if ends else re.compile("(?!)")
 
-    def _merges(self, text: str) -> list[str]:
-        """The model's merges of one piece; remembers the last merge of each piece that comes up."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.id.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], k
-            if at < 0:
-                return parts
-            a, b = parts[at : at + 2]
-            if a in self.id and b in self.id:
-                self.split.setdefault(self.id[a + b], (self.id[a], self.id[b]))
-            parts[at : at + 2] = [a + b]
-
-    def stay(self, a: int, b: int) -> bool:
-        """Whether the encoding of the two pieces' text is the two pieces."""
-        known = self.apart.get((a, b))
-        if known is None:
-            known = self._merges(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
-            if len(self.apart) < 2_000_000:
-                self.apart[a, b] = known
-        return known
-
-    def edges(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, id) of every occurrence of every piece, by end and then longest first; and the chunks' offsets."""
-        joined = "\0".join([*chunks, ""])
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    def _last_merge(self, text: str) -> tuple[int, int] | None:
+        """The two pieces that the model joins last in a piece's text; None where it doesn't end as this piece."""
+        parts, last = list(text), None
+        while len(parts) > 1:
+            found = [(self.rank.get(x + y, len(self.rank)), k) for k, (x, y) in enumerate(zip(parts, parts[1:]))]
+            best, at = min(found)
+            if best == len(self.rank):
+                return None
+            last = self.rank.get(parts[at]), self.rank.get(parts[at + 1])
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return last if last and None not in last else None
+
+    def stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the encoding of two pieces' joined text is the two pieces: undo their merges, latest first; none of the pairs
+        that meet at the border on the way may have joined before."""
+        out = np.ones(len(a), bool)
+        at, a, b, limit = np.arange(len(a)), a.copy(), b.copy(), np.full(len(a), len(self.id))
+        while len(at):
+            key = a * len(self.id) + b
+            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            joins = (self.pairs[place] == key) & (self.joined[place] < limit)
+            out[at[joins]] = False
+            first = a > b  # undo the left piece's merge
+            more_a, more_b = self.left[a] != a, self.left[b] != b
+            undo = np.where(first, more_a, more_b | more_a)
+            left = first | ~more_b
+            limit = np.where(left, a, b + 1)
+            go = ~joins & undo
+            a, b = np.where(left, self.right[a], a)[go], np.where(left, b, self.left[b])[go]
+            at, limit = at[go], limit[go]
+        return out
+
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, rank) of every occurrence of every piece, by end and then longest first."""
         order = suffix_array(codes, self.depth)
         padded = np.concatenate((codes, np.zeros(self.depth + 1, np.uint32)))
-        keys = np.lib.stride_tricks.sliding_window_view(padded, self.depth + 1)[order].copy().view(f"<U{self.depth + 1}").ravel()
-        low, high = np.searchsorted(keys, self.sorted), np.searchsorted(keys, self.above)
+        # a slice's suffixes, each cut behind the longest piece, in order
+        keys = np.lib.stride_tricks.sliding_window_view(padded, self.depth + 1)[order].view(f"<U{self.depth + 1}").ravel()
+        low, high = np.searchsorted(keys, self.low), np.searchsorted(keys, self.high)
         count = high - low
         start = order[np.arange(count.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count)]
-        length, ids = np.repeat(self.lengths, count), np.repeat(self.ids, count)
+        ranks = np.repeat(self.sorted, count)
+        length = self.lengths[ranks]
         by = np.lexsort((-length, start + length))
-        return start[by], (start + length)[by], ids[by], np.concatenate(([0], np.cumsum([len(c) + 1 for c in chunks])))
-
-    def _learn(self, chunks: list[str]) -> None:
-        start, end, ids, offsets = self.edges(chunks)
-        bounds = np.searchsorted(end, np.arange(offsets[-1] + 1)).tolist()
-        start, ids, offsets = start.tolist(), ids.tolist(), offsets.tolist()
-        for chunk, base in zip(chunks, offsets):
-            label, back = [-1] * (len(chunk) + 1), [0] * (len(chunk) + 1)  # -1: nothing, or bytes, before
-            for p in range(1, len(chunk) + 1):
-                label[p], back[p] = -1, p - 1
-                for e in range(bounds[base + p], bounds[base + p + 1]):
-                    s, i = start[e] - base, ids[e]
-                    if i in self.whole and (label[s] < 0 or self.stay(label[s], i)):
-                        label[p], back[p] = i, s
-                        break
-            out, p = [], len(chunk)
-            while p:
-                out.append([label[p]] if label[p] >= 0 else [self.byte[b] for b in chunk[p - 1].encode("utf-8", "replace")])
+        return start[by], (start + length)[by], ranks[by]
+
+    def _slice(self, chunks: list[str]) -> list[list[int]]:
+        codes = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.array([len(c) for c in chunks])
+        base = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+        start, end, rank = self.edges(codes)
+        # relax: step p settles the p-th position of every chunk; -1: nothing, or bytes, before
+        label, back = np.full(len(codes) + 1, -1), np.arange(-1, len(codes))
+        step = end - base[np.searchsorted(base, end - 1, "right") - 1]
+        by = np.argsort(step, kind="stable")
+        start, end, rank = start[by], end[by], rank[by]
+        cuts = np.searchsorted(step[by], np.arange(1, int(size.max(initial=0)) + 2))
+        for a, b in zip(cuts, cuts[1:]):
+            before = label[start[a:b]]
+            fits = before < 0
+            ask = np.flatnonzero(~fits)
+            fits[ask] = self.stay(before[ask], rank[a:b][ask])
+            ok = np.flatnonzero(fits)
+            ends, first = np.unique(end[a:b][ok], return_index=True)  # the longest of each end
+            label[ends], back[ends] = rank[a:b][ok[first]], start[a:b][ok[first]]
+        out: list[list[int]] = []
+        label, back, text = label.tolist(), back.tolist(), codes.tolist()
+        ids = self.id.tolist()
+        for at, n in zip(base.tolist(), size.tolist()):
+            p, parts = at + n, []
+            while p > at:
+                if label[p] >= 0:
+                    parts.append(ids[label[p]])
+                else:
+                    parts += [self.byte[b] for b in reversed(chr(text[p - 1]).encode("utf-8", "replace"))]
                 p = back[p]
-            self.parts[chunk] = [i for part in reversed(out) for i in part]
+            out.append(parts[::-1])
+        return out
+
+    def learn(self, chunks: list[str]) -> dict[str, list[int]]:
+        """The ids of distinct chunks, in slices."""
+        out, held, n = {}, [], 0
+        for k, c in enumerate(chunks):
+            held.append(c)
+            n += len(c) + 1
+            if n >= SLICE or k == len(chunks) - 1:
+                out |= zip(held, self._slice(held), strict=True)
+                held, n = [], 0
+        return out
 
     def chunks(self, text: str) -> list[str]:
         """Runs of marks with the characters that follow, of a text with the leading mark that the model adds."""
@@ -134,31 +184,39 @@ class SuffixEncoder:
     def encode_chunks(self, chunks: list[str]) -> Coded:
         """For ChunkEncoder: a mark alone stands for an empty text."""
         lists = [self.chunks(c.removeprefix(WHOLE)) if c.startswith(WHOLE) else [] if c == MARK else [c] for c in chunks]
-        if len(self.parts) > self.MOST:
-            self.parts.clear()
         cut = [[p for c in x for p in self.cut.split(c)] for x in lists]
-        if new := list({p for x in cut for p in x if p not in self.parts}):
-            self._learn(new)
-        return in_turn(chunks, [[i for p in x for i in self.parts[p]] for x in cut])
+        parts = self.learn(sorted({p for x in cut for p in x}))
+        return in_turn(chunks, [[i for p in x for i in parts[p]] for x in cut])
 
     def chunk_encoder(self) -> ChunkEncoder:
-        return ChunkEncoder(self.encode_chunks, MARK, MARK, rf"  |\A | \n?\z|{MARK}|\x00")
+        out = ChunkEncoder(self.encode_chunks, MARK, MARK, rf"  |\A | \n?\z|{MARK}|\x00")
+        out.MOST = self.MOST
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        if self.first_byte <= min(ids, default=self.last_byte + 1) <= self.last_byte:  # some are bytes
-            out, held = [], bytearray()
-            for i in ids:
-                if i in self.byte_of:
-                    held.append(self.byte_of[i])
-                    continue
-                if held:
-                    out.append(held.decode("utf-8", "replace"))
-                    held.clear()
-                out.append(self.text[i])
-            text = "".join([*out, held.decode("utf-8", "replace")])
-        else:
-            text = "".join(map(self.text.__getitem__, ids))
-        return text.replace(MARK, " ").removeprefix(" ")
+        """The text of ids of which some are bytes."""
+        out, held = [], bytearray()
+        for i in ids:
+            if i in self.byte_of:
+                held.append(self.byte_of[i])
+                continue
+            if held:
+                out.append(held.decode("utf-8", "replace"))
+                held.clear()
+            out.append(self.text[i])
+        return "".join([*out, held.decode("utf-8", "replace")]).replace(MARK, " ").removeprefix(" ")
+
+    def decode_all(self, lists: list[np.ndarray]) -> list[str]:
+        sizes = np.array([len(x) for x in lists])
+        flat = np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int32)
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        parts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.plain.take(pa.array(flat)))
+        out = [t.removeprefix(" ") for t in pc.binary_join(parts, "").to_pylist()]
+        if len(flat):
+            odd = np.flatnonzero(np.isin(flat, self.high_bytes))  # parts of longer characters
+            for k in np.unique(np.searchsorted(offsets, odd, "right") - 1).tolist():
+                out[k] = self.decode(lists[k].tolist())
+        return out
 
 
 @cache
@@ -168,25 +226,28 @@ def encoder(path: str) -> tuple[SuffixEncoder, ChunkEncoder]:
 
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids of every row."""
+    """doc_id, ids of every row, stored."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, chunks = encoder(model)
         for pdf in batches:
-            for some in text_slices(pdf, "text"):
+            for some in text_slices(pdf, "text", 1_000_000):
                 ids, ends = chunks.encode(some["text"].tolist())
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "ids": np.split(ids.astype(np.int32), ends[1:-1])})
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "nameless": some["nameless"].to_numpy(), "ids": np.split(ids.astype(np.int32), ends[1:-1]) if len(some) else []})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return materialize(named(nameless(docs).mapInPandas(run, "doc_id long, nameless boolean, ids array<int>")), "pieces")
 
 
 def decode_ids(coded: DataFrame, model: str) -> DataFrame:
-    """All columns and the decoded text."""
+    """doc_id, ids, the decoded text and the crc32 of the ids of rows with doc_id and ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e, _ = encoder(model)
         for pdf in batches:
-            yield pdf.assign(decoded=[e.decode(x.tolist()) for x in pdf["ids"]], ids_crc32=[zlib.crc32(x.astype("<u4").tobytes()) for x in pdf["ids"]])
+            lists = list(pdf["ids"])
+            cuts = np.searchsorted(np.cumsum(list(map(len, lists))), np.arange(1_000_000, sum(map(len, lists)), 1_000_000), "right")  # about a million ids at once
+            decoded = [t for a, b in zip([0, *cuts], [*cuts, len(lists)]) for t in e.decode_all(lists[a:b])]
+            yield pdf.assign(decoded=decoded, ids_crc32=[zlib.crc32(x.astype("<u4").tobytes()) for x in lists])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in coded.dtypes)
-    return coded.mapInPandas(run, schema + ", decoded string, ids_crc32 long")
+    return named(nameless(coded, "ids").mapInPandas(run, "doc_id long, nameless boolean, ids array<int>, decoded string, ids_crc32 long"))

@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset (tests on one machine)."""
+    """The session's spark.checkpoint.dir; a temporary folder only where that is unset and all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -40,3 +43,13 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def nameless(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id (0 where null), nameless (whether it was) and columns, text unless given: integers stay integers in pandas only without nulls."""
+    return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), *(columns or ("text",)))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Undo nameless()."""
+    return rows.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
