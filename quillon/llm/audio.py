@@ -3,7 +3,7 @@
 `media` holds RIFF/WAVE images (8-bit unsigned PCM, one channel). A signal is resampled by UP/DOWN with a windowed-sinc filter
 split into UP phases, framed with half overlap, and turned into log-mel energies. Frames are stored as an Arrow record batch
 whose `mel` column is a fixed_shape_tensor of (ROWS, MELS) float32 with the time span of each tensor; the last is padded with
-zeros. A segment begins where energy rises above the signal's mean by `ON` dB and ends where it falls below the mean by `OFF`."""
+zeros. Rows without doc_id keep none. Memory is that of a batch slice or of the longest row. A segment begins where energy rises above the signal's mean by `ON` dB and ends where it falls below the mean by `OFF`."""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
-from .textbatch import as_bytes
+from .storage import materialize, named, nameless, small_batches
+from .textbatch import as_bytes, text_slices
 
 RATE, UP, DOWN, TAPS = 16_000, 5, 8, 12
 FRAME, HOP, MELS, ROWS = 256, 128, 32, 64
@@ -125,29 +125,32 @@ def store_audio(docs: DataFrame, unit: int = 192) -> DataFrame:
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            raw = [as_bytes(t) for t in pdf["text"]]
-            media = [wav(b.ljust(max(unit, -(-len(b) // unit) * unit))) for b in raw]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(b) for b in raw], "media": media})
+            for some in text_slices(pdf, "text"):
+                raw = [as_bytes(t) for t in some["text"]]
+                media = [wav(b.ljust(max(unit, -(-len(b) // unit) * unit))) for b in raw]
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "nameless": some["nameless"].to_numpy(), "n_bytes": [len(b) for b in raw], "media": media})
 
-    return materialize(docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, n_bytes long, media binary"), "media")
+    small_batches(docs.sparkSession)
+    return materialize(named(nameless(docs).mapInPandas(encode, "doc_id long, nameless boolean, n_bytes long, media binary")), "media")
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """Features of the stored images: payload, n_frames, spans (segments in seconds) and tensors (an Arrow IPC stream) of each row."""
+    """Features of the stored images (doc_id, n_bytes, media): payload, n_frames, spans (segments in seconds) and tensors (an Arrow IPC stream) of each row."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step = HOP / (RATE * UP / DOWN)
         for pdf in batches:
-            rows = []
-            for image in pdf["media"]:
-                payload, _ = wav_samples(bytes(image))
-                mel = log_mel(resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
-                spans = [{"start_s": a * step, "end_s": b * step} for a, b in segments(mel.mean(1)).tolist()]
-                rows.append((payload, len(mel), spans, tensor_ipc(mel)))
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=["payload", "n_frames", "spans", "tensors"])], axis=1)
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in media.dtypes)
-    return media.mapInPandas(decode, schema + ", payload binary, n_frames long, spans array<struct<start_s: double, end_s: double>>, tensors binary")
+            for some in text_slices(pdf, "media"):
+                rows = []
+                for image in some["media"]:
+                    payload, _ = wav_samples(bytes(image))
+                    mel = log_mel(resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
+                    spans = [{"start_s": a * step, "end_s": b * step} for a, b in segments(mel.mean(1)).tolist()]
+                    rows.append((payload, len(mel), spans, tensor_ipc(mel)))
+                yield pd.concat([some.reset_index(drop=True), pd.DataFrame(rows, columns=["payload", "n_frames", "spans", "tensors"])], axis=1)
+
+    schema = "doc_id long, nameless boolean, n_bytes long, media binary"
+    return named(nameless(media, "n_bytes", "media").mapInPandas(decode, schema + ", payload binary, n_frames long, spans array<struct<start_s: double, end_s: double>>, tensors binary"))
 
 
 def document_audio(docs: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 A vector x becomes (x, sqrt(M - |x|^2)) with M the largest squared norm; a query q becomes (q, 0). Then
 |q - x|^2 = |q|^2 + M - 2 q.x, so the nearest neighbours are the largest products. Vectors are dealt to the nearest of a bounded
-sample of pivots and by hash into trees of about TREE vectors. A tree has pages of at most PAGE entries; an entry keeps its
-distance to the page's routing vector, a page its covering radius and its distance to the parent. Each query first searches
-the tree whose pivot is nearest; its k-th score bounds the search of every other tree that the triangle inequality cannot
-exclude. Of equal vectors only the k + 1 smallest ids can be among a query's k answers, so only these are indexed.
+sample of pivots, and a cell of more than TREE vectors is cut into rings by their distance to its pivot; each ring is a tree. A
+tree has pages of at most PAGE entries; an entry keeps its distance to the page's routing vector, a page its covering radius and
+its distance to the parent. Each query first searches one ring of the cell whose pivot is nearest; its k-th score bounds the
+search of every other tree, which stored distances (to the pivot's ring, to the tree's centre) may exclude. Of equal vectors only
+the k + 1 smallest ids can be among a query's k answers, so only these are indexed.
 
 Scores are integer products, ties go to smaller ids. Null vectors, vectors with null or non-finite components, and null ids
-take no part; vectors of other than the commonest length neither."""
+take no part; nor do vectors of other than the commonest length, and those so long that products may pass 64 bits (squared
+length of 2^62 or more)."""
 
 from __future__ import annotations
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-TREE, PAGE, PIVOTS = 4096, 48, 512
+TREE, PAGE, PIVOTS, ASKS = 4096, 48, 512, 2048
 SLACK = 1e-7  # of a distance, far above the rounding of doubles
 
 
@@ -31,7 +33,8 @@ def integer_vectors(df: DataFrame, column: str = "embedding", scale: int = 1024)
     """vec_id and v: floor(scale * x) of each component, only rows that take part."""
     fine = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.where(F.col("vec_id").isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0)).where(fine)
-    return rows.select("vec_id", F.transform(column, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    fits = F.aggregate(column, F.lit(0.0), lambda s, x: s + F.pow(F.abs(x.cast("double") * scale) + 1, F.lit(2.0))) < 2.0**62
+    return rows.where(fits).select("vec_id", F.transform(column, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
 def _lift(v: np.ndarray, most: int) -> np.ndarray:
@@ -114,26 +117,37 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     few = materialize(vectors.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= k + 1).drop("_n"), "vectors")
     most = few.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x))).first()[0]
     total = few.count()
-    wanted = max(1, min(PIVOTS, round((total / TREE) ** 0.5)))
+    wanted = max(1, min(PIVOTS, round(total / TREE)))
     pivots = np.array([r["v"] for r in few.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()], np.int64)  # PIVOTS at most
     lifted = _lift(pivots, most)
-    salts = max(1, round(total / TREE / wanted))
 
-    def nearest(v: np.ndarray, last: bool) -> np.ndarray:
-        x = _lift(v, most) if last else np.column_stack((v, np.zeros(len(v))))
-        return np.argmin((lifted**2).sum(1) - 2 * x @ lifted.T, axis=1)
+    def near(v: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pivot and distance of each vector, with or without its last lifted coordinate."""
+        x = _lift(v, most) if last else np.column_stack((v, np.zeros(len(v)))).astype(float)
+        pivot = np.argmin((lifted**2).sum(1) - 2 * x @ lifted.T, axis=1)
+        return pivot.astype(np.int32), _distance(x, lifted[pivot])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(pivot=nearest(np.stack(pdf["v"]), True).astype(np.int32))
+                pivot, gap = near(np.stack(pdf["v"]), True)
+                yield pdf.assign(pivot=pivot, gap=gap)
+
+    routed = materialize(few.mapInPandas(route, "vec_id long, v array<long>, pivot int, gap double"), "routed")
+    sizes = routed.groupBy("pivot").count()  # a row for each pivot
+    rings = max(1, -(-(sizes.agg(F.max("count")).first()[0] or 0) // TREE))
+    shares = [k / rings for k in range(1, rings)] or [0.5]
+    # a cell takes as many of the cuts as it has trees
+    own = F.ceil(F.col("n") / F.lit(TREE))
+    cuts = routed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("gap", shares, 10_000).alias("cuts"))
+    cuts = cuts.select("pivot", F.filter("cuts", lambda x, i: (F.lit(rings) > 1) & (F.floor((i + 1) * own / rings) > F.floor(i * own / rings))).alias("cuts"))
+    ring = lambda rows: rows.join(F.broadcast(cuts), "pivot").withColumn("ring", F.size(F.filter("cuts", lambda x: x < F.col("gap")))).drop("cuts")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = build(pdf["vec_id"].to_numpy(), np.stack(pdf["v"]).astype(np.int64), most)
-        return pd.DataFrame({"pivot": [pdf["pivot"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "route": [tree["route"]], "radius": [tree["radius"]], "pages": [pickle.dumps(tree)]})
+        return pd.DataFrame({"pivot": [pdf["pivot"].iloc[0]], "ring": [pdf["ring"].iloc[0]], "low": [pdf["gap"].min()], "high": [pdf["gap"].max()], "route": [tree["route"]], "radius": [tree["radius"]], "pages": [pickle.dumps(tree)]})
 
-    routed = few.mapInPandas(route, "vec_id long, v array<long>, pivot int").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
-    trees = materialize(routed.groupBy("pivot", "salt").applyInPandas(grow, "pivot int, salt int, route array<double>, radius double, pages binary"), "trees")
+    trees = materialize(ring(routed).groupBy("pivot", "ring").applyInPandas(grow, "pivot int, ring int, low double, high double, route array<double>, radius double, pages binary"), "trees")
 
     def explore(pdf: pd.DataFrame, tree: dict) -> pd.DataFrame:
         rows = []
@@ -141,42 +155,47 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             rows += [(q, i, s) for s, i in search(tree, np.asarray(v, np.int64), q, k, most, None if pd.isna(floor) else int(floor))]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
-    def visit(asked: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(grown):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.concat([explore(asked, pickle.loads(p)) for p in grown["pages"]])
-
     def visits(asks: DataFrame) -> DataFrame:
-        return asks.groupBy("pivot", "salt").cogroup(trees.groupBy("pivot", "salt")).applyInPandas(visit, "query_id long, vec_id long, score long")
+        """Search of the trees (pivot, ring) of asks. A tree's asks come in parts of about ASKS, so a tree that all want is no single task."""
+        spread = F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.ceil(F.col("asked") / F.lit(ASKS)))).alias("part")
+        wanted = asks.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("asked"))
+        dealt = asks.join(wanted, ["pivot", "ring"]).select(*asks.columns, spread)
+        named = [F.col(c).alias(f"{c}_") for c in ("pivot", "ring", "part")]
+        held = dealt.select("pivot", "ring", "part").distinct().join(trees.select("pivot", "ring", "pages"), ["pivot", "ring"]).select(*named, "pages")
+
+        def visit(asked: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(grown):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.concat([explore(asked, pickle.loads(p)) for p in grown["pages"]])
+
+        return dealt.groupBy("pivot", "ring", "part").cogroup(held.groupBy("pivot_", "ring_", "part_")).applyInPandas(visit, "query_id long, vec_id long, score long")
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(pivot=nearest(np.stack(pdf["v"]), False).astype(np.int32))
+                pivot, gap = near(np.stack(pdf["v"]), False)
+                yield pdf.assign(pivot=pivot, gap=gap)
 
-    asks = materialize(queries.select(F.col("vec_id").alias("query_id"), "v").mapInPandas(home, "query_id long, v array<long>, pivot int"), "queries")
-    first = materialize(visits(asks.withColumn("salt", F.lit(0)).withColumn("floor", F.lit(None).cast("long"))), "near")
+    at = ring(queries.select(F.col("vec_id").alias("query_id"), "v").mapInPandas(home, "query_id long, v array<long>, pivot int, gap double"))
+    asks = materialize(at.select("query_id", "v", "pivot", "ring"), "queries")
+    first = materialize(visits(asks.withColumn("floor", F.lit(None).cast("long"))), "near")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     floors = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    shape = trees.select("pivot", "salt", "route", "radius")  # a row for each tree, which no vector or query is
-    spheres = [(r["pivot"], r["salt"], np.array(r["route"]), r["radius"]) for r in shape.collect()] if total <= 4096 * TREE else None
-    if spheres is None:
-        raise ValueError("more trees than the router may hold: raise TREE")
-
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        routes, radii = np.stack([s[2] for s in spheres]), np.array([s[3] for s in spheres])
-        names = np.array([s[:2] for s in spheres], np.int32)
+
+    def reaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query's pivots with its distance to them and how far a better vector may be: PIVOTS rows at most."""
         for pdf in batches:
             out = []
-            for q, v, pivot, floor in zip(pdf["query_id"], pdf["v"], pdf["pivot"], pdf["floor"]):
+            for q, v, home_pivot, home_ring, floor in zip(pdf["query_id"], pdf["v"], pdf["pivot"], pdf["ring"], pdf["floor"]):
                 x = np.append(np.asarray(v, float), 0.0)
                 reach = np.inf if pd.isna(floor) else np.sqrt(max(0, float((x * x).sum()) + most - 2 * floor)) * (1 + SLACK) + SLACK
-                take = (_distance(routes, x) - radii <= reach) & ~((names[:, 0] == pivot) & (names[:, 1] == 0))
-                if take.any():
-                    out.append(pd.DataFrame({"query_id": q, "v": [v] * int(take.sum()), "floor": floor, "pivot": names[take, 0], "salt": names[take, 1]}))
+                out.append(pd.DataFrame({"query_id": q, "floor": floor, "reach": reach, "home_pivot": home_pivot, "home_ring": home_ring, "pivot": np.arange(len(lifted), dtype=np.int32), "gap": _distance(lifted, x)}))
             if out:
                 yield pd.concat(out).astype({"floor": "Int64"})
 
-    more = asks.join(floors, "query_id", "left").mapInPandas(others, "query_id long, v array<long>, floor long, pivot int, salt int")
+    far = asks.join(floors, "query_id", "left").mapInPandas(reaching, "query_id long, floor long, reach double, home_pivot int, home_ring int, pivot int, gap double")
+    met = far.join(trees.select("pivot", "ring", "low", "high", "route", "radius"), "pivot").where("(pivot <> home_pivot or ring <> home_ring) and gap - high <= reach and low - gap <= reach")
+    centre = F.sqrt(F.aggregate(F.zip_with("route", F.concat("v", F.array(F.lit(0).cast("long"))), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    more = met.join(asks.select("query_id", "v"), "query_id").where(centre - F.col("radius") <= F.col("reach")).select("query_id", "v", "pivot", "ring", "floor")
     found = first.unionByName(visits(more)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,7 @@
 """Sum-of-squares packing of token pieces into sequences of a fixed capacity.
 
 A piece goes where the sum over residual gaps g of (open sequences with gap g)^2 becomes smallest, a new sequence included;
-ties prefer the smaller gap. Pieces are dealt by hash into groups of about GROUP rows, each packed in one task, so no task
+ties prefer the smaller gap. A row without doc_id is packed like any other. Pieces are dealt by hash into groups of about GROUP rows, each packed in one task, so no task
 grows with the input; a group loses at most its few last open sequences."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, named, nameless, small_batches
 from .textbatch import text_slices
 from .tokens import ChunkEncoder
 
@@ -32,11 +32,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         if s == capacity or not gaps.any():
             best = capacity
         else:
-            change = open_[: capacity - s] - gaps  # half of the change but a constant
-            change[0] = -gaps[0] - 1  # closing a sequence adds no gap
-            change[gaps == 0] = capacity * len(lengths)
+            change = 2 * (open_[: capacity - s] - gaps) + 2
+            change[0] = 1 - 2 * gaps[0]  # closing a sequence adds no gap
+            change[gaps == 0] = 4 * len(lengths) + 4
             j = int(change.argmin())
-            best = s + j if 2 * change[j] + 2 <= 2 * open_[capacity - s] + 1 else capacity
+            best = s + j if change[j] <= 2 * open_[capacity - s] + 1 else capacity
         if best == capacity:
             at, made = made, made + 1
         else:
@@ -50,7 +50,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, kind: str, capacity: int, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids with the end id, cut only where longer than capacity. Null text: empty."""
+    """doc_id, nameless, piece, start, length, ids_crc32: each document's ids with the end id, cut only where longer than capacity. Null text: empty."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = ChunkEncoder.get(tokenizer, kind)
@@ -58,12 +58,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, kind: str, capacity: int, end_
             for some in text_slices(pdf, "text"):
                 ids, offsets = encoder.encode(some["text"].tolist())
                 rows = []
-                for k, doc in enumerate(some["doc_id"].tolist()):
+                for k, doc in enumerate(zip(some["doc_id"].tolist(), some["nameless"].tolist())):
                     own = np.append(ids[offsets[k] : offsets[k + 1]], np.uint32(end_id)).astype("<u4")
-                    rows += [(doc, i, at, len(x := own[at : at + capacity]), zlib.crc32(x.tobytes())) for i, at in enumerate(range(0, len(own), capacity))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows += [(*doc, i, at, len(x := own[at : at + capacity]), zlib.crc32(x.tobytes())) for i, at in enumerate(range(0, len(own), capacity))]
+                yield pd.DataFrame(rows, columns=["doc_id", "nameless", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    small_batches(docs.sparkSession)
+    return nameless(docs).mapInPandas(cut, "doc_id long, nameless boolean, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
@@ -80,4 +81,4 @@ def pack(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", capacity: int = 2048) -> DataFrame:
-    return pack(materialize(token_pieces(docs, tokenizer, kind, capacity), "pieces"), capacity)
+    return named(pack(materialize(token_pieces(docs, tokenizer, kind, capacity), "pieces"), capacity))

@@ -6,7 +6,9 @@ surnames are permuted by themselves, so 'Mr John Smith', 'Mr Smith' and an untit
 in the same document keep one name; the given name comes from the list of the same script and gender, lengthened where later
 surrogates need more. People are found by a title; a name that no title introduces in its document is not. A check over all
 distinct entities finds surrogates that two entities share or that equal their entity; those entities take their next
-surrogate. Null texts stay null."""
+surrogate; so do those whose surrogate is another real entity of the corpus, a bare surname apart: it stays with its full names.
+The secret has no default: who knows it can undo the permutations. Null texts stay null; empty ones and those without
+entities are unchanged; a text's memory is its own size's."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, small_batches
+from .storage import free_name, materialize, small_batches
 
 # Titles and replacement given names by script and gender.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Sr": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Sra": "f", "Mme": "f", "Madame": "f", "Dr": "n", "г-н": "m", "г-жа": "f", "κ.": "m", "κα": "f"}
@@ -35,7 +37,7 @@ GIVEN = {
 }
 _ALPHABETS = {"d": "0123456789", "h": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "c": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "g": "αβγδεζηθικλμνξοπρστυφχψω", "e": "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "k": "άέήίόύώ"}
 _CLASS = {ch: k for k in "dacgek" for ch in _ALPHABETS[k]}
-_NAME = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]+|[А-Я][а-я-]+|[Α-ΩΆ-Ώ][α-ωά-ώ]+"
+_NAME = r"[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?[a-zß-öø-ÿ'’-]+|[А-Я][а-я-]+|[Α-ΩΆ-Ώ][α-ωά-ώ]+"
 # In order of priority: kind, trigger that must be in the text, pattern.
 PATTERNS = [
     ("email", re.compile("@"), re.compile(r"[A-Za-z0-9_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")),
@@ -58,6 +60,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text):
                 if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
                     continue
+                if kind == "card" and m[0].isdigit() and not luhn(m[0]) and not (len(m[0]) == 16 and m[0][0] in "3456"):
+                    continue
                 end = m.start() + _bare(m[0]) if kind == "person" else m.end()
                 if not any(m.start() < e and s < end for s, e, _ in found):
                     found.append((m.start(), end, kind))
@@ -212,7 +216,7 @@ def render(kind: str, surface: str, new: str, part: tuple[int, int] | None = Non
     if kind == "person":
         gap = re.split(r"(\s+)", surface)
         names, title = (iter(new.split(" ")[1:][slice(*part)]), []) if part else (iter(new.split(" ")[1:]), gap[:1])
-        return "".join(title + [x if x.isspace() else next(names).capitalize() for x in gap[len(title) :]])
+        return "".join(title + [x if x.isspace() else _cased(next(names), x) for x in gap[len(title) :]])
     if kind == "ip":
         return new
     chars, out = iter(new.lstrip("+") if kind in ("card", "phone", "ssn") else new), []
@@ -227,7 +231,13 @@ def render(kind: str, surface: str, new: str, part: tuple[int, int] | None = Non
     return new if kind == "email" and len(new) > len(surface) else "".join(out)
 
 
+def _cased(name: str, surface: str) -> str:
+    return "".join(x.upper() if c.isupper() else x for x, c in zip(name, surface)) if len(name) == len(surface) else name.capitalize()
+
+
 def _key(secret: str) -> bytes:
+    if not secret:
+        raise ValueError("surrogates need a secret")
     return hashlib.sha256(secret.encode()).digest()
 
 
@@ -242,7 +252,10 @@ def exceptions(docs: DataFrame, secret: str) -> DataFrame:
 
     found = materialize(docs.select("text").mapInPandas(entities, "kind string, entity string, new string").distinct(), "entities")
     shared = found.groupBy("kind", "new").agg(F.min("entity").alias("keeps"), F.count(F.lit(1)).alias("n"))
-    clash = found.join(shared.where("n > 1"), ["kind", "new"]).where("entity <> keeps").select("kind", "entity").unionByName(found.where("entity = new").select("kind", "entity")).distinct()
+    clash = found.join(shared.where("n > 1"), ["kind", "new"]).where("entity <> keeps").select("kind", "entity").unionByName(found.where("entity = new").select("kind", "entity"))
+    real = found.select("kind", F.col("entity").alias("new")).distinct()
+    movable = ~((F.col("kind") == "person") & (F.size(F.split("entity", " ")) == 2))  # a bare surname has one surrogate
+    clash = clash.unionByName(found.where(movable).join(real, ["kind", "new"], "left_semi").select("kind", "entity")).distinct()
     # the least free attempt: these entities are the rare ones, and their later surrogates are checked against all taken
     out, attempt = [], 1
     taken = found.join(clash, ["kind", "entity"], "left_anti").select("kind", "new")
@@ -252,7 +265,7 @@ def exceptions(docs: DataFrame, secret: str) -> DataFrame:
                 yield pdf.assign(new=[surrogate(k, e, key, n) for k, e in zip(pdf["kind"], pdf["entity"])], attempt=n)
 
         tried = materialize(clash.mapInPandas(again, "kind string, entity string, new string, attempt int"), "attempts")
-        free = tried.where("entity <> new").join(taken, ["kind", "new"], "left_anti").groupBy("kind", "new").agg(F.min("entity").alias("entity"), F.first("attempt").alias("attempt"))
+        free = tried.where("entity <> new").join(taken, ["kind", "new"], "left_anti").join(real, ["kind", "new"], "left_anti").groupBy("kind", "new").agg(F.min("entity").alias("entity"), F.first("attempt").alias("attempt"))
         free = materialize(free, "free")
         out.append(free.select("kind", "entity", "attempt"))
         taken, clash, attempt = taken.unionByName(free.select("kind", "new")), tried.join(free, ["kind", "entity"], "left_anti").select("kind", "entity"), attempt + 1
@@ -264,53 +277,48 @@ def exceptions(docs: DataFrame, secret: str) -> DataFrame:
     return total
 
 
-def _text_key(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
-def _with_rare(base: DataFrame, rare: DataFrame) -> DataFrame:
-    """base with _rare: the exceptional entities of its text and their attempts, joined by the text's key."""
+def _with_rare(base: DataFrame, rare: DataFrame, column: str) -> DataFrame:
+    """base with a column of the exceptional entities of its text and their attempts, joined by the text's digest."""
 
     def entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = {(_text_key(t), kind, entity) for t in pdf["text"] if t for _, _, kind, entity, _ in mentions(t)}
+            rows = {(hashlib.sha256(t.encode()).hexdigest(), kind, entity) for t in pdf["text"] if t for _, _, kind, entity, _ in mentions(t)}
             yield pd.DataFrame(list(rows), columns=["_key", "kind", "entity"])
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(_key=[_text_key(t) if t else None for t in pdf["text"]])
-
-    own = base.select("text").mapInPandas(entities, "_key binary, kind string, entity string").distinct().join(rare, ["kind", "entity"])
-    per = materialize(own.groupBy("_key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_rare")), "rare")  # of one text
-    schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
-    return base.mapInPandas(keyed, schema + ", _key binary").join(per, "_key", "left").drop("_key")
+    own = base.select("text").mapInPandas(entities, "_key string, kind string, entity string").distinct().join(rare, ["kind", "entity"])
+    per = materialize(own.groupBy("_key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias(column)), "rare")  # of one text
+    return base.join(per, F.sha2("text", 256) == F.col("_key"), "left").drop("_key")
 
 
-def replace_private(docs: DataFrame, secret: str = "surrogates", most: int = 100_000) -> DataFrame:
+def replace_private(docs: DataFrame, secret: str, most: int = 100_000) -> DataFrame:
     """All columns of docs with the text's entities replaced, and `entities`: their places in the original, kinds and surrogates.
 
-    Up to `most` exceptional entities travel with the tasks; more of them are joined to the texts that have them."""
+    Where docs has a column of that name, the new one has underscores behind it. Up to `most` exceptional entities travel with
+    the tasks; more of them are joined to the texts that have them."""
     small_batches(docs.sparkSession)
-    key, rare = _key(secret), exceptions(docs, secret)
-    few, base = rare.limit(most + 1).collect(), docs.drop("entities")
+    key, rare = _key(secret), materialize(exceptions(docs, secret), "exceptions")
+    few = rare.limit(most + 1).collect()
     joined = len(few) > most
     later = {} if joined else {(r["kind"], r["entity"]): r["attempt"] for r in few}
-
-    def swap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, found = [], []
-            for t, rare in zip(pdf["text"], pdf["_rare"] if joined else [None] * len(pdf)):
-                parts, at, own = [], 0, []
-                attempts = {(r["kind"], r["entity"]): r["attempt"] for r in rare} if rare is not None else later
-                for a, b, kind, e, part in mentions(t) if t else ():
-                    new = render(kind, t[a:b], surrogate(kind, e, key, int(attempts.get((kind, e), 0))), part)
-                    parts += [t[at:a], new]
-                    at = b
-                    own.append({"start": a, "end": b, "kind": kind, "surrogate": new})
-                texts.append(t if not own else "".join([*parts, t[at:]]))
-                found.append(own)
-            yield pdf.drop(columns="_rare", errors="ignore").assign(text=texts, entities=found)
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
-    full = _with_rare(base, rare) if joined else base
-    return full.mapInPandas(swap, schema + ", entities array<struct<start: int, end: int, kind: string, surrogate: string>>")
+    place = "struct<start: int, end: int, kind: string, surrogate: string>"
+
+    def swap(text: str | None, rare: list | None) -> tuple[str | None, list[dict]]:
+        parts, at, own = [], 0, []
+        attempts = {(r["kind"], r["entity"]): r["attempt"] for r in rare} if rare is not None else later
+        for a, b, kind, e, part in mentions(text) if text else ():
+            new = render(kind, text[a:b], surrogate(kind, e, key, int(attempts.get((kind, e), 0))), part)
+            parts += [text[at:a], new]
+            at = b
+            own.append({"start": a, "end": b, "kind": kind, "surrogate": new})
+        return text if not own else "".join([*parts, text[at:]]), own
+
+    rows = (lambda *sides: pd.DataFrame([swap(*x) for x in zip(*sides)], columns=["text", "entities"]))
+    kind = f"text string, entities array<{place}>"
+    name, out, rare_name = free_name(docs, "entities"), free_name(docs, "_out"), free_name(docs, "_rare")
+    if joined:
+        udf = F.pandas_udf(lambda text, rare: rows(text, rare), kind)
+        full = _with_rare(docs, rare, rare_name).withColumn(out, udf("text", rare_name))
+    else:
+        udf = F.pandas_udf(lambda text: rows(text, [None] * len(text)), kind)
+        full = docs.withColumn(out, udf("text"))
+    return full.select(*(F.col(f"{out}.text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.col(f"{out}.entities").alias(name))

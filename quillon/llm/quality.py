@@ -72,7 +72,8 @@ def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, ridge:
 
 
 def held_out(doc_id="doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+    """Rows that labels aren't learned from; one without doc_id is not held out, and has no labels."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = 12_000, pairs: int = 60_000) -> dict:
@@ -84,8 +85,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = 12_000, pairs: in
     return fit_bradley_terry(np.array([r["x"] for r in found]).reshape(-1, len(NAMES)), np.array([r["quality"] for r in found]), pairs)
 
 
-def score(documents: DataFrame, model: dict) -> DataFrame:
-    """All columns of documents and `score` (0 to 1; 0.5 and above is kept)."""
+def score(documents: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """All columns of documents and the score (0 to 1; 0.5 and above is kept) under `name`, which replaces a column of that name."""
+    small_batches(documents.sparkSession)
 
     @F.pandas_udf("double")
     def value(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -94,4 +96,4 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
             s = np.clip((x - model["mean"]) / model["sd"], -6, 6) @ model["w"] - model["centre"]
             yield pd.Series(1 / (1 + np.exp(-np.clip(s, -30, 30))))
 
-    return documents.withColumn("score", value("text"))
+    return documents.withColumn(name, value("text"))

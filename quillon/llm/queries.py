@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, mtree, ngram_join, packing, pii, quality, sharding, sp_suffix, token_files, windows
 
-TOKENIZERS = "/opt/tokenizers"
+SECRET = "for the synthetic tables alone"
+
+
+def secret(spark: SparkSession) -> str:
+    """The key of the surrogates: spark.quillon.surrogates.secret, which real data must set."""
+    return spark.conf.get("spark.quillon.surrogates.secret", SECRET)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +26,8 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.document_audio(_docs(spark, sf_dir))
 
 
-def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return packing.pack_documents(_docs(spark, sf_dir), f"{tokenizers}/word_bpe_49k.json")
+def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,18 +47,18 @@ def op6_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(v, v.where("vec_id % 100 = 0"))
 
 
-def op7_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return token_files.read_token_files(token_files.write_token_files(_docs(spark, sf_dir), f"{tokenizers}/byte_bpe_50k.json"))
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(token_files.write_token_files(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
 
 
-def op8_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    model = f"{tokenizers}/piece_bpe_32k.model"
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
     out = sp_suffix.decode_ids(sp_suffix.encode_documents(_docs(spark, sf_dir), model), model)
     return out.select("doc_id", F.size("ids").alias("n_ids"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_private(_docs(spark, sf_dir)).select("doc_id", "text", F.size("entities").alias("n_entities"), F.concat_ws(",", F.array_sort(F.array_distinct("entities.kind"))).alias("kinds"))
+    return pii.replace_private(_docs(spark, sf_dir), secret(spark)).select("doc_id", "text", F.size("entities").alias("n_entities"), F.concat_ws(",", F.array_sort(F.array_distinct("entities.kind"))).alias("kinds"))
 
 
 def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:

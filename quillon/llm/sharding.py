@@ -2,7 +2,7 @@
 
 Rows are ordered by (group key, row key): the 63-bit hash of a row's group, then an integer id. A splitter falls between two
 groups wherever the tolerance allows, so equal texts share a shard unless one group outweighs the tolerance; such a group is
-cut by the id. Each round is one aggregation with map-side sums over a narrow table; the driver sees at most a few thousand
+cut by the id, here a number that each row gets when the narrow table is written, so repeated rows are cut too. Each round is one aggregation with map-side sums over a narrow table; the driver sees at most a few thousand
 counts, whatever the input's size. Null group keys form one group; null ids count as the least id."""
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,19 +84,19 @@ def splitters(df: DataFrame, group: str, row: str, weight: str, fractions: Seque
     return sorted(out.values(), key=lambda x: (x[0], -(2**63) if x[1] is None else x[1]))
 
 
-def _part(bounds: list[tuple[int, int | None]]):
-    groups = np.array([g for g, _ in bounds], np.int64)
-    rows = np.array([np.iinfo(np.int64).min if r is None else r for _, r in bounds], np.int64)
-
-    @F.pandas_udf("int")
-    def part(group: pd.Series, row: pd.Series) -> pd.Series:
-        g, r = group.to_numpy(np.int64), row.to_numpy(np.int64)
-        left, right = np.searchsorted(groups, g, "left"), np.searchsorted(groups, g, "right")
-        for i in np.flatnonzero(left != right):
-            left[i] += np.searchsorted(rows[left[i] : right[i]], r[i], "right")
-        return pd.Series(left.astype(np.int32))
-
-    return part
+def _with_part(df: DataFrame, group: str, row: str, bounds: list[tuple[int, int | None]]) -> DataFrame:
+    """Add _part: how many bounds are at or below (group, row). Each of the 2**12 equal ranges of the group key has its own few."""
+    rows = [[] for _ in range(1 << 12)]
+    for g, r in bounds:
+        rows[min(g >> 51, (1 << 12) - 1)].append((g, -(2**63) if r is None else r))
+    table, below = [], 0
+    for k, own in enumerate(rows):
+        table.append((k, below, own))
+        below += len(own)
+    ranges = df.sparkSession.createDataFrame(table, "_range long, _below int, _bounds array<struct<g: long, r: long>>")  # a row for each range
+    under = F.filter("_bounds", lambda b: (b["g"] < F.col(group)) | ((b["g"] == F.col(group)) & (b["r"] <= F.col(row))))
+    marked = df.withColumn("_range", F.shiftright(group, 51)).join(F.broadcast(ranges), "_range")
+    return marked.withColumn("_part", F.col("_below") + F.size(under)).drop("_range", "_below", "_bounds")
 
 
 def histogram_shards(df: DataFrame, shards: int, group: str, row: str, size: str, tolerance: float = 0.002, parts: int | None = None) -> DataFrame:
@@ -112,7 +111,7 @@ def histogram_shards(df: DataFrame, shards: int, group: str, row: str, size: str
     least = lambda b: (b[0], -(2**63) if b[1] is None else b[1])
     bounds = sorted({*by_size, *by_rows}, key=least)
     shard_of = np.searchsorted([i for i, b in enumerate(bounds) if b in set(by_size)], range(len(bounds) + 1), "left") if by_size else np.zeros(len(bounds) + 1, int)
-    marked = df.withColumn("_part", _part(bounds)(F.col(group), F.col(row)))
+    marked = _with_part(df, group, row, bounds)
     counts, base, rows = {r["_part"]: r["count"] for r in marked.groupBy("_part").count().collect()}, {}, []
     for p, s in enumerate(shard_of):
         rows.append((p, int(s), base.get(s, 0)))
@@ -128,7 +127,7 @@ def shard_documents(documents: DataFrame, shards: int = 8) -> DataFrame:
     narrow = materialize(
         documents.select(
             "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64(text), 1).alias("_group"), F.coalesce("doc_id", F.lit(-(2**62))).alias("_row"),
+            F.shiftrightunsigned(F.xxhash64(text), 1).alias("_group"), F.monotonically_increasing_id().alias("_row"),
         ), "shard-keys")
     out = histogram_shards(narrow, shards, "_group", "_row", "size")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

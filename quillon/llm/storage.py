@@ -50,6 +50,14 @@ def nameless(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), *(columns or ("text",)))
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, or wanted with underscores behind it, whatever df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def named(rows: DataFrame) -> DataFrame:
     """Undo nameless()."""
     return rows.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
