@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .storage import drop, materialize, small_batches
 from .textbatch import as_bytes, shingles, text_slices, words
 
-FRAGMENTS, BEST = 4, 2
+FRAGMENTS, BEST = 2, 2
 WORDS = 4  # of 64 bits in a parity signature
 BUCKET = 2_000_000  # sampled shingles that a task compares at once
 
@@ -265,7 +265,10 @@ def _labels(parts: tuple[DataFrame, DataFrame], num: int, den: int) -> DataFrame
         posted = materialize(kept.withColumn("component", F.coalesce("to", "component")).withColumn("size", F.coalesce("grown", "size")).select(*held.columns), "postings")
         drop(held), drop(lists)
         held = posted
-    pairs = mixed.alias("p").join(mixed.alias("c"), "token").where("p.component < c.component").where(_possible("p", "c", num, den))
+    # a pair comes out at the first shingle its prefixes share, once
+    own = posted.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.negative("rest").alias("at"), "token"))).alias("prefix")).select("rep", F.col("prefix.token").alias("prefix"))
+    mixed = mixed.join(own, "rep")
+    pairs = mixed.alias("p").join(mixed.alias("c"), "token").where("p.component < c.component").where(_possible("p", "c", num, den)).where(F.array_intersect("p.prefix", "c.prefix")[0] == F.col("token"))
     sides = [F.col(f"{x}.{n}").alias(f"{m}{y}") for n, m in (("rep", ""), ("n", "n"), ("component", "c")) for x, y in (("p", "a"), ("c", "b"))]
     rest = linked(pairs.select(*sides).distinct())
     return _merged(labels, rest)
