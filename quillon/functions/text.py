@@ -76,6 +76,17 @@ def height_cm(text: Column) -> Column:
     return F.when(m.between(120, 220), m).when((feet != "") & (i <= 11), F.round(feet.try_cast("int") * 30.48 + i * 2.54).cast("int"))
 
 
+def email(text: Column) -> Column:
+    """Trimmed and in lower case, dots and plus kept; null where longer than 254 characters or of another shape."""
+    t = F.lower(F.trim(text))
+    return F.when((F.length(t) <= 254) & t.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), t)
+
+
+def unpadded_size(text: Column) -> Column:
+    """Leading zeros before letters dropped ('0XL', '00S'); numbers stay."""
+    return F.regexp_replace(text, r"^0+(?=[A-Za-z])", "")
+
+
 def size_label(text: Column) -> Column:
     """XS to XXL, 2XL forms, numbers, waist x length and one size; other labels are null."""
     t = F.upper(F.trim(text))

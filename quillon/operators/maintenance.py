@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,8 +28,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, owned: list[str],
 def soft_delete(existing: DataFrame, incoming: DataFrame, key: str, group: str, seen: str, now: str, days: int = 7, share: float = 0.5) -> DataFrame:
     """(key, deactivate): absent rows not seen for `days`, but only in groups of which the run saw enough."""
     marked = existing.join(incoming.select(key, F.lit(1).alias("_in")), key, "left")
-    w = Window.partitionBy(group)
-    enough = F.sum(F.coalesce("_in", F.lit(0))).over(w) >= share * F.count(F.lit(1)).over(w)
+    per = marked.groupBy(F.col(group).alias("_group")).agg((F.sum(F.coalesce("_in", F.lit(0))) >= share * F.count(F.lit(1))).alias("_enough"))
+    marked, enough = marked.join(per, F.col(group).eqNullSafe(F.col("_group"))), F.col("_enough")
     old = F.col(seen) < F.expr(f"timestamp_ntz '{now}' - interval {days} days")
     return marked.select(key, (enough & F.col("_in").isNull() & old).alias("deactivate"))
 

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The weights of the components, of the blend, the step and the stable count.
 WEIGHTS = {"brand": 0.30, "fiber": 0.20, "material": 0.15, "styling": 0.10, "aesthetic": 0.10, "silhouette": 0.10, "price": 0.05}
 BLEND, K, STABLE = 0.35, 0.1, 20
 
@@ -87,6 +88,23 @@ def brand_score(brand: Column, scores: Column) -> Column:
     return F.coalesce(F.try_element_at(scores, brand), F.when(F.size(known) > 0, F.greatest(F.lit(0.0), mean - 0.1)), F.lit(0.5))
 
 
+def known_score(value: Column, scores: Column) -> Column:
+    """The learned score of a value; unknown is neutral."""
+    return F.coalesce(F.try_element_at(scores, value), F.lit(0.5))
+
+
+def best_reason(items: DataFrame, key: list[str], rules: DataFrame) -> DataFrame:
+    """key, reason of the rule with the best positive (hits - misses) / max(1, hits + misses); the first such rule, null without one.
+
+    items: key, attr, value; rules: place, attr, prefers, avoids, reason (a fixed table)."""
+    met = items.join(F.broadcast(rules), "attr")
+    hit, miss = F.coalesce(F.array_contains("prefers", F.col("value")), F.lit(False)), F.coalesce(F.array_contains("avoids", F.col("value")), F.lit(False))
+    per = met.groupBy(*key, "place", "reason").agg(F.sum(hit.cast("int")).alias("h"), F.sum(miss.cast("int")).alias("m"))
+    ratio = (F.col("h") - F.col("m")) / F.greatest(F.lit(1), F.col("h") + F.col("m"))
+    best = per.where("h > m").groupBy(*key).agg(F.max_by("reason", F.struct(ratio.alias("ratio"), F.negative("place"))).alias("reason"))
+    return items.select(*key).distinct().join(best, key, "left").select(*key, "reason")
+
+
 def closeness(ratio: Column, preferred: Column) -> Column:
     return F.coalesce(1 - F.abs(ratio - preferred), F.lit(0.5))
 
@@ -94,7 +112,7 @@ def closeness(ratio: Column, preferred: Column) -> Column:
 def price_fit(cents: Column, low: Column, high: Column) -> Column:
     below = F.greatest(F.lit(0.4), 1 - (low - cents) / F.greatest(low, F.lit(1)))
     above = F.greatest(F.lit(0.0), 1 - (cents - high) / F.greatest(high, F.lit(1)))
-    return F.when(cents.isNull(), 0.5).when(cents < low, below).when(cents > high, above).otherwise(1.0)
+    return F.when(cents.isNull() | (low.isNull() & high.isNull()), 0.5).when(cents < low, below).when(cents > high, above).otherwise(1.0)
 
 
 def weighted(components: Mapping[str, Column]) -> Column:

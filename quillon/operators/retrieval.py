@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import s_stem, tokens
 
+# Fixed values.
 K1, B, FLOOR, LIMIT, EXPANSION = 1.2, 0.75, 2.0, 120, 0.6
 
 
@@ -23,9 +24,10 @@ def postings(docs: DataFrame, key: str, fields: Mapping[str, Column], analyzer:
     return flat.groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), *more)
 
 
-def corpus_stats(post: DataFrame, key: str) -> DataFrame:
-    """(field, n_docs, avgdl): documents with at least one token in the field."""
-    return post.groupBy("field", key).agg(F.first("dl").alias("dl")).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+def corpus_stats(docs: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
+    """(field, n_docs, avgdl): documents with at least one token in the field. Lengths alone: no token is shuffled."""
+    sizes = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.size(tokens(c)).alias("dl")) for n, c in fields.items()))).alias("f")
+    return docs.select(sizes).select("f.*").where("dl > 0").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, key: str, text: Column, analyzer: str = "none", weight: float = 1.0) -> DataFrame:
@@ -34,13 +36,12 @@ def query_terms(queries: DataFrame, key: str, text: Column, analyzer: str = "non
     return queries.select(key, F.explode(tokens(text)).alias("t")).groupBy(key, stem(F.col("t")).alias("term")).agg((F.count(F.lit(1)) * F.lit(weight)).alias("w"))
 
 
-def bm25_parts(post: DataFrame, doc: str, terms: DataFrame, query: str) -> DataFrame:
+def bm25_parts(post: DataFrame, doc: str, terms: DataFrame, query: str, stats: DataFrame) -> DataFrame:
     """(query, doc, field, part): each field's sum, so any boosts are a weighted sum of these rows.
 
-    Only postings of query terms leave the index; document frequencies come from them, corpus statistics are a row per field."""
+    Only postings of query terms leave the index; document frequencies come from them, stats is corpus_stats(): a row per field."""
     wanted = post.join(terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(post, doc)
     tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = wanted.join(df, ["field", "term"]).join(F.broadcast(stats), "field").join(terms, "term")  # stats: one row per field
@@ -76,7 +77,8 @@ def conjunctive(post: DataFrame, doc: str, terms: list[str]) -> DataFrame:
 
 
 def phrase(docs: DataFrame, doc: str, text: Column, terms: list[str]) -> DataFrame:
-    """(doc, n): documents in which the terms follow each other, and how often."""
-    ts = docs.select(doc, tokens(text).alias("ts")).where(F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains("ts", t)))
-    starts = F.filter(F.sequence(F.lit(0), F.size("ts") - len(terms)), lambda i: F.slice("ts", i + 1, len(terms)) == F.array(*map(F.lit, terms)))
-    return ts.where(F.size("ts") >= len(terms)).select(doc, F.size(starts).alias("n")).where("n > 0")
+    """(doc, n): documents in which the terms follow each other, and how often: a positional join of the terms' places."""
+    at = docs.select(doc, F.posexplode(tokens(text)).alias("pos", "term")).where(F.col("term").isin(*set(terms)))
+    starts = F.filter(F.array(*(F.when(F.col("term") == t, F.struct((F.col("pos") - k).alias("start"), F.lit(k).alias("k"))) for k, t in enumerate(terms))), lambda x: x.isNotNull())
+    met = at.select(doc, F.explode(starts).alias("x")).groupBy(doc, "x.start").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") == len(terms))
+    return met.groupBy(doc).agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -56,6 +56,14 @@ def eval_summary(read):
     return per.agg(F.round(F.avg("precision"), 6).alias("mean"), F.round(e.standard_error("precision"), 6).alias("se"), (F.min("precision") >= 0.05).alias("passed"))
 
 
+@query(f"WITH {_J}, p AS (SELECT source, avg((grade >= 2)::INT) FILTER (rank <= 10) AS now, avg((grade >= 2)::INT) FILTER (rank <= 5) AS base FROM r GROUP BY 1) SELECT source, round(now - base, 6) AS delta FROM p")
+def baseline_delta(read):
+    """A metric of this run less that of the baseline (here precision at 10 and at 5)."""
+    ranked = _both(read)[0]
+    now, base = e.precision(ranked, "source", 10), e.precision(ranked, "source", 5).withColumnRenamed("precision", "base")
+    return now.join(base, "source").select("source", F.round(F.col("precision") - F.col("base"), 6).alias("delta"))
+
+
 @query("SELECT p_type, row_number() OVER (ORDER BY a DESC, b DESC, p_type) AS place FROM (SELECT p_type, round(avg(p_size), 6) AS a, round(avg(p_retailprice), 6) AS b FROM part GROUP BY 1)")
 def sweep_rank(read):
     per = read("part").groupBy("p_type").agg(F.round(F.avg("p_size"), 6).alias("a"), F.round(F.avg("p_retailprice"), 6).alias("b"))

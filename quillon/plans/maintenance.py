@@ -69,6 +69,23 @@ def content_hash(read):
     return read("part").select("p_partkey", F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("p_name", "p_brand", "p_type", "p_size"))), 256).alias("hash"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 14 ELSE 7 END AS days, NOT (c_custkey % 5 = 0) AS enabled FROM customer")
+def cadence_update(read):
+    """A cadence and a switch set for the rows that a key names; the others keep theirs."""
+    c = read("customer").select("c_custkey", "c_mktsegment", F.lit(7).alias("days"), F.lit(True).alias("enabled"))
+    days = F.when(F.col("c_mktsegment") == "BUILDING", 14).otherwise(F.col("days"))
+    return c.select("c_custkey", days.alias("days"), F.when(F.col("c_custkey") % 5 == 0, False).otherwise(F.col("enabled")).alias("enabled"))
+
+
+@query("""WITH x AS (SELECT p_partkey, [lower(p_type), string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]] AS given FROM part)
+SELECT p_partkey, array_to_string(list_filter(given, lambda v: v IN ('small', 'large', 'red', 'ring')), ',') AS kept, len(list_filter(given, lambda v: v NOT IN ('small', 'large', 'red', 'ring')))::INTEGER AS dropped FROM x""")
+def sanitize_extraction(read):
+    """Extracted values (JSON) held to the vocabulary, with the number that it refuses."""
+    given = F.from_json(F.to_json(F.concat(F.array(F.lower("p_type")), F.slice(F.split("p_name", " "), 1, 2))), "array<string>")
+    known = lambda v: v.isin("small", "large", "red", "ring")
+    return read("part").select("p_partkey", given.alias("g")).select("p_partkey", F.array_join(F.filter("g", known), ",").alias("kept"), F.size(F.filter("g", lambda v: ~known(v))).alias("dropped"))
+
+
 @query("SELECT p_partkey, coalesce(CASE WHEN p_type IN ('SMALL', 'LARGE') THEN lower(p_type) END, CASE WHEN string_split(p_name, ' ')[1] IN ('small', 'large') THEN string_split(p_name, ' ')[1] END, 'unknown') AS size_class FROM part")
 def facet_cascade(read):
     first = F.split("p_name", " ")[0]

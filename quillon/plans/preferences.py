@@ -79,6 +79,40 @@ def rule_scores(read):
     return p.rule_scores(part.select("p_partkey", attrs).select("p_partkey", "x.*"), ["p_partkey"], rules).select("p_partkey", F.round("score", 6).alias("score"))
 
 
+_ITEMS = "i AS (SELECT p_partkey, 'type' AS attr, p_type AS value FROM part UNION ALL SELECT p_partkey, 'tone', string_split(p_name, ' ')[1] FROM part)"
+_TABLE = "r AS (SELECT *, CASE rule WHEN 'calm' THEN 1 ELSE 2 END AS place FROM (VALUES ('calm', 'type', ['SMALL', 'MEDIUM'], ['PROMO']), ('calm', 'tone', ['blue', 'cold'], ['red', 'hot']), ('bold', 'tone', ['red', 'hot'], ['old']), ('bold', 'type', ['PROMO', 'LARGE'], []::VARCHAR[])) t(rule, attr, p, a))"
+
+
+def _items(read):
+    attrs = F.explode(F.array(F.struct(F.lit("type").alias("attr"), F.col("p_type").alias("value")), F.struct(F.lit("tone").alias("attr"), F.split("p_name", " ")[0].alias("value")))).alias("x")
+    return read("part").select("p_partkey", attrs).select("p_partkey", "x.*")
+
+
+@query(f"""WITH {_ITEMS}, {_TABLE}, s AS (SELECT p_partkey, rule, place, sum(list_contains(p, value)::INT) AS h, sum(list_contains(a, value)::INT) AS m FROM i JOIN r USING (attr) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY (h - m) / greatest(1, h + m)::DOUBLE DESC, place) AS n FROM s WHERE h > m)
+SELECT p_partkey, b.rule || ' style' AS reason FROM part LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (p_partkey)""")
+def best_reason(read):
+    """The reason of each part's best positive rule; the first of equals."""
+    items = _items(read)
+    rules = items.sparkSession.createDataFrame([({"calm": 1, "bold": 2}[n], a, p_, m, f"{n} style") for n, a, p_, m in _RULES], "place int, attr string, prefers array<string>, avoids array<string>, reason string")
+    return p.best_reason(items, ["p_partkey"], rules)
+
+
+@query(f"WITH {_ITEMS}, {_TABLE} SELECT p_partkey, rule, list_contains(p, value) AS hit, list_contains(a, value) AS miss FROM i JOIN r USING (attr)")
+def rule_hits(read):
+    """Whether each value is among those that a rule prefers or avoids; an empty list or a null value is no hit."""
+    items = _items(read)
+    rules = F.broadcast(items.sparkSession.createDataFrame(_RULES, "rule string, attr string, prefers array<string>, avoids array<string>"))
+    has = lambda c: F.coalesce(F.arrays_overlap(c, F.array("value")), F.lit(False))
+    return items.join(rules, "attr").select("p_partkey", "rule", has("prefers").alias("hit"), has("avoids").alias("miss"))
+
+
+@query("SELECT p_partkey, CASE string_split(p_name, ' ')[1] WHEN 'red' THEN 0.8::DOUBLE WHEN 'blue' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END AS score FROM part")
+def known_score(read):
+    scores = F.create_map(F.lit("red"), F.lit(0.8), F.lit("blue"), F.lit(0.2))
+    return read("part").select("p_partkey", p.known_score(F.split("p_name", " ")[0], scores).alias("score"))
+
+
 @query("SELECT w, max(v) AS weight FROM (SELECT unnest([lower(c_mktsegment), 'any']) AS w, unnest([0.65::DOUBLE, 0.5::DOUBLE]) AS v FROM customer) GROUP BY w")
 def seed_pref_max(read):
     seeds = F.explode(F.array(F.struct(F.lower("c_mktsegment").alias("w"), F.lit(0.65).alias("v")), F.struct(F.lit("any").alias("w"), F.lit(0.5).alias("v")))).alias("s")

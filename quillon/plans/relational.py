@@ -97,9 +97,9 @@ def update_from_agg(read):
     return read("customer").join(t, "c_custkey", "left").select("c_custkey", F.round(F.coalesce(F.col("c_acctbal") + F.col("t"), "c_acctbal"), 2).alias("balance"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_join(read):
-    return read("customer").join(read("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return read("customer").join(read("orders").where("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT p_name, count(*) AS n, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS resolved FROM part GROUP BY 1")
@@ -276,7 +276,7 @@ def error_classify(read):
 
 @query(None)
 def rate_limit_fold(read):
-    return limits.rate_limit(read("events").select("event_id", "ts", "event_type"), "event_type", "ts", "event_id", 5, 3600.0).select("event_id", "admitted")
+    return limits.rate_limit(read("events").select("event_id", "ts", "user_id"), "user_id", "ts", "event_id", 5, 3600.0).select("event_id", "admitted")
 
 
 @query(None)

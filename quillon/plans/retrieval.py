@@ -16,32 +16,33 @@ ix AS (SELECT doc_id, lang, source, len(ts) AS dl, unnest(ts) AS term FROM tk),
 po AS (SELECT doc_id, any_value(lang) AS lang, any_value(source) AS source, term, count(*) AS tf, any_value(dl) AS dl FROM ix GROUP BY doc_id, term),
 st AS (SELECT count(*)::DOUBLE AS n_docs, avg(dl) AS avgdl FROM (SELECT doc_id, any_value(dl) AS dl FROM ix GROUP BY doc_id)),
 df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
-qt AS (SELECT item_id, term, count(*)::DOUBLE AS w FROM (SELECT item_id, unnest({_TOK.format("array_to_string(string_split(text, ' ')[1:8], ' ')")}) AS term FROM benchmark) GROUP BY 1, 2),
+qt AS (SELECT item_id, term, count(*)::DOUBLE AS w FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 sc AS (SELECT item_id, doc_id, any_value(lang) AS lang, any_value(source) AS source,
   sum(w * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
   FROM po JOIN df USING (term) JOIN qt USING (term), st GROUP BY 1, 2)"""
-_TOP = "SELECT item_id, rank, doc_id, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {}) WHERE rank <= 120{}"
+_TOP = "SELECT item_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM {}) WHERE rank <= 120{}"
 
 
 def _benchmark(read):
-    return r.query_terms(read("benchmark"), "item_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
+    return r.query_terms(read("benchmark"), "item_id", F.col("text"))
 
 
-def _scores(read):
-    post = r.postings(read("documents"), "doc_id", {"text": F.col("text")})
-    return r.boosted(r.bm25_parts(post, "doc_id", _benchmark(read), "item_id"), "item_id", "doc_id", {"text": 1.0})
+def _scores(read, terms=None):
+    docs, fields = read("documents"), {"text": F.col("text")}
+    post = r.postings(docs, "doc_id", fields)
+    return r.boosted(r.bm25_parts(post, "doc_id", _benchmark(read) if terms is None else terms, "item_id", r.corpus_stats(docs, fields)), "item_id", "doc_id", {"text": 1.0})
 
 
 def _ranked(scores, k=120, floor=None):
-    out = r.top_k(scores.withColumn("score", F.round("score", 9)), "item_id", "doc_id", k, floor)
+    out = r.top_k(scores.withColumn("score", F.round("score", 6)), "item_id", "doc_id", k, floor)
     return out.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_INDEX} SELECT count(*) AS postings, (SELECT count(*) FROM df) AS terms, any_value(n_docs)::BIGINT AS n_docs, round(any_value(avgdl), 6) AS avgdl, sum(tf)::BIGINT AS tokens FROM po, st")
 def bm25_index_stats(read):
-    post = r.postings(read("documents"), "doc_id", {"text": F.col("text")})
-    a = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"))
-    return a.crossJoin(F.broadcast(r.corpus_stats(post, "doc_id").select("n_docs", F.round("avgdl", 6).alias("avgdl"))))  # one row each
+    docs, fields = read("documents"), {"text": F.col("text")}
+    a = r.postings(docs, "doc_id", fields).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"))
+    return a.crossJoin(F.broadcast(r.corpus_stats(docs, fields).select("n_docs", F.round("avgdl", 6).alias("avgdl"))))  # one row each
 
 
 @query(f"WITH {_INDEX} " + _TOP.format("sc", ""))
@@ -49,7 +50,7 @@ def bm25_topk(read):
     return _ranked(_scores(read))
 
 
-@query(f"WITH {_INDEX} " + _TOP.format("sc", " AND round(score, 9) >= 8"))
+@query(f"WITH {_INDEX} " + _TOP.format("sc", " AND round(score, 6) >= 8"))
 def bm25_topk_floor(read):
     return _ranked(_scores(read), floor=8.0)
 
@@ -65,10 +66,9 @@ ex AS (SELECT item_id, term, sum(w) AS w FROM (SELECT * FROM qt UNION ALL SELECT
 s2 AS (SELECT item_id, doc_id, sum(w * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
   FROM po JOIN df USING (term) JOIN ex USING (term), st GROUP BY 1, 2) """ + _TOP.format("s2", ""))
 def bm25_expanded(read):
-    post = r.postings(read("documents"), "doc_id", {"text": F.col("text")})
     more = read("benchmark").select("item_id", F.explode(F.array(F.lit("tion"), F.lit("the"))).alias("term"), F.lit(r.EXPANSION).alias("w"))
     terms = _benchmark(read).unionByName(more).groupBy("item_id", "term").agg(F.sum("w").alias("w"))
-    return _ranked(r.boosted(r.bm25_parts(post, "doc_id", terms, "item_id"), "item_id", "doc_id", {"text": 1.0}))
+    return _ranked(_scores(read, terms))
 
 
 _PAGES = f"""
@@ -78,19 +78,19 @@ px AS (SELECT page_id, field, len(ts) AS dl, unnest(ts) AS term FROM pt),
 pp AS (SELECT page_id, field, term, count(*) AS tf, any_value(dl) AS dl FROM px GROUP BY 1, 2, 3),
 ps AS (SELECT field, count(*)::DOUBLE AS n_docs, avg(dl) AS avgdl FROM (SELECT page_id, field, any_value(dl) AS dl FROM px GROUP BY 1, 2) GROUP BY 1),
 pd AS (SELECT field, term, count(*) AS df FROM pp GROUP BY 1, 2),
-pq AS (SELECT item_id, term, count(*)::DOUBLE AS w FROM (SELECT item_id, unnest({_TOK.format("array_to_string(string_split(text, ' ')[1:8], ' ')")}) AS term FROM benchmark) GROUP BY 1, 2),
+pq AS (SELECT item_id, term, count(*)::DOUBLE AS w FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 pa AS (SELECT item_id, page_id, field, sum(w * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS part
   FROM pp JOIN pd USING (field, term) JOIN ps USING (field) JOIN pq USING (term) GROUP BY 1, 2, 3)"""
 
 
 def _page_parts(read):
     fields = {"title": F.regexp_extract("html", "<title>([^<]*)</title>", 1), "url": F.col("url")}
-    return r.bm25_parts(r.postings(read("pages"), "page_id", fields), "page_id", _benchmark(read), "item_id")
+    return r.bm25_parts(r.postings(read("pages"), "page_id", fields), "page_id", _benchmark(read), "item_id", r.corpus_stats(read("pages"), fields))
 
 
-@query(f"WITH {_PAGES}, sc AS (SELECT item_id, page_id, sum(part * CASE field WHEN 'title' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END) AS score FROM pa GROUP BY 1, 2) SELECT item_id, rank, page_id, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, page_id) AS rank FROM sc) WHERE rank <= 20")
+@query(f"WITH {_PAGES}, sc AS (SELECT item_id, page_id, sum(part * CASE field WHEN 'title' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END) AS score FROM pa GROUP BY 1, 2) SELECT item_id, rank, page_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, page_id) AS rank FROM sc) WHERE rank <= 20")
 def bm25_multifield(read):
-    s = r.boosted(_page_parts(read), "item_id", "page_id", {"title": 4.0, "url": 1.0}).withColumn("score", F.round("score", 9))
+    s = r.boosted(_page_parts(read), "item_id", "page_id", {"title": 4.0, "url": 1.0}).withColumn("score", F.round("score", 6))
     return r.top_k(s, "item_id", "page_id", 20).select("item_id", F.col("rank").cast("long").alias("rank"), "page_id", F.round("score", 6).alias("score"))
 
 

@@ -135,6 +135,18 @@ def size_norm(read):
     return read("part").select("p_partkey", t.size_label(raw).alias("size"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE lower(replace(c_name, '#', '.')) || '+x@mail.example.com' END AS email FROM customer")
+def email_normalise(read):
+    raw = F.concat(F.lit("  "), F.replace("c_name", F.lit("#"), F.lit(".")), F.when(F.col("c_custkey") % 3 == 0, " at mail ").otherwise("+X@Mail.example.COM "))
+    return read("customer").select("c_custkey", t.email(raw).alias("email"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'XL' ELSE lpad(p_size::VARCHAR, 3, '0') END AS size FROM part")
+def zero_pad_strip(read):
+    raw = F.when(F.col("p_size") % 2 == 0, "00XL").otherwise(F.lpad(F.col("p_size").cast("string"), 3, "0"))
+    return read("part").select("p_partkey", t.unpadded_size(raw).alias("size"))
+
+
 @query("SELECT doc_id, coalesce(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|'))[1], list_filter(string_split(text, chr(10)), lambda x: len(x) > 80)[1]) AS line FROM documents")
 def line_priority_pick(read):
     lines = F.split("text", "\n")
