@@ -3,11 +3,12 @@
 1. Equal sets are one class, so copies cost nothing later. 2. A class that links to another shares ceil(t*n) of its n shingles,
 so of the shingles below a fixed hash threshold it may miss n - ceil(t*n) at most; classes that miss more end here, and need no
 further shuffle. 3. For the rest, document frequency gives the global order, shingles of one class are dropped (they count as
-missed), and the order is cut into fragments. 4. Prefixes of the order give candidates, in rounds: a class meets the heads of its
-prefix lists, the most central classes of the largest groups so far, and the BEST nearest of them are tried. Groups that link are
-contracted, and lists that hold one group alone leave. Once a round links nothing, or the pairs left are no more than the
-postings, all pairs whose groups still differ are tried, so a group of near copies never makes all its pairs. Candidates are
-only pairs that the places of their first shared shingle and their parity signatures allow to link.
+missed), and the order is cut into fragments. 4. Prefixes of the order give candidates, in rounds. In the first a class meets the
+heads of its prefix lists, the most central classes of the largest groups; in each later one its next AHEAD in the lists, cut by
+some bits of the parity signatures and put in order by others, other bits each time. The BEST nearest of them are tried. Groups
+that link are contracted, and lists that hold one group alone leave. Once a round adds few links, or the pairs left are no
+more than the postings, all pairs whose groups still differ are tried, so a group of near copies never makes all its pairs.
+Candidates are only pairs that the places of their first shared shingle and their parity signatures allow to link.
 5. The overlap of a candidate is counted in each fragment by itself and summed per pair; the sum decides exactly.
 
 Rows without words or text are linked with nothing. A row without doc_id keeps its set's size; its component is null."""
@@ -19,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import drop, materialize, small_batches
 from .textbatch import as_bytes, shingles, text_slices, words
 
-FRAGMENTS, BEST = 2, 2
+FRAGMENTS, BEST, AHEAD = 2, 2, 2
+FEW = 8  # a round that links less than one in so many of all that rounds linked is the last one
+SPAN = 4096  # postings of one list that are put in order together, about
 WORDS = 4  # of 64 bits in a parity signature
 BUCKET = 2_000_000  # sampled shingles that a task compares at once
 
@@ -224,12 +227,22 @@ def _possible(a: str, b: str, num: int, den: int):
     return den * most >= num * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
 
 
+def _ahead(posted: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
+    """Structs p and c of postings that follow each other in a list of shingles. Long lists are cut, by likeness as far as that goes."""
+    near = F.shiftright(F.col(SIGNATURE[turn % WORDS]), 4 * (turn // WORDS) % 64).bitwiseAND(15).alias("near")
+    cut = F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("k") / SPAN)).alias("cut")
+    rows = posted.join(lists.select("token", "k"), "token").select("token", near, cut, F.struct("rep", "n", "r", "rest", *SIGNATURE, "component").alias("p"))
+    by = Window.partitionBy("token", "near", "cut").orderBy(*(f"p.{SIGNATURE[(turn + k) % WORDS]}" for k in range(1, WORDS)), "p.rep")
+    ahead = rows.select("p", *(F.lead("p", k).over(by).alias(f"c{k}") for k in range(1, AHEAD + 1)))
+    return ahead.select("p", F.explode(F.array(*(f"c{k}" for k in range(1, AHEAD + 1)))).alias("c")).where("c is not null")
+
+
 def _labels(parts: tuple[DataFrame, DataFrame], num: int, den: int) -> DataFrame:
     """rep, component of the classes that link with another: the least class that can be reached."""
     posted, segments = parts
     spark, held = posted.sparkSession, posted
     labels = spark.createDataFrame([], "rep long, component long")
-    most, more = posted.count(), True
+    most, more, turn, made = posted.count(), True, 0, 0
     place = F.struct("size", "weight", F.negative("rep").alias("m"), "rep", "n", "r", "rest", *SIGNATURE, "component")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -244,19 +257,23 @@ def _labels(parts: tuple[DataFrame, DataFrame], num: int, den: int) -> DataFrame
         dealt = posted.repartition("token")
         groups = dealt.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"), F.max(place).alias("c"))
         # of each list with several groups: its head, and its pairs across groups
-        lists = groups.groupBy("token").agg(F.max("c").alias("c"), F.count(F.lit(1)).alias("groups"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"))
-        lists = materialize(lists.where("groups > 1").select("token", "c", "cross"), "lists")
+        lists = groups.groupBy("token").agg(F.max("c").alias("c"), F.count(F.lit(1)).alias("groups"), F.sum("k").alias("k"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"))
+        lists = materialize(lists.where("groups > 1").select("token", "c", "k", "cross"), "lists")
         cross = lists.agg(F.sum("cross")).first()[0] or 0
         mixed = dealt.join(lists.select("token"), "token", "left_semi")
         if not more or cross <= most:
             break
-        head = posted.alias("p").join(lists.select("token", "c.*").alias("c"), "token").where("p.component <> c.component").where(_possible("p", "c", num, den))
-        near = head.select("p.rep", "p.n", "p.component", F.struct(_differ("p", "c").alias("d"), F.col("c.rep").alias("rep"), F.col("c.n").alias("n"), F.col("c.component").alias("component")).alias("c"))
-        # heads of one class's lists: no more than its shingles
+        met = _ahead(posted, lists, turn) if turn else posted.alias("p").join(lists.select("token", "c.*").alias("c"), "token")
+        met = met.where("p.component <> c.component").where(_possible("p", "c", num, den))
+        near = met.select("p.rep", "p.n", "p.component", F.struct(_differ("p", "c").alias("d"), F.col("c.rep").alias("rep"), F.col("c.n").alias("n"), F.col("c.component").alias("component")).alias("c"))
+        # what one class meets: no more than AHEAD times its shingles
         best = near.groupBy("rep", "n", "component").agg(F.explode(F.slice(F.sort_array(F.collect_set("c")), 1, BEST)).alias("c"))
         links = linked(best.select(F.col("rep").alias("a"), F.col("c.rep").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"), F.col("component").alias("ca"), F.col("c.component").alias("cb")))
-        more = links.limit(1).count() > 0
-        if not more:
+        done = links.count()
+        made += done
+        more = turn == 0 or FEW * done >= made > 0
+        turn += 1
+        if not done:
             continue
         labels = _merged(labels, links)
         grown = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
