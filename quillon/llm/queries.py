@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, mtree, ngram_join, packing, pii, quality, sharding, sp_suffix, token_files, windows
+from . import audio, collocation, curve, merkle, mtree, ngram_join, packing, pii, quality, sharding, sp_suffix, token_files, windows
 
 SECRET = "for the synthetic tables alone"
 
@@ -67,6 +67,19 @@ def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = curve.curve_pieces(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_docs(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_docs(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,9 +88,41 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_audio_features, op2_sum_of_squares_packing, op3_histogram_shards, op4_repeated_passages, op5_ngram_jaccard, op6_mtree_top_k, op7_token_files, op8_sentencepiece, op9_surrogates, op10_bradley_terry, pipeline)
+    for f in (op1_audio_features, op2_sum_of_squares_packing, op3_histogram_shards, op4_repeated_passages, op5_ngram_jaccard, op6_mtree_top_k, op7_token_files, op8_sentencepiece, op9_surrogates, op10_bradley_terry, op11_hilbert_packing, op12_merkle_manifest, op13_collocations, pipeline)
 }
 
+
+def _merkle_sql(levels: int = 8) -> str:
+    """16**levels leaves a source and as many sources at most. A level's only node is passed on as it is."""
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda t: "sha256(" + " || ".join([*map(value, ("doc_id", "source", "lang", "n_chars")), value(t)]) + ")"
+    bit = "lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {bit})), 4294967295::BIGINT)"
+
+    def tree(name: str, group: str, table: str) -> list[str]:
+        """name0 to name{levels}: nodes of each level; name: each leaf's siblings, level by level."""
+        out, by = [f"{name}0 AS (SELECT {group} AS g, i, d, count(*) OVER (PARTITION BY {group}) AS n FROM {table})"], "PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+        for k in range(levels):
+            out.append(f"{name}{k}s AS (SELECT g, i, n, coalesce(string_agg(d, '') OVER ({by} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(d, '') OVER ({by} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z FROM {name}{k})")
+            out.append(f"{name}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d, (any_value(n) + 15) // 16 AS n FROM {name}{k} GROUP BY g, i // 16)")
+        joins = " ".join(f"JOIN {name}{k}s s{k} ON s{k}.g IS NOT DISTINCT FROM l.g AND s{k}.i = l.i // {16**k}" for k in range(levels))
+        sides = ", ".join(f"{{'n': s{k}.n, 'a': s{k}.a, 'z': s{k}.z}}" for k in range(levels))
+        return [*out, f"{name} AS (SELECT l.g, l.i, [{sides}] AS sides FROM {name}0 l {joins})"]
+
+    folded = "list_reduce(list_prepend({'n': 0::BIGINT, 'a': t, 'z': ''}, list_filter(sides, lambda s: s.n > 1)), lambda f, s: {'n': 0::BIGINT, 'a': sha256(s.a || f.a || s.z), 'z': ''}).a"
+    return f"""
+WITH h AS (SELECT doc_id, source, {leaf("text")} AS d, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {leaf(text)} ELSE {leaf("text")} END AS t FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS i FROM h),
+{", ".join(tree("v", "source", "l"))},
+r AS (SELECT g AS source, d, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i FROM v{levels}),
+{", ".join(tree("w", "0", "r"))},
+o AS (SELECT l.doc_id, l.d, l.t, r.d AS subroot, list_concat(v.sides, w.sides) AS sides
+      FROM l JOIN v ON v.g IS NOT DISTINCT FROM l.source AND v.i = l.i JOIN r ON r.source IS NOT DISTINCT FROM l.source JOIN w ON w.i = r.i),
+q AS (SELECT *, (SELECT d FROM w{levels}) AS root, {folded} AS f FROM o)
+SELECT doc_id, d AS leaf, subroot, root, sha256(list_reduce(list_prepend('', list_transform(sides, lambda s: s.a || s.z)), lambda x, y: x || y)) AS proof_sha256, f AS folded_root, f = root AS verified FROM q"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
@@ -99,4 +144,26 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT row_number() OVER () AS p, lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') AS w
+      FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+s AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
+      FROM (SELECT p, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM p) WINDOW o AS (PARTITION BY p ORDER BY i)),
+g AS (SELECT lang, k, CASE k WHEN 1 THEN w1 WHEN 2 THEN w1 || ' ' || w2 WHEN 3 THEN w1 || ' ' || w2 || ' ' || w3 ELSE w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 END AS phrase
+      FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE phrase IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+x AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+      FROM c, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS m) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+u AS (SELECT c.* FROM c LEFT JOIN x ON x.lang = c.lang AND x.phrase = c.phrase WHERE x.longer IS NULL OR 100::HUGEINT * x.longer < 80::HUGEINT * c.a),
+q AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM u),
+v AS (SELECT q.lang, q.phrase, q.a, l.a AS l, r.a AS r, (2000000::HUGEINT * q.a // (l.a + r.a))::BIGINT AS score, cut
+      FROM q JOIN f l ON l.lang = q.lang AND l.phrase = array_to_string(q.w[1 : cut], ' ') JOIN f r ON r.lang = q.lang AND r.phrase = array_to_string(q.w[cut + 1 :], ' ')),
+y AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y)
+SELECT z.lang, z.rank, z.phrase, z.a, z.l, z.r, n.n, z.score FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000""",
+    "op12_merkle_manifest": _merkle_sql(),
 }
