@@ -14,6 +14,7 @@ Within a task phrases are told apart by 64-bit hashes, between tasks by their te
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -104,35 +105,48 @@ def chained(batch: Batch, pairs: Sketch, least: int) -> list[np.ndarray]:
     return out
 
 
-def merged(sketches: DataFrame, least: int) -> np.ndarray:
-    """The sum of all tasks' sketches, which add up stripe by stripe in streams, so a stripe's many parts never lie in memory together."""
+def merged(sketches: DataFrame, least: int) -> dict[int, bytes]:
+    """The compressed stripes of the sum of all tasks' sketches, which add up stripe by stripe in streams: a stripe's many parts never lie in memory together."""
     kind = np.min_scalar_type(least)
+    most = np.iinfo(kind).max
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for k, cells in zip(pdf["stripe"].tolist(), pdf["cells"]):
                 part = np.frombuffer(zlib.decompress(cells), kind)
-                sums[k] = part if k not in sums else np.where(part > np.iinfo(kind).max - sums[k], np.iinfo(kind).max, part + sums[k]).astype(kind)
+                sums[k] = part if k not in sums else np.where(part > most - sums[k], most, part + sums[k]).astype(kind)
         for k, cells in sums.items():
             yield pd.DataFrame({"stripe": [k], "cells": [zlib.compress(cells.tobytes(), 1)]})
 
     parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sketches.where("stripe >= 0").select("stripe", "cells").repartition(parts, "stripe").mapInPandas(merge, "stripe int, cells binary")
-    out = np.zeros((DEPTH << (LOG_CELLS - LOG_STRIPE), 1 << LOG_STRIPE), kind)
-    for r in rows.collect():  # at most the sketch's stripes
-        out[r["stripe"]] = np.frombuffer(zlib.decompress(r["cells"]), kind)
-    return out.reshape(DEPTH, -1)
+    return {r["stripe"]: bytes(r["cells"]) for r in rows.collect()}  # at most the sketch's stripes
 
 
 @contextmanager
-def sent(spark: SparkSession, *sketches: np.ndarray):
-    held = [spark.sparkContext.broadcast(s) for s in sketches]  # of one size, whatever the input's
+def sent(spark: SparkSession, *sketches: dict[int, bytes]) -> Iterator[list]:
+    """The sketches as broadcasts: at most DEPTH * CELLS counters each, whatever the input."""
+    held = [spark.sparkContext.broadcast((uuid.uuid4().hex, stripes)) for stripes in sketches]
     yield held
     for b in held:
         b.unpersist()
 
 
+_OPEN: dict[str, np.ndarray] = {}  # of a worker: the sketches it used last
+
+
+def opened(broadcast, least: int) -> Sketch:
+    name, stripes = broadcast.value
+    if name not in _OPEN:
+        while len(_OPEN) > 1:
+            del _OPEN[next(iter(_OPEN))]
+        _OPEN[name] = np.zeros((DEPTH << (LOG_CELLS - LOG_STRIPE), 1 << LOG_STRIPE), np.min_scalar_type(least))
+        for k, cells in stripes.items():
+            _OPEN[name][k] = np.frombuffer(zlib.decompress(cells), _OPEN[name].dtype)
+    return Sketch(least, _OPEN[name].reshape(DEPTH, -1))
+
+
 SKETCH = "stripe int, cells binary, lang string, n long"
 
 
@@ -155,7 +169,7 @@ def sketch_longer(docs: DataFrame, pairs, least: int) -> DataFrame:
     """Every task's sketch of longer phrases all of whose pairs reach least in the broadcast sketch of pairs."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch, first = Sketch(least), Sketch(least, pairs.value)
+        sketch, first = Sketch(least), opened(pairs, least)
         for b in batches_of(batches):
             sketch.add(np.concatenate([g[ok] for g, ok in zip(b.grams[2:], chained(b, first, least)[1:])]))
         yield from sketch.stripes()
@@ -163,38 +177,65 @@ def sketch_longer(docs: DataFrame, pairs, least: int) -> DataFrame:
     return docs.mapInPandas(count, SKETCH)
 
 
-def count_survivors(docs: DataFrame, pairs, longer, least: int, most: int = 500_000) -> DataFrame:
+class Counts:
+    """Counts of phrases by hash, each with lang, size and text."""
+
+    def __init__(self):
+        self.grams, self.counts, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.rows: list[tuple[str, int, str]] = []
+
+    def add(self, batch: Batch, k: int, through: np.ndarray) -> None:
+        """The phrases of k words for which through holds."""
+        place = np.flatnonzero(through)
+        grams, first, many = np.unique(batch.grams[k - 1][place], return_index=True, return_counts=True)
+        at = np.searchsorted(self.grams, grams)
+        known = np.zeros(len(grams), bool)
+        known[at < len(self.grams)] = self.grams[at[at < len(self.grams)]] == grams[at < len(self.grams)]
+        self.counts[at[known]] += many[known]
+        numbers = len(self.rows) + np.arange((~known).sum())
+        self.rows += [(batch.langs[batch.doc[i]], k, batch.phrase(i, k)) for i in place[first[~known]].tolist()]
+        both = np.concatenate((self.grams, grams[~known]))
+        sort = np.argsort(both, kind="stable")
+        self.grams, self.counts, self.order = both[sort], np.concatenate((self.counts, many[~known]))[sort], np.concatenate((self.order, numbers))[sort]
+
+    def frames(self, size: int = 100_000) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(len(self.rows), np.int64)
+        counts[self.order] = self.counts
+        for k in range(0, len(counts), size):
+            yield pd.DataFrame(self.rows[k : k + size], columns=["lang", "size", "phrase"]).assign(a=counts[k : k + size])
+
+
+def count_survivors(docs: DataFrame, pairs, longer, least: int, most: int = 1_000_000) -> DataFrame:
     """lang, size, phrase, a of each task: exact counts of all phrases that the sketches let through, sent on when `most` are held."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, second = Sketch(least, pairs.value), Sketch(least, longer.value)
-        held: dict[int, list] = {}
+        first, second, held = opened(pairs, least), opened(longer, least), Counts()
         for b in batches_of(batches):
             through = [first.reaches(b.grams[0], least), *chained(b, first, least)]
             for k in range(3, LONGEST + 1):
                 some = np.flatnonzero(through[k - 1])
                 through[k - 1][some] = second.reaches(b.grams[k - 1][some], least)
             for k, ok in enumerate(through, 1):
-                place = np.flatnonzero(ok)
-                grams, at, many = np.unique(b.grams[k - 1][place], return_index=True, return_counts=True)
-                for g, i, c in zip(grams.tolist(), place[at].tolist(), many.tolist()):
-                    if g in held:
-                        held[g][3] += c
-                    else:
-                        held[g] = [b.langs[b.doc[i]], k, b.phrase(i, k), c]
-            if len(held) >= most:
-                yield pd.DataFrame(list(held.values()), columns=["lang", "size", "phrase", "a"])
-                held.clear()
-        yield pd.DataFrame(list(held.values()), columns=["lang", "size", "phrase", "a"])
+                held.add(b, k, ok)
+            if len(held.rows) >= most:
+                yield from held.frames()
+                held = Counts()
+        yield from held.frames()
 
     return docs.mapInPandas(count, "lang string, size int, phrase string, a long")
 
 
+def in_large_tasks(docs: DataFrame) -> DataFrame:
+    """Every task makes a sketch of its own and sends each of its phrases once: as many tasks as two for each core, or one for each 16 partitions."""
+    parts = docs.rdd.getNumPartitions()
+    return docs.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, parts // 16)) if parts else docs
+
+
 def frequent_phrases(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, a of every phrase of one to four words that occurs least times or more; lang, n words). Both are stored."""
     spark = documents.sparkSession
     small_batches(spark)
-    docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    docs = in_large_tasks(documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"))
     sketches = materialize(sketch_pairs(docs, least), "sketches-pairs")
     totals = sketches.where("stripe < 0").groupBy("lang").agg(F.sum("n").alias("n"))
     pairs = merged(sketches, least)
