@@ -14,6 +14,7 @@ read. The driver sees 2 * DIMS statistics and one count for each range."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -53,11 +54,19 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+@cache
+def _signed_buckets(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket and the sign of each id below n."""
+    hashed = mix64(np.arange(n, dtype=np.uint64))
+    return (hashed % np.uint64(BUCKETS)).astype(np.int32), 1.0 - 2.0 * (hashed >> np.uint64(63))
+
+
 def points(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """DIMS coordinates of each document, whose ids are ids[offsets[k]:offsets[k + 1]]."""
-    n, hashed = len(offsets) - 1, mix64(ids.astype(np.uint64))
-    cell = np.repeat(np.arange(n) * BUCKETS, np.diff(offsets)) + (hashed % np.uint64(BUCKETS)).astype(np.int64)
-    counts = np.bincount(cell, 1.0 - 2.0 * (hashed >> np.uint64(63)), n * BUCKETS).reshape(n, BUCKETS)
+    n = len(offsets) - 1
+    bucket, sign = _signed_buckets(1 << int(ids.max(initial=1)).bit_length())
+    cell = np.repeat(np.arange(n, dtype=np.int32) * BUCKETS, np.diff(offsets)) + bucket[ids]
+    counts = np.bincount(cell, sign[ids], n * BUCKETS).reshape(n, BUCKETS)
     damped = np.sign(counts) * np.sqrt(np.abs(counts))
     return damped / np.maximum(np.linalg.norm(damped, axis=1, keepdims=True), 1e-12) @ PROJECTION
 
