@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from itertools import product
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import expand, first_match
+from ..functions.stem import duck_stem
 from ..functions.text import html_text, tokens, whole_words
-from ..operators import ranking, retrieval as r
+from ..operators import evaluation as e
+from ..operators import index, ranking, search
+from ..operators import retrieval as r
+from ..sources import tables
 from .query import query
 
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
@@ -23,42 +31,49 @@ sc AS (SELECT item_id, doc_id, any_value(lang) AS lang, any_value(source) AS sou
 _TOP = "SELECT item_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM {}) WHERE rank <= 120{}"
 
 
-def _benchmark(read):
-    return r.query_terms(read("benchmark"), "item_id", F.col("text"))
+def _documents(read, analyzer="none"):
+    """The stored index of documents: written by the first query that asks, read by all others."""
+    return index.open_index(read("documents"), "doc_id", {"text": F.col("text")}, ["lang", "source", F.lit(True).alias("active")], analyzer)
+
+
+def _requests(read, expanded=None):
+    return read("benchmark").select("item_id", "text", F.lit(expanded).cast("string").alias("expanded"))
 
 
-def _scores(read, terms=None):
-    docs, fields = read("documents"), {"text": F.col("text")}
-    post = r.postings(docs, "doc_id", fields)
-    return r.boosted(r.bm25_parts(post, "doc_id", _benchmark(read) if terms is None else terms, "item_id", r.corpus_stats(docs, fields)), "item_id", "doc_id", {"text": 1.0})
+def _scores(read, idx, expanded=None, analyzer="none"):
+    terms = search.weighted(idx, search.request_terms(_requests(read, expanded), "item_id", analyzer), "item_id", {"text": 1.0})
+    return search.parts(idx, terms, "item_id").withColumnRenamed("part", "score")
 
 
 def _ranked(scores, k=120, floor=None):
+    """Ranks go by the rounded score, so that sums in another order leave them as they are."""
     out = r.top_k(scores.withColumn("score", F.round("score", 6)), "item_id", "doc_id", k, floor)
-    return out.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+    return out.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 @query(f"WITH {_INDEX} SELECT count(*) AS postings, (SELECT count(*) FROM df) AS terms, any_value(n_docs)::BIGINT AS n_docs, round(any_value(avgdl), 6) AS avgdl, sum(tf)::BIGINT AS tokens FROM po, st")
 def bm25_index_stats(read):
-    docs, fields = read("documents"), {"text": F.col("text")}
-    a = r.postings(docs, "doc_id", fields).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"))
-    return a.crossJoin(F.broadcast(r.corpus_stats(docs, fields).select("n_docs", F.round("avgdl", 6).alias("avgdl"))))  # one row each
+    idx = _documents(read)
+    sums = idx.terms.agg(F.sum("df").alias("postings"), F.count(F.lit(1)).alias("terms"))
+    return sums.crossJoin(F.broadcast(idx.fields.select("n_docs", F.round("avgdl", 6).alias("avgdl"), "tokens")))  # one row each
 
 
 @query(f"WITH {_INDEX} " + _TOP.format("sc", ""))
 def bm25_topk(read):
-    return _ranked(_scores(read))
+    return _ranked(_scores(read, _documents(read)))
 
 
 @query(f"WITH {_INDEX} " + _TOP.format("sc", " AND round(score, 6) >= 8"))
 def bm25_topk_floor(read):
-    return _ranked(_scores(read), floor=8.0)
+    return _ranked(_scores(read, _documents(read)), floor=8.0)
 
 
 @query(f"WITH {_INDEX} " + _TOP.format("(SELECT * FROM sc WHERE lang = 'en' AND source <> 'src0')", ""))
 def bm25_filtered(read):
-    allowed = read("documents").where((F.col("lang") == "en") & (F.col("source") != "src0")).select("doc_id")
-    return _ranked(_scores(read).join(allowed, "doc_id", "left_semi"))
+    """The filter is a join inside the index's buckets, before any score is summed."""
+    idx = _documents(read)
+    allowed = idx.rows.where((F.col("lang") == "en") & (F.col("source") != "src0")).select("doc_id")
+    return _ranked(_scores(read, replace(idx, postings=idx.postings.join(allowed.hint("shuffle_hash"), "doc_id", "left_semi"))))
 
 
 @query(f"""WITH {_INDEX},
@@ -66,14 +81,32 @@ ex AS (SELECT item_id, term, sum(w) AS w FROM (SELECT * FROM qt UNION ALL SELECT
 s2 AS (SELECT item_id, doc_id, sum(w * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
   FROM po JOIN df USING (term) JOIN ex USING (term), st GROUP BY 1, 2) """ + _TOP.format("s2", ""))
 def bm25_expanded(read):
-    more = read("benchmark").select("item_id", F.explode(F.array(F.lit("tion"), F.lit("the"))).alias("term"), F.lit(r.EXPANSION).alias("w"))
-    terms = _benchmark(read).unionByName(more).groupBy("item_id", "term").agg(F.sum("w").alias("w"))
-    return _ranked(_scores(read, terms))
+    return _ranked(_scores(read, _documents(read), "tion the"))
+
+
+def _stem_index():
+    """_INDEX over English stems; w ends with the stems of all terms of documents and benchmark."""
+    terms = f"(SELECT term FROM ix UNION SELECT unnest({_TOK.format('text')}) AS term FROM benchmark)"
+    score = "sum(w * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))"
+    return f"""{_INDEX.rpartition("df AS (")[0].rstrip().rstrip(",")},
+{duck_stem(terms)},
+sp AS (SELECT doc_id, stem AS term, sum(tf) AS tf, any_value(dl) AS dl FROM po JOIN stems USING (term) GROUP BY 1, 2),
+sd AS (SELECT term, count(*) AS df FROM sp GROUP BY term),
+sq AS (SELECT item_id, stem AS term, count(*)::DOUBLE AS w FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark) JOIN stems USING (term) GROUP BY 1, 2),
+ss AS (SELECT item_id, doc_id, {score} AS score FROM sp JOIN sd USING (term) JOIN sq USING (term), st GROUP BY 1, 2)"""
 
 
+@query(f"WITH {_stem_index()} " + _TOP.format("ss", ""))
+def bm25_stemmed(read):
+    return _ranked(_scores(read, _documents(read, "english"), analyzer="english"))
+
+
+_PART = {
+    "title": "regexp_extract(html, '<title>([^<]*)</title>', 1)", "attrs": "regexp_replace(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<[^>]*>', ' ', 'g')", "url": "url",
+    "body": "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>|&[a-z]+;', ' ', 'g')",
+}
 _PAGES = f"""
-pt AS (SELECT page_id, 'title' AS field, {_TOK.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS ts FROM pages
-  UNION ALL SELECT page_id, 'url', {_TOK.format('url')} FROM pages),
+pt AS ({" UNION ALL ".join(f"SELECT page_id, '{n}' AS field, {_TOK.format(c)} AS ts FROM pages" for n, c in _PART.items())}),
 px AS (SELECT page_id, field, len(ts) AS dl, unnest(ts) AS term FROM pt),
 pp AS (SELECT page_id, field, term, count(*) AS tf, any_value(dl) AS dl FROM px GROUP BY 1, 2, 3),
 ps AS (SELECT field, count(*)::DOUBLE AS n_docs, avg(dl) AS avgdl FROM (SELECT page_id, field, any_value(dl) AS dl FROM px GROUP BY 1, 2) GROUP BY 1),
@@ -81,38 +114,92 @@ pd AS (SELECT field, term, count(*) AS df FROM pp GROUP BY 1, 2),
 pq AS (SELECT item_id, term, count(*)::DOUBLE AS w FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 pa AS (SELECT item_id, page_id, field, sum(w * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS part
   FROM pp JOIN pd USING (field, term) JOIN ps USING (field) JOIN pq USING (term) GROUP BY 1, 2, 3)"""
+_LANG, _NUMBER = '<html lang="([a-z]+)"', "/([0-9]+)(?:[?#]|$)"
 
 
-def _page_parts(read):
-    fields = {"title": F.regexp_extract("html", "<title>([^<]*)</title>", 1), "url": F.col("url")}
-    return r.bm25_parts(r.postings(read("pages"), "page_id", fields), "page_id", _benchmark(read), "item_id", r.corpus_stats(read("pages"), fields))
+def _pages(read):
+    fields = {
+        "title": F.regexp_extract("html", "<title>([^<]*)</title>", 1), "attrs": F.regexp_replace(F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1), "<[^>]*>", " "), "url": F.col("url"),
+        "body": F.regexp_replace(F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1), "<[^>]*>|&[a-z]+;", " "),
+    }
+    stored = [F.regexp_extract("html", _LANG, 1).alias("brand"), F.regexp_extract("url", _NUMBER, 1).try_cast("int").alias("price_cents"), (~F.contains("url", F.lit("ref=x"))).alias("active")]
+    return index.open_index(read("pages"), "page_id", fields, stored)
 
 
-@query(f"WITH {_PAGES}, sc AS (SELECT item_id, page_id, sum(part * CASE field WHEN 'title' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END) AS score FROM pa GROUP BY 1, 2) SELECT item_id, rank, page_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, page_id) AS rank FROM sc) WHERE rank <= 20")
-def bm25_multifield(read):
-    s = r.boosted(_page_parts(read), "item_id", "page_id", {"title": 4.0, "url": 1.0}).withColumn("score", F.round("score", 6))
-    return r.top_k(s, "item_id", "page_id", 20).select("item_id", F.col("rank").cast("long").alias("rank"), "page_id", F.round("score", 6).alias("score"))
+def _page_parts(read, boosts):
+    """Parts with boosts of 1."""
+    idx = _pages(read)
+    return search.parts(idx, search.weighted(idx, search.request_terms(_requests(read), "item_id"), "item_id", dict.fromkeys(boosts, 1.0)), "item_id")
 
 
-@query(f"""WITH {_PAGES}, g AS (SELECT t.b AS bt, u.b AS bu FROM (VALUES (3.0::DOUBLE), (4.0), (5.0)) t(b), (VALUES (0.5::DOUBLE), (1.0)) u(b)),
-sc AS (SELECT bt, bu, item_id, page_id, sum(part * CASE field WHEN 'title' THEN bt ELSE bu END) AS score FROM pa, g GROUP BY 1, 2, 3, 4)
-SELECT bt, bu, count(*) AS pairs, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM sc GROUP BY 1, 2""")
+@query(f"WITH {_PAGES}, sc AS (SELECT item_id, page_id, sum(part * CASE field WHEN 'title' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END) AS score FROM pa WHERE field IN ('title', 'url') GROUP BY 1, 2) SELECT item_id, rank, page_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, page_id) AS rank FROM sc) WHERE rank <= 20")
+def bm25_multifield(read):
+    boosts = {"title": 4.0, "url": 1.0}
+    s = r.boosted(_page_parts(read, boosts), "item_id", "page_id", boosts).withColumn("score", F.round("score", 6))
+    return r.top_k(s, "item_id", "page_id", 20).select("item_id", F.col("rank").cast("long").alias("rank"), "page_id", "score")
+
+
+@query(f"""WITH {_PAGES},
+rq AS (SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN ' ' || lower(text) WHEN 1 THEN ' ' ELSE 'tion the que' END AS expanded, CASE WHEN item_id % 4 = 0 THEN ['en', 'fr'] END AS brands,
+  CASE WHEN item_id % 4 = 1 THEN ['en'] END AS exclude_brands, CASE WHEN item_id % 2 = 0 THEN 100 END AS price_min, CASE WHEN item_id % 5 = 0 THEN 900 END AS price_max FROM benchmark),
+rt AS (SELECT item_id, term, count(*)::DOUBLE AS w FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM rq) GROUP BY 1, 2
+  UNION ALL SELECT item_id, term, 0.6::DOUBLE * count(*) FROM (SELECT item_id, unnest({_TOK.format('expanded')}) AS term FROM rq WHERE trim(expanded) <> '' AND lower(trim(expanded)) <> lower(trim(text))) GROUP BY 1, 2),
+rw AS (SELECT item_id, term, sum(w) AS w FROM rt GROUP BY 1, 2),
+rd AS (SELECT page_id, regexp_extract(html, '{_LANG}', 1) AS brand, TRY_CAST(regexp_extract(url, '{_NUMBER}', 1) AS INTEGER) AS price, NOT contains(url, 'ref=x') AS active FROM pages),
+sc AS (SELECT item_id, page_id, sum(CASE field WHEN 'title' THEN 4.0::DOUBLE WHEN 'attrs' THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END * w * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+  FROM pp JOIN pd USING (field, term) JOIN ps USING (field) JOIN rw USING (term) GROUP BY 1, 2),
+al AS (SELECT sc.* FROM sc JOIN rd USING (page_id) JOIN rq USING (item_id) WHERE active AND (brands IS NULL OR list_contains(brands, brand)) AND (exclude_brands IS NULL OR NOT list_contains(exclude_brands, brand))
+  AND (price_min IS NULL OR price >= price_min) AND (price_max IS NULL OR price <= price_max))
+SELECT item_id, rank, page_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, page_id) AS rank FROM al) WHERE rank <= 120 AND round(score, 6) >= 2""")
+def bm25_search(read):
+    """Four boosted fields, expansion terms, brands of which any, excluded brands, a price range."""
+    i = F.col("item_id")
+    some = lambda test, value: F.when(test, value)
+    requests = read("benchmark").select(
+        "item_id", "text", F.when(i % 3 == 0, F.concat(F.lit(" "), F.lower("text"))).when(i % 3 == 1, " ").otherwise("tion the que").alias("expanded"), some(i % 4 == 0, F.array(F.lit("en"), F.lit("fr"))).alias("brands"),
+        some(i % 4 == 1, F.array(F.lit("en"))).alias("exclude_brands"), some(i % 2 == 0, F.lit(100)).alias("price_min"), some(i % 5 == 0, F.lit(900)).alias("price_max"),
+    )
+    boosts = {"title": 4.0, "attrs": 2.5, "url": 1.0, "body": 1.0}
+    return search.search(_pages(read), requests, "item_id", boosts, floor=r.FLOOR).select("item_id", F.col("rank").cast("long").alias("rank"), "page_id", "score")
+
+
+_GRID = {"title": [3.0, 4.0, 5.0], "attrs": [1.5, 2.5, 3.5], "url": [0.5, 1.0, 1.5], "body": [0.5, 1.0]}
+
+
+@query(f"""WITH {_PAGES},
+g AS (SELECT t.b AS title, a.b AS attrs, u.b AS url, o.b AS body FROM (VALUES (3.0::DOUBLE), (4.0), (5.0)) t(b), (VALUES (1.5::DOUBLE), (2.5), (3.5)) a(b), (VALUES (0.5::DOUBLE), (1.0), (1.5)) u(b), (VALUES (0.5::DOUBLE), (1.0)) o(b)),
+wd AS (SELECT item_id, page_id, coalesce(sum(part) FILTER (field = 'title'), 0) AS pt, coalesce(sum(part) FILTER (field = 'attrs'), 0) AS pa, coalesce(sum(part) FILTER (field = 'url'), 0) AS pu, coalesce(sum(part) FILTER (field = 'body'), 0) AS po FROM pa GROUP BY 1, 2),
+sc AS (SELECT title, attrs, url, body, item_id, page_id, round(pt * title + pa * attrs + pu * url + po * body, 6) AS score FROM wd, g),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, attrs, url, body, item_id ORDER BY score DESC, page_id) AS rank FROM sc) WHERE rank <= 10),
+j AS (SELECT item_id, page_id, least(3, count(*)) AS grade FROM pp JOIN pq USING (term) WHERE field = 'title' GROUP BY 1, 2),
+k AS (SELECT title, attrs, url, body, item_id, sum((2 ** coalesce(grade, 0) - 1) / log2(rank + 1)) AS dcg, count(*) FILTER (grade >= 2) AS hit FROM rk LEFT JOIN j USING (item_id, page_id) GROUP BY ALL),
+i AS (SELECT item_id, sum((2 ** grade - 1) / log2(pos + 1)) FILTER (pos <= 10) AS ideal, count(*) FILTER (grade >= 2) AS n FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY grade DESC) AS pos FROM j) GROUP BY 1)
+SELECT title, attrs, url, body, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg, round(avg(CASE WHEN n > 0 THEN coalesce(hit, 0) / n::DOUBLE END), 6) AS recall
+FROM i CROSS JOIN g LEFT JOIN k USING (title, attrs, url, body, item_id) GROUP BY 1, 2, 3, 4""")
 def boost_sweep(read):
-    """One retrieval; every boost vector is a weighted sum of the per-field parts."""
-    wide = _page_parts(read).groupBy("item_id", "page_id").agg(*(F.sum(F.when(F.col("field") == f, F.col("part")).otherwise(0.0)).alias(f) for f in ("title", "url")))
-    grid = F.explode(F.array(*(F.struct(F.lit(t).alias("bt"), F.lit(u).alias("bu")) for t in (3.0, 4.0, 5.0) for u in (0.5, 1.0)))).alias("g")
-    s = wide.select("title", "url", grid).select("g.*", (F.col("g.bt") * F.col("title") + F.col("g.bu") * F.col("url")).alias("score"))
-    return s.groupBy("bt", "bu").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("best"))
+    """54 boost vectors from one retrieval: every score is a weighted sum of the per-field parts. A page's grade is the number of query terms in its title, 3 at most."""
+    found = search.sweep(_page_parts(read, _GRID), "item_id", "page_id", _GRID, 10)
+    titles = _pages(read).postings.where("field = 'title'").select("page_id", "term")
+    grades = titles.join(search.request_terms(_requests(read), "item_id").select("item_id", "term"), "term").groupBy("item_id", "page_id").agg(F.least(F.lit(3), F.count(F.lit(1))).alias("grade"))
+    judged = tables.stored(grades, "grades")
+    best = judged.withColumn("at", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("grade"))))
+    ideal = best.groupBy("item_id").agg(F.sum(F.when(F.col("at") <= 10, e.gain(F.col("grade")) / F.log2(F.col("at") + 1))).alias("ideal"), F.count_if(F.col("grade") >= 2).alias("n"))
+    graded = found.join(judged, ["item_id", "page_id"], "left")
+    got = graded.groupBy("vector", "item_id").agg(e.dcg(F.coalesce("grade", F.lit(0)), F.col("rank")).alias("dcg"), F.count_if(F.col("grade") >= 2).alias("hit"))
+    cases = ideal.withColumn("vector", F.explode(F.array(*(F.struct(*(F.lit(b).alias(n) for n, b in zip(_GRID, v))) for v in product(*_GRID.values())))))
+    each = cases.join(got, ["vector", "item_id"], "left")
+    recall = F.when(F.col("n") > 0, F.coalesce("hit", F.lit(0)) / F.col("n"))
+    return each.groupBy("vector").agg(F.round(F.avg(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")), 6).alias("ndcg"), F.round(F.avg(recall), 6).alias("recall")).select("vector.*", "ndcg", "recall")
 
 
 @query(f"WITH tk AS (SELECT doc_id, {_TOK.format('text')} AS ts FROM documents), n AS (SELECT doc_id, len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'of' AND ts[i + 1] = 'the')) AS n FROM tk) SELECT doc_id, n::INTEGER AS n FROM n WHERE n > 0")
 def phrase_match(read):
-    return r.phrase(read("documents"), "doc_id", F.col("text"), ["of", "the"])
+    return index.phrase(_documents(read), ["of", "the"], "text")
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {_TOK.format('text')} AS ts FROM documents) WHERE list_contains(ts, 'the') AND list_contains(ts, 'with') AND list_contains(ts, 'this')")
 def conjunctive_match(read):
-    return r.conjunctive(r.postings(read("documents"), "doc_id", {"text": F.col("text")}), "doc_id", ["the", "with", "this"])
+    return index.conjunctive(_documents(read), ["the", "with", "this"], "text")
 
 
 @query("SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'de') AND n_chars BETWEEN 500 AND 5000 AND source <> 'src1' GROUP BY lang")
@@ -181,8 +268,6 @@ def find_similar_query(read):
 SELECT conv_id, turn, left(t, 90) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM x) WHERE rn = 1 AND t IS NOT NULL AND length(t) >= 8""")
 def sanitize_rerank(read):
     """The first pick of each slot with a usable reason."""
-    from pyspark.sql import Window
-
     t = F.when(F.col("turn") % 3 != 0, F.rtrim(F.regexp_replace("text", r"(\s*null)+$", "")))
     rn = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
     return read("conversations").select("conv_id", "turn", t.alias("t"), rn.alias("rn")).where("rn = 1 and t is not null and length(t) >= 8").select("conv_id", "turn", F.substring("t", 1, 90).alias("reason"))
