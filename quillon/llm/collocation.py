@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -53,8 +54,8 @@ class Batch:
             self.grams.append(mix64(self.grams[-1][:n] * _STEP + hashed[k:]))
             self.whole.append(piece[:n] == piece[k:])
 
-    def phrase(self, i: int, k: int) -> str:
-        return b" ".join(self.text[a:b] for a, b in zip(self.start[i : i + k].tolist(), self.end[i : i + k].tolist())).decode("utf-8", "replace")
+    def phrase(self, i: int, k: int) -> bytes:
+        return b" ".join(self.text[a:b] for a, b in zip(self.start[i : i + k].tolist(), self.end[i : i + k].tolist()))
 
 
 def batches_of(batches: Iterator[pd.DataFrame]) -> Iterator[Batch]:
@@ -178,11 +179,15 @@ def sketch_longer(docs: DataFrame, pairs, least: int) -> DataFrame:
 
 
 class Counts:
-    """Counts of phrases by hash, each with lang, size and text."""
+    """Counts of phrases by hash. The phrases lie behind each other in one buffer: some 60 bytes each in all."""
 
     def __init__(self):
-        self.grams, self.counts, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.rows: list[tuple[str, int, str]] = []
+        self.grams, self.counts, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.text, self.ends, self.size, self.lang = bytearray(), array("q", [0]), array("b"), array("h")
+        self.langs: dict[str, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.size)
 
     def add(self, batch: Batch, k: int, through: np.ndarray) -> None:
         """The phrases of k words for which through holds."""
@@ -192,20 +197,26 @@ class Counts:
         known = np.zeros(len(grams), bool)
         known[at < len(self.grams)] = self.grams[at[at < len(self.grams)]] == grams[at < len(self.grams)]
         self.counts[at[known]] += many[known]
-        numbers = len(self.rows) + np.arange((~known).sum())
-        self.rows += [(batch.langs[batch.doc[i]], k, batch.phrase(i, k)) for i in place[first[~known]].tolist()]
+        numbers = len(self) + np.arange((~known).sum(), dtype=np.int32)
+        for i in place[first[~known]].tolist():
+            self.text += batch.phrase(i, k)
+            self.ends.append(len(self.text))
+            self.lang.append(self.langs.setdefault(batch.langs[batch.doc[i]], len(self.langs)))
+        self.size.extend([k] * len(numbers))
         both = np.concatenate((self.grams, grams[~known]))
         sort = np.argsort(both, kind="stable")
         self.grams, self.counts, self.order = both[sort], np.concatenate((self.counts, many[~known]))[sort], np.concatenate((self.order, numbers))[sort]
 
-    def frames(self, size: int = 100_000) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(len(self.rows), np.int64)
+    def frames(self, size: int = 50_000) -> Iterator[pd.DataFrame]:
+        counts, names = np.zeros(len(self), np.int64), list(self.langs)
         counts[self.order] = self.counts
-        for k in range(0, len(counts), size):
-            yield pd.DataFrame(self.rows[k : k + size], columns=["lang", "size", "phrase"]).assign(a=counts[k : k + size])
+        for k in range(0, len(self), size):
+            n = min(len(self), k + size)
+            phrases = [self.text[a:b].decode("utf-8", "replace") for a, b in zip(self.ends[k:n], self.ends[k + 1 : n + 1])]
+            yield pd.DataFrame({"lang": [names[i] for i in self.lang[k:n]], "size": self.size[k:n].tolist(), "phrase": phrases, "a": counts[k:n]})
 
 
-def count_survivors(docs: DataFrame, pairs, longer, least: int, most: int = 1_000_000) -> DataFrame:
+def count_survivors(docs: DataFrame, pairs, longer, least: int, most: int = 1_200_000) -> DataFrame:
     """lang, size, phrase, a of each task: exact counts of all phrases that the sketches let through, sent on when `most` are held."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +228,7 @@ def count_survivors(docs: DataFrame, pairs, longer, least: int, most: int = 1_00
                 through[k - 1][some] = second.reaches(b.grams[k - 1][some], least)
             for k, ok in enumerate(through, 1):
                 held.add(b, k, ok)
-            if len(held.rows) >= most:
+            if len(held) >= most:
                 yield from held.frames()
                 held = Counts()
         yield from held.frames()
