@@ -1,6 +1,4 @@
-"""Lexical retrieval: postings, BM25 scores for batches of queries, phrases and conjunctions.
-
-Statistics belong to the whole index; filters restrict candidates before ranking and never change them."""
+"""Constants of ranked retrieval, boosts and limits."""
 
 from __future__ import annotations
 
@@ -9,45 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import s_stem, tokens
-
 # Fixed values.
 K1, B, FLOOR, LIMIT, EXPANSION = 1.2, 0.75, 2.0, 120, 0.6
 
 
-def postings(docs: DataFrame, key: str, fields: Mapping[str, Column], analyzer: str = "none", positions: bool = False) -> DataFrame:
-    """(key, field, term, tf, dl[, positions]) of every field; dl is the field's number of tokens."""
-    stem = s_stem if analyzer == "s" else lambda t: t
-    one = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.transform(tokens(c), stem).alias("ts")) for n, c in fields.items()))).alias("f")
-    flat = docs.select(key, one).select(key, "f.field", F.size("f.ts").alias("dl"), F.posexplode("f.ts").alias("pos", "term"))
-    more = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
-    return flat.groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), *more)
-
-
-def corpus_stats(docs: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
-    """(field, n_docs, avgdl): documents with at least one token in the field. Lengths alone: no token is shuffled."""
-    sizes = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.size(tokens(c)).alias("dl")) for n, c in fields.items()))).alias("f")
-    return docs.select(sizes).select("f.*").where("dl > 0").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-
-
-def query_terms(queries: DataFrame, key: str, text: Column, analyzer: str = "none", weight: float = 1.0) -> DataFrame:
-    """(key, term, w): w is weight x occurrences in the query."""
-    stem = s_stem if analyzer == "s" else lambda t: t
-    return queries.select(key, F.explode(tokens(text)).alias("t")).groupBy(key, stem(F.col("t")).alias("term")).agg((F.count(F.lit(1)) * F.lit(weight)).alias("w"))
-
-
-def bm25_parts(post: DataFrame, doc: str, terms: DataFrame, query: str, stats: DataFrame) -> DataFrame:
-    """(query, doc, field, part): each field's sum, so any boosts are a weighted sum of these rows.
-
-    Only postings of query terms leave the index; document frequencies come from them, stats is corpus_stats(): a row per field."""
-    wanted = post.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = wanted.join(df, ["field", "term"]).join(F.broadcast(stats), "field").join(terms, "term")  # stats: one row per field
-    return scored.groupBy(query, doc, "field").agg(F.sum(F.col("w") * idf * tf * (K1 + 1) / (tf + K1 * norm)).alias("part"))
-
-
 def boosted(parts: DataFrame, query: str, doc: str, boosts: Mapping[str, float]) -> DataFrame:
     """(query, doc, score)."""
     boost = F.coalesce(*(F.when(F.col("field") == n, F.lit(float(b))) for n, b in boosts.items()))
@@ -69,16 +32,3 @@ def check_boost(b: float) -> float:
     if not 0 < b <= 100:  # also refuses nan
         raise ValueError(f"boost {b} is not in (0, 100]")
     return round(b, 3)
-
-
-def conjunctive(post: DataFrame, doc: str, terms: list[str]) -> DataFrame:
-    """Documents that hold every term."""
-    return post.where(F.col("term").isin(terms)).groupBy(doc).agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(set(terms))).select(doc)
-
-
-def phrase(docs: DataFrame, doc: str, text: Column, terms: list[str]) -> DataFrame:
-    """(doc, n): documents in which the terms follow each other, and how often: a positional join of the terms' places."""
-    at = docs.select(doc, F.posexplode(tokens(text)).alias("pos", "term")).where(F.col("term").isin(*set(terms)))
-    starts = F.filter(F.array(*(F.when(F.col("term") == t, F.struct((F.col("pos") - k).alias("start"), F.lit(k).alias("k"))) for k, t in enumerate(terms))), lambda x: x.isNotNull())
-    met = at.select(doc, F.explode(starts).alias("x")).groupBy(doc, "x.start").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") == len(terms))
-    return met.groupBy(doc).agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -23,8 +23,29 @@ def elo_replay(read):
 
 @query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT {k}::DOUBLE AS k, user_id, round({_FOLD.format(k=k)}, 9) AS score {_LOG}" for k in ("0.05", "0.1", "0.2")) + ")")
 def elo_k_sweep(read):
-    runs = [p.elo_replay(_log(read), ["user_id"], ["ts", "event_id"], "won", k).select(F.lit(k).alias("k"), "user_id", F.round("score", 9).alias("score")) for k in (0.05, 0.1, 0.2)]
-    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+    ks = [0.05, 0.1, 0.2]
+    each = p.elo_scores(_log(read), ["user_id"], ["ts", "event_id"], "won", ks).select("user_id", F.posexplode("scores").alias("i", "score"))
+    return each.select(F.array(*map(F.lit, ks))[F.col("i")].alias("k"), "user_id", F.round("score", 9).alias("score"))
+
+
+_SIDES = {"brand": ("w_brand", "l_brand"), "type": ("w_type", "l_type"), "size": ("w_size", "l_size")}
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_brand AS brand, CASE WHEN p_type <> 'ECONOMY' THEN p_type END AS type, (p_size // 10)::VARCHAR AS size FROM part),
+l AS (SELECT l_orderkey, l_linenumber, p.* FROM lineitem JOIN p ON p_partkey = l_partkey WHERE l_linenumber <= 2),
+c AS (SELECT o_custkey AS who, a.l_orderkey AS o, a.brand AS w_brand, b.brand AS l_brand, a.type AS w_type, b.type AS l_type, a.size AS w_size, b.size AS l_size
+      FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 JOIN orders ON o_orderkey = a.l_orderkey),
+s AS ({" UNION ALL ".join(f"SELECT who, o, '{d}' AS dimension, {own} AS key, {won}::DOUBLE AS won FROM c WHERE {own} IS NOT NULL AND {own} IS DISTINCT FROM {other}" for d, (w, x) in _SIDES.items() for own, other, won in ((w, x, "1.0"), (x, w, "0.0")))}),
+f AS (SELECT who, dimension, key, count(*)::INTEGER AS n, list(won ORDER BY o, won) AS ws FROM s GROUP BY 1, 2, 3)
+SELECT who, dimension, key, n, round(list_reduce(list_prepend(0.5::DOUBLE, ws), lambda s, w: s + 0.1::DOUBLE * (w - s)), 9) AS score FROM f""")
+def elo_dimensions(read):
+    """The first line of an order beats the second: brand, type (economy is unknown) and size of the parts."""
+    parts = read("part").select("p_partkey", F.col("p_brand").alias("brand"), F.when(F.col("p_type") != "ECONOMY", F.col("p_type")).alias("type"), F.call_function("div", F.col("p_size"), F.lit(10)).cast("string").alias("size"))
+    lines = read("lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    side = lambda k, name: lines.where(F.col("l_linenumber") == k).select("l_orderkey", *(F.col(c).alias(f"{name}_{c}") for c in ("brand", "type", "size")))
+    log = side(1, "w").join(side(2, "l"), "l_orderkey").join(read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("who")), "l_orderkey")
+    found = p.elo_dimensions(log, ["who"], ["l_orderkey"], _SIDES, [p.K])
+    return found.select("who", "dimension", "key", "n", F.round(F.col("scores")[0], 9).alias("score"))
 
 
 @query(f"SELECT user_id, count(*) >= 20 AS stable {_LOG}")
@@ -107,6 +128,43 @@ def rule_hits(read):
     return items.join(rules, "attr").select("p_partkey", "rule", has("prefers").alias("hit"), has("avoids").alias("miss"))
 
 
+_WHEN = [("calm", "type", ["SMALL", "MEDIUM"], ["PROMO"], {"segment": "BUILDING"}), ("calm", "tone", ["blue", "cold"], ["red", "hot"], {"segment": "BUILDING"}), ("bold", "tone", ["red", "hot"], ["old"], {}), ("rich", "type", ["PROMO", "LARGE"], ["SMALL"], {"segment": "AUTOMOBILE", "rich": "yes"})]
+_WHEN_SQL = f"""{_ITEMS},
+r AS (SELECT * FROM (VALUES ('calm', 'type', ['SMALL', 'MEDIUM'], ['PROMO'], 'BUILDING', NULL), ('calm', 'tone', ['blue', 'cold'], ['red', 'hot'], 'BUILDING', NULL),
+  ('bold', 'tone', ['red', 'hot'], ['old'], NULL, NULL), ('rich', 'type', ['PROMO', 'LARGE'], ['SMALL'], 'AUTOMOBILE', 'yes')) t(rule, attr, p, a, ws, wr)),
+c AS (SELECT DISTINCT c_mktsegment AS segment, CASE WHEN c_acctbal > 5000 THEN 'yes' ELSE 'no' END AS rich FROM customer)"""
+
+
+def _conditions(read):
+    spark = read("part").sparkSession
+    rules = spark.createDataFrame(_WHEN, "rule string, attr string, prefers array<string>, avoids array<string>, when map<string, string>")
+    contexts = read("customer").select(F.col("c_mktsegment").alias("segment"), F.when(F.col("c_acctbal") > 5000, "yes").otherwise("no").alias("rich")).distinct()
+    return rules, contexts.withColumn("context", F.create_map(F.lit("segment"), "segment", F.lit("rich"), "rich"))
+
+
+@query(f"""WITH {_WHEN_SQL},
+s AS (SELECT segment, rich, p_partkey, rule, sum(list_contains(p, value)::INT) AS h, sum(list_contains(a, value)::INT) AS m FROM c JOIN r ON (ws IS NULL OR ws = segment) AND (wr IS NULL OR wr = rich) JOIN i USING (attr) GROUP BY ALL),
+g AS (SELECT segment, rich, p_partkey, avg((h - m) / (h + m)::DOUBLE) AS mean FROM s WHERE h + m > 0 GROUP BY ALL)
+SELECT segment, rich, p_partkey, round(coalesce((mean + 1) / 2, 0.5), 6) AS score FROM c CROSS JOIN (SELECT p_partkey FROM part) LEFT JOIN g USING (segment, rich, p_partkey)""")
+def conditional_rules(read):
+    """Every part for every kind of customer, by the rules whose conditions that kind meets."""
+    rules, contexts = _conditions(read)
+    return p.conditional_scores(_items(read), ["p_partkey"], contexts, ["segment", "rich"], rules).select("segment", "rich", "p_partkey", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_WHEN_SQL},
+f AS (SELECT segment, rich, rule, flatten(list(p ORDER BY attr))[1:5] AS p, flatten(list(a ORDER BY attr))[1:4] AS a FROM c JOIN r ON (ws IS NULL OR ws = segment) AND (wr IS NULL OR wr = rich) GROUP BY 1, 2, 3)
+SELECT segment, rich, string_agg(rule || ' style' || CASE WHEN len(p) > 0 THEN ' — prefer: ' || array_to_string(p, ', ') ELSE '' END || CASE WHEN len(a) > 0 THEN ' — avoid: ' || array_to_string(a, ', ') ELSE '' END, chr(10) ORDER BY rule) AS guidance FROM f GROUP BY 1, 2""")
+def guidance_lines(read):
+    """What the rules say to each kind of customer."""
+    rules, contexts = _conditions(read)
+    met = contexts.join(F.broadcast(rules), p.applicable(F.col("context"), F.col("when")))
+    side = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("attr", c))), lambda x: x[c]))
+    each = met.groupBy("segment", "rich", "rule").agg(side("prefers").alias("prefers"), side("avoids").alias("avoids")).withColumn("reason", F.concat("rule", F.lit(" style")))
+    lists = each.groupBy("segment", "rich").agg(F.array_sort(F.collect_list(F.struct("reason", "prefers", "avoids"))).alias("rules"))  # of a fixed table
+    return lists.select("segment", "rich", F.array_join(p.guidance(F.col("rules")), "\n").alias("guidance"))
+
+
 @query("SELECT p_partkey, CASE string_split(p_name, ' ')[1] WHEN 'red' THEN 0.8::DOUBLE WHEN 'blue' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END AS score FROM part")
 def known_score(read):
     scores = F.create_map(F.lit("red"), F.lit(0.8), F.lit("blue"), F.lit(0.2))

@@ -148,3 +148,38 @@ def test_stream(spark, tmp_path, sf_dir):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(count) as n from hits").first()["n"] == schema.count()
+
+
+def test_elo_dimensions(spark):
+    """Against a plain fold: equal keys say nothing, a missing side leaves the other, all step sizes in one pass, slices of time or none."""
+    import random
+
+    r = random.Random(8)
+    rows = [(r.choice("uv"), r.choice([i, i // 7, None]), i, *(r.choice([None, "", "a", "b", "c"]) for _ in range(4))) for i in range(700)]
+    log = spark.createDataFrame(rows, "u string, ts int, i int, wb string, lb string, wf string, lf string").repartition(5)
+    want = {}
+    for u, _, _, wb, lb, wf, lf in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+        for name, w, l in (("brand", wb or None, lb or None), ("fiber", wf or None, lf or None)):
+            for own, other, won in ((w, l, 1), (l, w, 0)):
+                if own and own != other:
+                    s, n = want.get((u, name, own), ((0.5, 0.5), 0))
+                    want[u, name, own] = tuple(x + k * (won - x) for x, k in zip(s, (0.1, 0.4))), n + 1
+    got = preferences.elo_dimensions(log, ["u"], ["ts", "i"], {"brand": ("wb", "lb"), "fiber": ("wf", "lf")}, [0.1, 0.4]).collect()
+    assert len(got) == len(want)
+    for x in got:
+        s, n = want[x["u"], x["dimension"], x["key"]]
+        assert x["n"] == n and all(abs(a - b) < 1e-12 for a, b in zip(s, x["scores"]))
+
+
+def test_rules(spark):
+    """An attribute with several preferred values is one hit; conditions; guidance."""
+    items = spark.createDataFrame([(1, "cut", "a"), (1, "cut", "b"), (1, "hem", "x"), (2, "cut", "z"), (2, "hem", None)], "id int, attr string, value string")
+    rules = spark.createDataFrame([(1, "cut", ["a", "b"], ["x"], "one", {}), (1, "hem", [], ["x"], "one", {}), (2, "hem", ["x"], None, "two", {"body": "tall"})], "place int, attr string, prefers array<string>, avoids array<string>, reason string, when map<string, string>")
+    assert {(r["id"], r["rule"]): (r["h"], r["m"]) for r in preferences.rule_hits(items, ["id"], rules.withColumnRenamed("place", "rule")).collect()} == {(1, 1): (1, 1), (1, 2): (1, 0), (2, 1): (0, 0), (2, 2): (0, 0)}
+    assert {r["id"]: r["reason"] for r in preferences.best_reason(items, ["id"], rules.drop("when")).collect()} == {1: "two", 2: None}
+    assert {r["id"]: r["reason"] for r in preferences.best_reason(items, ["id"], rules.drop("when"), least=2).collect()} == {1: None, 2: None}
+    people = spark.createDataFrame([(1, {"body": "tall"}), (2, {"body": "short"}), (3, {})], "who int, context map<string, string>")
+    scores = preferences.conditional_scores(items, ["id"], people, ["who"], rules.withColumnRenamed("place", "rule"))
+    assert {(r["who"], r["id"]): r["score"] for r in scores.collect()} == {(1, 1): 0.75, (2, 1): 0.5, (3, 1): 0.5, (1, 2): 0.5, (2, 2): 0.5, (3, 2): 0.5}
+    lines = spark.createDataFrame([([("why", list("abcdef"), list("uvwxy")), ("so", [], None)],)], "rules array<struct<reason: string, prefers: array<string>, avoids: array<string>>>")
+    assert lines.select(preferences.guidance(F.col("rules"))).first()[0] == ["why — prefer: a, b, c, d, e — avoid: u, v, w, x", "so"]
