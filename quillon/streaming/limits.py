@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -12,14 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def admit(times: list[float], limit: int, seconds: float, held: list[float] | None = None) -> tuple[list[bool], list[float]]:
-    """Admit a hit if fewer than limit admitted hits lie in the trailing window; rejected hits are not recorded."""
-    held, out = list(held or []), []
+def admit_each(times: list[float], limit: int, seconds: float, held: list[float]) -> tuple[list[bool], list[int | None], list[float]]:
+    """(whether each hit is admitted, seconds until another would be, admitted times of the last window). Admitted: fewer than limit admitted hits in the trailing window; others are not recorded."""
+    held, out, wait = list(held), [], []
     for t in times:
         held = [h for h in held if h > t - seconds]
         out.append(len(held) < limit)
+        wait.append(None if out[-1] else math.ceil(seconds - (t - held[0])))
         if out[-1]:
             held.append(t)
+    return out, wait, held
+
+
+def admit(times: list[float], limit: int, seconds: float, held: list[float] | None = None) -> tuple[list[bool], list[float]]:
+    out, _, held = admit_each(times, limit, seconds, held or [])
     return out, held
 
 

@@ -183,3 +183,26 @@ def test_rules(spark):
     assert {(r["who"], r["id"]): r["score"] for r in scores.collect()} == {(1, 1): 0.75, (2, 1): 0.5, (3, 1): 0.5, (1, 2): 0.5, (2, 2): 0.5, (3, 2): 0.5}
     lines = spark.createDataFrame([([("why", list("abcdef"), list("uvwxy")), ("so", [], None)],)], "rules array<struct<reason: string, prefers: array<string>, avoids: array<string>>>")
     assert lines.select(preferences.guidance(F.col("rules"))).first()[0] == ["why — prefer: a, b, c, d, e — avoid: u, v, w, x", "so"]
+
+
+def test_limit_stream(spark, sf_dir, tmp_path):
+    """The stream admits what the batch fold admits, and keeps no state of keys that have been idle for a window."""
+    from quillon.streaming import keyed
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
+    source, limit, seconds = str(tmp_path / "in"), 1, 43_200.0
+    cuts = [r[0] for r in events.selectExpr("explode(percentile_approx(ts, array(0.25, 0.5, 0.75)))").collect()]
+    for k, (a, b) in enumerate(zip([None, *cuts], [*cuts, None])):  # four files, in order of time
+        part = events.where((F.col("ts") >= a) if a else F.lit(True)).where((F.col("ts") < b) if b else F.lit(True))
+        part.coalesce(1).write.parquet(f"{source}/{k}")
+    spark.createDataFrame([(-1, 1)], "event_id long, user_id long").selectExpr("event_id", "timestamp_ntz'2030-01-01 00:00:00' ts", "user_id").select(events.columns).coalesce(1).write.parquet(f"{source}/9")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+    out = keyed.limit_stream(stream, "user_id", "ts", "event_id", limit, seconds)
+    q = out.writeStream.outputMode("append").format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = spark.table("limited").where("event_id >= 0").collect()
+    want = {r["event_id"]: r["admitted"] for r in limits.rate_limit(events, "user_id", "ts", "event_id", limit, seconds).collect()}
+    assert {r["event_id"]: r["admitted"] for r in rows} == want and not all(want.values())
+    assert all((r["retry_after"] is None) == r["admitted"] and (r["admitted"] or 0 <= r["retry_after"] <= seconds) for r in rows)
+    held = [x["stateOperators"][0]["numRowsTotal"] for x in q.recentProgress if x["stateOperators"]]
+    assert max(held) > 10 and held[-1] <= 4  # the last hit came years later: all other keys were idle for a window and are forgotten
