@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import rank_encoder
 from .storage import materialize, named, nameless, small_batches
 from .textbatch import mix64, text_slices
 from .tokens import ChunkEncoder
@@ -71,11 +72,11 @@ def points(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return damped / np.maximum(np.linalg.norm(damped, axis=1, keepdims=True), 1e-12) @ PROJECTION
 
 
-def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
-    """row, doc_id, nameless, n (ids with the end id), ids (little-endian, unsigned 32-bit), point of every row."""
+def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int, ranks: str | None = None) -> DataFrame:
+    """ranks: the same vocabulary's ranks, if they are at hand, for speed. Returns row, doc_id, nameless, n (ids with the end id), ids (little-endian, unsigned 32-bit), point of every row."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder.get(tokenizer, kind)
+        encoder = rank_encoder(tokenizer, ranks) if ranks else ChunkEncoder.get(tokenizer, kind)
         for pdf in batches:
             for some in text_slices(pdf, "text"):
                 ids, offsets = encoder.encode(some["text"].tolist())
@@ -114,10 +115,10 @@ def along_curve(coded: DataFrame) -> DataFrame:
     return ordered.mapInPandas(running, "row long, part int, start long, n long")
 
 
-def curve_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", capacity: int = 1024, end_id: int = 0) -> DataFrame:
+def curve_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", capacity: int = 1024, end_id: int = 0, ranks: str | None = None) -> DataFrame:
     """Pack all rows. A row for each piece: doc_id, start (ids of its document before it), length, ids, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    coded = materialize(encoded(docs, tokenizer, kind, end_id), "curve-ids")
+    coded = materialize(encoded(docs, tokenizer, kind, end_id, ranks), "curve-ids")
     order = materialize(along_curve(coded), "curve-order")
     totals = {r["part"]: r["n"] for r in order.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each range
     parts = sorted(totals)

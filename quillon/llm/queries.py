@@ -68,7 +68,7 @@ def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = curve.curve_pieces(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    pieces = curve.curve_pieces(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

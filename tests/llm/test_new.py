@@ -11,7 +11,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import collocation, curve, merkle, queries
+from quillon.llm import collocation, curve, merkle, queries, ranks
 
 BYTES = tokenizer_path("byte_bpe_50k.json")
 BIG = 2**53 + 1
@@ -31,6 +31,16 @@ def docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def test_ranks_give_the_library_s_ids(docs):
+    """Chunks of plain and of odd characters, contractions, digits, marks, long runs, white space of all kinds."""
+    tok = Tokenizer.from_file(BYTES)
+    tok.encode_special_tokens = True
+    texts = [r["text"] for r in docs.collect()] + ["", " ", "a", "don't they'll WE'RE 'tis", "x" * 3000 + " 1234567 éÉßñ ǆ ①ﬁ🙂", "  two  spaces\n\n new\tline ", "<|endoftext|> a", "\x00 b", "日本 語 ا ب", "\u00ad soft \u200b zero", "!?.,;: ---- ***a***"]
+    ids, offsets = ranks.rank_encoder(BYTES, BYTES.replace(".json", ".tiktoken")).encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_hilbert_keys():
     """A key for each cell, and steps along the curve go to neighbours."""
     for dims, bits in ((1, 5), (2, 4), (3, 3), (4, 2)):
@@ -45,7 +55,7 @@ def test_curve_packing(docs, odd):
     tok.encode_special_tokens = True
     for df in (docs, odd, odd.limit(0), odd.where("doc_id = 5")):
         want = collections.Counter((r["doc_id"], tuple([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0])) for r in df.collect())
-        placed = curve.curve_pieces(df, BYTES).collect()
+        placed = curve.curve_pieces(df, BYTES, ranks=BYTES.replace(".json", ".tiktoken")).collect()
         by = collections.defaultdict(list)
         for r in placed:
             by[r["sequence_id"]].append((r["offset"], r["length"], bytes(r["ids"])))
