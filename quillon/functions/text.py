@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,3 +93,14 @@ def size_label(text: Column) -> Column:
     """XS to XXL, 2XL forms, numbers, waist x length and one size; other labels are null."""
     t = F.upper(F.trim(text))
     return F.when(t.rlike(r"^(X{0,3}S|M|X{0,3}L|\dXL|\d{1,3}|\d{2}X\d{2}|ONE SIZE)$"), t)
+
+
+def key_values(text: Column, keys: Sequence[str]) -> Column:
+    """The map of a block 'key: value - key: value', cut where the next known key stands (longest first, in any case), so values may hold
+    hyphens and separators may be missing. Keys in lower case; blank values are left out; the last of equal keys wins."""
+    names = "|".join(sorted(keys, key=len, reverse=True))
+    pieces = F.split(F.regexp_replace(text, rf"(?i)({names})\s*:", "\u0001$1\u0002"), "\u0001")
+    value = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.substring_index(p, "\u0002", -1), r"[\s-]+$", ""), r"^[\s-]+", ""))
+    found = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(F.lower(F.substring_index(p, "\u0002", 1)).alias("key"), value(p).alias("value")))
+    filled = F.filter(found, lambda e: e["value"] != "")
+    return F.map_from_entries(F.filter(filled, lambda e, i: ~F.exists(F.slice(filled, i + 2, F.size(filled)), lambda later: later["key"] == e["key"])))

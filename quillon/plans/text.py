@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text as t
-from ..operators.material import material_column
+from ..operators import material
+from ..sources import pages
 from .query import query
 
 _RULES = [(t.whole_words(["ring", "bolt", "rod"]), "fastener"), (t.whole_words(["gear", "widget"]), "part"), (t.whole_words(["red", "blue"]), "coloured")]
@@ -33,10 +34,24 @@ def labelled_block(read):
 
 
 @query("SELECT event_id, (props->>'$.k')::INTEGER AS k FROM events")
-def kv_block_parse(read):
+def props_json(read):
     return read("events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+_KEYS = ("Sleeve Length", "Pattern Type", "Style", "Length", "Fit", "Type")
+
+
+@query("""WITH b AS (SELECT p_partkey, '- Style: ' || p_type || ' - Sleeve Length: A-Line ' || p_name || ' Type : ' || p_brand || ' - Fit: - LENGTH: size ' || p_size || ' - style: ' || lower(p_name) AS block FROM part),
+s AS (SELECT p_partkey, string_split(regexp_replace(block, '(?i)(Sleeve Length|Pattern Type|Length|Style|Type|Fit)\\s*:', chr(1) || '\\1' || chr(2), 'g'), chr(1))[2:] AS pieces FROM b),
+e AS (SELECT p_partkey, generate_subscripts(pieces, 1) AS i, unnest(pieces) AS p FROM s),
+v AS (SELECT p_partkey, i, lower(split_part(p, chr(2), 1)) AS key, trim(regexp_replace(regexp_replace(split_part(p, chr(2), 2), '[\\s-]+$', ''), '^[\\s-]+', '')) AS value FROM e)
+SELECT p_partkey, key, arg_max(value, i) AS value FROM v WHERE value <> '' GROUP BY 1, 2""")
+def kv_block_parse(read):
+    """Blocks made of a part's fields: hyphens in values, a lost separator, a blank and a repeated key."""
+    block = F.concat(F.lit("- Style: "), "p_type", F.lit(" - Sleeve Length: A-Line "), "p_name", F.lit(" Type : "), "p_brand", F.lit(" - Fit: - LENGTH: size "), "p_size", F.lit(" - style: "), F.lower("p_name"))
+    return read("part").select("p_partkey", F.explode(t.key_values(block, _KEYS)))
+
+
 @query("SELECT p_partkey, CASE WHEN p_name = 'red ring' THEN 'signet' WHEN contains(p_name, 'widget') THEN 'device' WHEN contains(p_name, 'gear') THEN 'wheel' WHEN contains(p_name, 'ring') THEN 'circle' END AS found FROM part")
 def dict_lookup_longest(read):
     table = {"red ring": "signet", "ring": "circle", "gear": "wheel", "widget": "device"}
@@ -184,8 +199,56 @@ def url_deny_regex(read):
     return read("pages").where(~F.col("url").rlike("(page=|#top|/25)")).select("page_id", "url")
 
 
-@query(None)
+@query("""WITH x AS (SELECT p_partkey, p_partkey % 6 AS shape, p_size + 40 AS a, 60 - p_size AS b FROM part)
+SELECT p_partkey, CASE shape WHEN 0 THEN CASE WHEN a >= b THEN 'cotton' ELSE 'elastane' END WHEN 1 THEN CASE WHEN a >= b THEN 'polyester' ELSE 'wool' END WHEN 2 THEN 'silk' WHEN 4 THEN 'linen' END AS primary_fiber,
+  CASE shape WHEN 0 THEN round(a / 100.0::DOUBLE, 3) WHEN 1 THEN round(b / 100.0::DOUBLE, 3) WHEN 2 THEN 1.0::DOUBLE WHEN 4 THEN 1.0::DOUBLE END AS natural_ratio, shape = 3 AND a < 90 AS incomplete,
+  CASE shape WHEN 0 THEN CASE WHEN a >= b THEN a || '% cotton, ' || b || '% elastane' ELSE b || '% elastane, ' || a || '% cotton' END WHEN 1 THEN CASE WHEN a >= b THEN a || '% polyester, ' || b || '% wool' ELSE b || '% wool, ' || a || '% polyester' END WHEN 2 THEN '100% silk' WHEN 3 THEN a || '% nylon' WHEN 4 THEN '100% linen' END AS clean,
+  CASE shape WHEN 0 THEN 'white' WHEN 2 THEN '' ELSE '' END AS colors, CASE shape WHEN 4 THEN 'jersey' WHEN 5 THEN 'chiffon' ELSE '' END AS fabric, (CASE shape WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 5 THEN 0 ELSE 1 END)::INTEGER AS n
+FROM x WHERE NOT (shape = 3 AND a >= 90)""")
 def material_parse(read):
-    """Composition strings made of a part's fields, through the parser."""
-    s = F.concat(F.col("p_size") + 40, F.lit("% cotton, "), 60 - F.col("p_size"), F.lit("% spandex; lining: 100% polyester"))
-    return read("part").select("p_partkey", material_column(s).alias("m")).select("p_partkey", "m.primary_fiber", "m.natural_ratio", "m.incomplete", F.size("m.fibers").alias("n"))
+    """Compositions of six shapes made of a part's fields: shares first with components, shares last, a bare name, a rest of one, prose, a fabric."""
+    a, b, shape = F.col("p_size") + 40, 60 - F.col("p_size"), F.col("p_partkey") % 6
+    text = (
+        F.when(shape == 0, F.concat(F.lit("[01 WHITE] Shell: "), a, F.lit("% Cotton, "), b, F.lit("% Spandex/ Lining: 100% Polyester [Other Colors] Shell: 50% Silk, 50% Wool Imported")))
+        .when(shape == 1, F.concat(F.lit("Polyester "), a, F.lit(".0%, Wool "), b, F.lit(".0%"))).when(shape == 2, "Silk.").when(shape == 3, F.concat(a, F.lit("% Polyamide")))
+        .when(shape == 4, F.lit("A long sentence that tells of a light and airy dress made with 100% linen jersey of the best kind")).otherwise("Georgette")
+    )
+    m = material.parse_material(read("part").where(~((shape == 3) & (a >= 90))), text, "m")
+    return m.select("p_partkey", "m.primary_fiber", "m.natural_ratio", "m.incomplete", "m.clean", F.array_join("m.colors", ",").alias("colors"), F.array_join("m.fabric", ",").alias("fabric"), F.size("m.fibers").alias("n"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN (p_size + 40) || '% certified organic cotton, ' || (60 - p_size) || '% ' || lower(p_type) WHEN 1 THEN '92% coton' END AS composition FROM part")
+def prose_composition(read):
+    """Compositions found in copy made of a part's fields, in two languages, beside a price cut that is none."""
+    third = F.col("p_partkey") % 3
+    copy = (
+        F.when(third == 0, F.concat(F.lit("30% off: "), F.col("p_size") + 40, F.lit("% certified organic cotton, "), 60 - F.col("p_size"), F.lit("% "), F.lower("p_type"), F.lit(" Machine wash cold.")))
+        .when(third == 1, F.concat(F.col("p_name"), F.lit(" en 92% coton / Made in Portugal"))).otherwise(F.concat(F.lit("50% off cotton "), "p_name"))
+    )
+    return read("part").select("p_partkey", material.composition_in_prose(copy).alias("composition"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN p_name END AS name, CASE WHEN p_partkey % 5 < 4 THEN 'sku' || p_partkey END AS sku,
+  CASE p_partkey % 5 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN '12.5' WHEN 2 THEN (p_size + 1)::VARCHAR END AS price, CASE p_partkey % 5 WHEN 0 THEN 'S,M' WHEN 1 THEN 'L' WHEN 3 THEN 'XS,XL' ELSE '' END AS sizes FROM part""")
+def json_ld_products(read):
+    """Pages made of a part's fields around JSON-LD: one node, a list behind a malformed block, @graph with an aggregate offer, a group with variants, none of a product."""
+    name = F.to_json(F.struct(F.col("p_name").alias("name"), F.concat(F.lit("sku"), "p_partkey").alias("sku")))
+    head = F.regexp_replace(name, r"\}$", "")  # an open object
+    script = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *parts, F.lit("</script>"))
+    fifth = F.col("p_partkey") % 5
+    html = (
+        F.when(fifth == 0, script(head, F.lit(', "@type": "Product", "offers": [{"price": '), F.col("p_size").cast("string"), F.lit(', "size": "S"}, {"price": 9, "size": "M"}, {"size": "S"}]}')))
+        .when(fifth == 1, F.concat(script(F.lit('{"@type": "Product", broken')), script(F.lit('[{"@type": "Organization"}, '), head, F.lit(', "@type": ["Thing", "Product"], "offers": {"price": "12.5", "size": "L"}}]'))))
+        .when(fifth == 2, script(F.lit('{"@graph": [{"@type": "WebPage"}, '), head, F.lit(', "@type": "Product", "offers": {"lowPrice": "'), (F.col("p_size") + 1).cast("string"), F.lit('", "highPrice": "99"}}]}')))
+        .when(fifth == 3, script(head, F.lit(', "@type": "ProductGroup", "hasVariant": [{"size": "XS"}, {"size": "XL"}, {"size": " "}]}'))).otherwise(script(F.lit('{"@type": "BreadcrumbList", "name": "no"}')))
+    )
+    found = read("part").select("p_partkey", pages.product(F.concat(F.lit("<html><head>"), html, F.lit("</head></html>"))).alias("p"))
+    return found.select("p_partkey", "p.name", "p.sku", "p.price", F.coalesce(F.array_join("p.sizes", ","), F.lit("")).alias("sizes"))
+
+
+@query("SELECT lang, url FROM (SELECT regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, url, row_number() OVER (PARTITION BY regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) ORDER BY page_id) AS n FROM pages WHERE regexp_matches(url, '/[0-9]+$') AND NOT contains(url, '/blog')) WHERE n <= 5")
+def sitemap_urls(read):
+    """A sitemap for each language of the pages; the first five addresses that end in a number."""
+    by = read("pages").groupBy(F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang")).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("of"))  # addresses of the saved pages of a language: one file's worth
+    xml = F.concat(F.lit("<urlset>"), F.array_join(F.transform("of", lambda p: F.concat(F.lit("<url><loc> "), p["url"], F.lit("</loc></url>"))), "\n"), F.lit("</urlset>"))
+    return by.select("lang", F.explode(pages.sitemap_links(xml, r"/[0-9]+$", "/blog", 5)).alias("url"))

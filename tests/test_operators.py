@@ -38,18 +38,6 @@ def test_arrays(spark):
     assert one(spark, arrays.expand(F.array(F.lit("a"), F.lit("x-y")), {"a": ("a", "b")})) == ["a", "b", "x y"]
 
 
-@pytest.mark.parametrize(
-    ("s", "primary", "ratio", "incomplete"),
-    [
-        ("78% cotton, 22% polyester. Wash cold", "cotton", 0.78, False), ("95% wool, 5% spandex", "wool", 0.95, False), ("1% elastane", None, None, True),
-        ("Shell: 96% cotton, 4% elastane; Lining: 100% polyester", "cotton", 0.96, False), ("silk", "silk", 1.0, False), ("polyester 65% cotton 35%", "polyester", 0.35, False), ("", None, None, False), (None, None, None, False),
-    ],
-)
-def test_material(s, primary, ratio, incomplete):
-    m = material.parse(s)
-    assert (m["primary_fiber"], m["natural_ratio"], m["incomplete"]) == (primary, ratio, incomplete)
-
-
 def test_elo(spark):
     log = spark.createDataFrame([(1, i, w) for i, w in enumerate((True, False, True))], "u int, ts int, won boolean")
     assert abs(preferences.elo_replay(log, ["u"], ["ts"], "won").first()["score"] - 0.5455) < 1e-12
