@@ -104,3 +104,12 @@ def key_values(text: Column, keys: Sequence[str]) -> Column:
     found = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(F.lower(F.substring_index(p, "\u0002", 1)).alias("key"), value(p).alias("value")))
     filled = F.filter(found, lambda e: e["value"] != "")
     return F.map_from_entries(F.filter(filled, lambda e, i: ~F.exists(F.slice(filled, i + 2, F.size(filled)), lambda later: later["key"] == e["key"])))
+
+
+def failure_kind(status: Column, message: Column) -> Column:
+    """'terminal' for refused keys and for exhausted quotas, which 429 alone does not tell from a burst; else 'transient'. Nulls say nothing."""
+    says = lambda pattern: F.coalesce(message.rlike(f"(?i){pattern}"), F.lit(False))
+    refused = F.coalesce(status.isin(401, 403), F.lit(False)) | says(r"invalid[_ ]api[_ ]key|authentication|unauthorized|permission")
+    limited = F.coalesce(status == 429, F.lit(False)) | says(r"\b429\b")
+    spent = says(r"insufficient[_ ]quota|no credits|billing|exceeded your current quota|payment")
+    return F.when(refused | (limited & spent), "terminal").otherwise("transient")

@@ -16,8 +16,8 @@ def diversity_cap(ranked: DataFrame, group: str, window: int, share: float = 0.4
     n = F.count(F.lit(1)).over(Window.partitionBy(*by)) if by else None
     out = ranked.withColumn("_over", (rank_in > cap).cast("int"))
     if n is None:
-        few = ranked.limit(window + 1).count() <= window
-        out = out.withColumn("_over", F.lit(0)) if few else out
+        few = ranked.limit(window + 1).agg((F.count(F.lit(1)) <= window).alias("_few"))  # one row
+        out = out.crossJoin(F.broadcast(few)).withColumn("_over", F.when(F.col("_few"), 0).otherwise(F.col("_over"))).drop("_few")
         head = out.orderBy("_over", "rank").limit(window)  # a top-k, not a global sort
         return head.withColumn("place", F.row_number().over(Window.orderBy("_over", "rank"))).drop("_over")
     out = out.withColumn("_over", F.when(n <= window, 0).otherwise(F.col("_over")))
@@ -28,12 +28,22 @@ def rank_decay(rank: Column, n: Column, least: int = 10) -> Column:
     return F.greatest(F.lit(0.0), 1 - (rank - 1) / F.greatest(F.lit(least), n - 1))
 
 
-def min_max(value: Column, window) -> Column:
-    """Value scaled to [0, 1] in its window; 0.5 where all are equal."""
-    low, high = F.min(value).over(window), F.max(value).over(window)
+def _scaled(value: Column, low: Column, high: Column) -> Column:
     return F.when(high - low < 1e-9, F.lit(0.5)).otherwise((value - low) / (high - low))
 
 
+def min_max(value: Column, window) -> Column:
+    """Value scaled to [0, 1] in its window, which should be a list of bounded length; 0.5 where all are equal."""
+    return _scaled(value, F.min(value).over(window), F.max(value).over(window))
+
+
+def min_max_by(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Add the value scaled to [0, 1] among all rows of its group, however many: ends are aggregated and joined. Rows with a null key are a group."""
+    ends = df.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high")).select(*(F.col(c).alias(f"_{c}") for c in by), "_low", "_high")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return df.join(ends, same).withColumn(out, _scaled(F.col(value), F.col("_low"), F.col("_high"))).drop("_low", "_high", *(f"_{c}" for c in by))
+
+
 def type_gate(ranked: DataFrame, query: str, eligible: Column, floor: int = 5) -> DataFrame:
     """Keep eligible rows of a query where at least `floor` are; else all rows. Order is kept."""
     n = F.sum(F.coalesce(eligible, F.lit(True)).cast("int")).over(Window.partitionBy(query))

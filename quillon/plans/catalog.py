@@ -46,7 +46,7 @@ def search_meta(read):
     return read("part").where("p_size > 25").agg(n.alias("n"), F.count_if(F.col("p_type") == "PROMO").alias("curated"), F.when(n == 0, "no match").otherwise("").alias("reason"))
 
 
-@query("SELECT a.p_partkey AS first, b.p_partkey AS second FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 1) a, (SELECT * FROM part ORDER BY p_partkey LIMIT 40) b WHERE b.p_brand <> a.p_brand ORDER BY b.p_partkey LIMIT 1")
+@query("WITH a AS (SELECT p_partkey AS first, p_brand AS brand FROM part ORDER BY p_partkey LIMIT 1) SELECT first, coalesce(min(p_partkey) FILTER (p_brand <> brand), min(p_partkey)) AS second FROM a JOIN part ON p_partkey > first GROUP BY 1")
 def pick_pair(read):
     """The first item and the next one of another brand; the first two where all have one brand."""
     part = read("part").select("p_partkey", "p_brand")

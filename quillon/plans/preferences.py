@@ -77,12 +77,14 @@ def affinity_score(read):
     return read("part").select("p_partkey", F.round(_affinity(read), 10).alias("affinity"))
 
 
-@query(f"WITH a AS (SELECT *, {_AFF} AS aff, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER (PARTITION BY p_type) AS n FROM part), b AS (SELECT *, min(aff) OVER (PARTITION BY p_type) AS lo, max(aff) OVER (PARTITION BY p_type) AS hi FROM a) SELECT p_type, p_partkey, round(0.65::DOUBLE * greatest(0.0::DOUBLE, 1 - (r - 1) / greatest(10, n - 1)::DOUBLE) + 0.35::DOUBLE * CASE WHEN hi - lo < 1e-9 THEN 0.5::DOUBLE ELSE (aff - lo) / (hi - lo) END, 6) AS final FROM b")
+@query(f"WITH a AS (SELECT *, {_AFF} AS aff, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r FROM part), b AS (SELECT *, count(*) OVER w AS n, min(aff) OVER w AS lo, max(aff) OVER w AS hi FROM a WHERE r <= 120 WINDOW w AS (PARTITION BY p_type)), c AS (SELECT p_type, p_partkey, r, round(0.65::DOUBLE * greatest(0.0::DOUBLE, 1 - (r - 1) / greatest(10, n - 1)::DOUBLE) + 0.35::DOUBLE * CASE WHEN hi - lo < 1e-9 THEN 0.5::DOUBLE ELSE (aff - lo) / (hi - lo) END, 6) AS final FROM b) SELECT p_type, p_partkey, final, row_number() OVER (PARTITION BY p_type ORDER BY final DESC, r) AS place FROM c")
 def affinity_blend(read):
+    """Lists of 120 at most, reordered by rank and affinity; equal blends keep their order."""
     w = Window.partitionBy("p_type")
-    ranked = read("part").withColumn("aff", _affinity(read)).withColumn("r", F.row_number().over(w.orderBy(F.desc("p_retailprice"), "p_partkey"))).withColumn("n", F.count(F.lit(1)).over(w))
-    final = p.blend(ranking.rank_decay(F.col("r"), F.col("n")), ranking.min_max(F.col("aff"), w))
-    return ranked.select("p_type", "p_partkey", F.round(final, 6).alias("final"))
+    top = read("part").withColumn("aff", _affinity(read)).withColumn("r", F.row_number().over(w.orderBy(F.desc("p_retailprice"), "p_partkey"))).where("r <= 120")
+    listed = top.withColumn("n", F.count(F.lit(1)).over(w))
+    final = listed.select("p_type", "p_partkey", "r", F.round(p.blend(ranking.rank_decay(F.col("r"), F.col("n")), ranking.min_max(F.col("aff"), w)), 6).alias("final"))
+    return final.select("p_type", "p_partkey", "final", F.row_number().over(w.orderBy(F.desc("final"), "r")).cast("long").alias("place"))
 
 
 _RULES = [("calm", "type", ["SMALL", "MEDIUM"], ["PROMO"]), ("calm", "tone", ["blue", "cold"], ["red", "hot"]), ("bold", "tone", ["red", "hot"], ["old"]), ("bold", "type", ["PROMO", "LARGE"], [])]

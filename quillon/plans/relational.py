@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import ranking
 from ..operators.evaluation import standard_error
 from ..streaming import limits
@@ -176,7 +177,7 @@ def standard_error_query(read):
 
 @query("SELECT p_partkey, round(CASE WHEN h - l < 1e-9 THEN 0.5 ELSE (p_retailprice - l) / (h - l) END, 6) AS norm FROM (SELECT *, min(p_retailprice) OVER (PARTITION BY p_brand) AS l, max(p_retailprice) OVER (PARTITION BY p_brand) AS h FROM part)")
 def minmax_norm(read):
-    return read("part").select("p_partkey", F.round(ranking.min_max(F.col("p_retailprice"), Window.partitionBy("p_brand")), 6).alias("norm"))
+    return ranking.min_max_by(read("part").select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], "p_retailprice", "norm").select("p_partkey", F.round("norm", 6).alias("norm"))
 
 
 @query("SELECT l_linestatus, round(min(m), 6) AS worst FROM (SELECT l_linestatus, l_returnflag, avg(l_discount) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1")
@@ -212,10 +213,12 @@ def ranked_rows(read):
     return read("part").select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long").alias("rank"))
 
 
-@query("SELECT p_type, p_partkey, round(greatest(0.0, 1 - (r - 1) / greatest(10, n - 1)::DOUBLE), 6) AS decay FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER (PARTITION BY p_type) AS n FROM part)")
+@query("SELECT p_type, p_partkey, round(greatest(0.0, 1 - (r - 1) / greatest(10, n - 1)::DOUBLE), 6) AS decay FROM (SELECT *, count(*) OVER (PARTITION BY p_type) AS n FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 120)")
 def rank_decay(read):
+    """Lists of 120 at most: the limit reaches the tasks before the exchange."""
     r = F.row_number().over(Window.partitionBy("p_type").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    return read("part").select("p_type", "p_partkey", F.round(ranking.rank_decay(r, F.count(F.lit(1)).over(Window.partitionBy("p_type"))), 6).alias("decay"))
+    top = read("part").select("p_type", "p_partkey", "p_retailprice").withColumn("r", r).where("r <= 120")
+    return top.select("p_type", "p_partkey", F.round(ranking.rank_decay(F.col("r"), F.count(F.lit(1)).over(Window.partitionBy("p_type"))), 6).alias("decay"))
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")
@@ -269,9 +272,16 @@ def duplicate_keys(read):
     return read("part").groupBy("p_name", "p_brand").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("SELECT event_type, failed FROM (SELECT event_id, event_type, event_type = 'error' AS failed FROM events) WHERE failed")
+@query(r"""WITH x AS (SELECT event_id, [401, 403, 429, 500, NULL][1 + user_id % 5] AS status,
+  ['Insufficient quota', 'too many requests', 'Invalid API key', 'HTTP 429: payment due', '', NULL][1 + event_id % 6] || ' ' || event_type AS message FROM events)
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN status IN (401, 403) OR regexp_matches(message, '(?i)invalid[_ ]api[_ ]key|authentication|unauthorized|permission') THEN 'terminal'
+  WHEN (status = 429 OR regexp_matches(message, '\b429\b')) AND regexp_matches(message, '(?i)insufficient[_ ]quota|no credits|billing|exceeded your current quota|payment') THEN 'terminal' ELSE 'transient' END AS kind FROM x) GROUP BY 1""")
 def error_classify(read):
-    return read("events").select("event_type", F.col("event_type").rlike("^error$").alias("failed")).where("failed")
+    """Failures made of events: a status and a message, either of which may be missing."""
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    message = F.concat(pick(["Insufficient quota", "too many requests", "Invalid API key", "HTTP 429: payment due", "", None], F.col("event_id") % 6), F.lit(" "), "event_type")
+    kind = text.failure_kind(pick([401, 403, 429, 500, None], F.col("user_id") % 5), message)
+    return read("events").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(None)
