@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from .textbatch import as_bytes, shingles, text_slices, words
 
 FRAGMENTS, BEST, AHEAD = 2, 2, 2
 FEW = 8  # a round that links less than one in so many of all that rounds linked is the last one
+STEPS = 2  # of pointer jumping between rounds
 SPAN = 4096  # postings of one list that are put in order together, about
 WORDS = 4  # of 64 bits in a parity signature
 BUCKET = 2_000_000  # sampled shingles that a task compares at once
@@ -44,19 +46,21 @@ def _digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for the ids of undirected edges (a, b): the least id that can be reached. Pointer jumping between rounds."""
+def components(edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """(id, component) for the ids of undirected edges (a, b): the least id that can be reached. Pointer jumping between rounds.
+
+    After `steps` of them, if given, the least id that was reached by then: equal components are still connected."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
-    held = labels
+    held, taken = labels, 0
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))
         new = materialize(step.join(jump, "mid", "left").select("id", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")), "labels")
         drop(held)
-        held, labels = new, new.select("id", "component")
-        if not new.where("component <> old").limit(1).count():
+        held, labels, taken = new, new.select("id", "component"), taken + 1
+        if taken == steps or not new.where("component <> old").limit(1).count():
             return labels
 
 
@@ -241,7 +245,7 @@ def _labels(parts: tuple[DataFrame, DataFrame], num: int, den: int) -> DataFrame
     """rep, component of the classes that link with another: the least class that can be reached."""
     posted, segments = parts
     spark, held = posted.sparkSession, posted
-    labels = spark.createDataFrame([], "rep long, component long")
+    labels, all_links = spark.createDataFrame([], "rep long, component long"), []
     most, more, turn, made = posted.count(), True, 0, 0
     place = F.struct("size", "weight", F.negative("rep").alias("m"), "rep", "n", "r", "rest", *SIGNATURE, "component")
 
@@ -275,6 +279,7 @@ def _labels(parts: tuple[DataFrame, DataFrame], num: int, den: int) -> DataFrame
         turn += 1
         if not done:
             continue
+        all_links.append(links)
         labels = _merged(labels, links)
         grown = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         known = labels.join(grown, "component").select("rep", F.col("component").alias("to"), F.col("size").alias("grown"))
@@ -287,12 +292,14 @@ def _labels(parts: tuple[DataFrame, DataFrame], num: int, den: int) -> DataFrame
     mixed = mixed.join(own, "rep")
     pairs = mixed.alias("p").join(mixed.alias("c"), "token").where("p.component < c.component").where(_possible("p", "c", num, den)).where(F.array_intersect("p.prefix", "c.prefix")[0] == F.col("token"))
     sides = [F.col(f"{x}.{n}").alias(f"{m}{y}") for n, m in (("rep", ""), ("n", "n"), ("component", "c")) for x, y in (("p", "a"), ("c", "b"))]
-    rest = linked(pairs.select(*sides).distinct())
-    return _merged(labels, rest)
+    all_links.append(linked(pairs.select(*sides).distinct()))
+    return components(reduce(DataFrame.unionByName, [x.select("a", "b") for x in all_links])).withColumnRenamed("id", "rep")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (rep, component) after links (a, b, ca, cb) between groups; the classes they name come in."""
-    to = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    """labels (rep, component) after a step from links (a, b, ca, cb) between groups; the classes they name come in.
+
+    Groups that links join through others may stay apart until a later round: they are tried again then, and all links are followed to their ends once, in the end."""
+    to = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), STEPS)
     known = labels.unionByName(links.select(F.col("a").alias("rep"), F.col("ca").alias("component"))).unionByName(links.select(F.col("b").alias("rep"), F.col("cb").alias("component"))).distinct()
     return materialize(known.join(to.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("rep", F.coalesce("to", "component").alias("component")), "labels")
