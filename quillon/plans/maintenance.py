@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as m
+from ..operators import sanitize, upkeep
 from .query import query
 
 _E = "e AS (SELECT *, sha256(o_orderkey || ':' || round(o_totalprice * 100)::BIGINT) AS h FROM orders WHERE o_orderkey % 10 <> 0)"
@@ -92,3 +93,45 @@ def sanitize_extraction(read):
 def facet_cascade(read):
     first = F.split("p_name", " ")[0]
     return read("part").select("p_partkey", F.coalesce(F.when(F.col("p_type").isin("SMALL", "LARGE"), F.lower("p_type")), F.when(first.isin("small", "large"), first), F.lit("unknown")).alias("size_class"))
+
+
+_PICKS = "SELECT conv_id, turn, (turn % 7) - 1.5::DOUBLE + 0.75::DOUBLE * (conv_id % 2) AS pos, CASE turn % 4 WHEN 0 THEN 'Nice one ' || role WHEN 1 THEN text || ', null' WHEN 2 THEN 'null' ELSE left(text, 12) END AS why FROM conversations"
+
+
+@query(f"""WITH x AS ({_PICKS}), k AS (SELECT *, floor(pos)::INTEGER AS i, row_number() OVER (PARTITION BY conv_id, floor(pos) ORDER BY turn) AS nth FROM x WHERE pos >= 0 AND floor(pos) < 4),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM k WHERE nth = 1),
+r AS (SELECT *, trim(regexp_replace(trim(why), '(?i)[,;:\\s]*\\bnull\\b\\.?$', '')) AS bare FROM o WHERE place <= 10)
+SELECT conv_id, place::INTEGER AS place, i AS "index", CASE WHEN length(bare) >= 8 AND NOT regexp_matches(bare, '(?i)^(good|great|nice|perfect|strong)\\b') THEN CASE WHEN length(bare) > 90 THEN left(bare, 87) || '...' ELSE bare END END AS reason FROM r""")
+def rerank_picks(read):
+    """Answers made of the turns of a conversation, for a list of four: places out of range, repeated ones, empty praise."""
+    at = (F.col("turn") % 7) - 1.5 + 0.75 * (F.col("conv_id") % 2)
+    fourth = F.col("turn") % 4
+    why = F.when(fourth == 0, F.concat(F.lit("Nice one "), "role")).when(fourth == 1, F.concat("text", F.lit(", null"))).when(fourth == 2, "null").otherwise(F.substring("text", 1, 12))
+    turns = read("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", at.cast("double").alias("index"), why.alias("reason")))).alias("t"))  # of one answer
+    picks = sanitize.picks(F.transform("t", lambda x: F.struct(x["index"].alias("index"), x["reason"].alias("reason"))), F.lit(4))
+    return turns.select("conv_id", F.posexplode(picks).alias("place", "p")).select("conv_id", (F.col("place") + 1).alias("place"), "p.index", "p.reason")
+
+
+@query("""WITH x AS (SELECT p_partkey, string_split(p_name, ' ') AS w, p_type, p_size FROM part)
+SELECT p_partkey, array_to_string(list_concat([w[1], 'size ' || p_size], CASE WHEN p_size % 2 = 0 THEN [w[2]] ELSE [] END), '|') AS terms, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN lower(p_type) END AS size, CASE WHEN w[1] IN ('red', 'blue') THEN w[1] ELSE '' END AS tones,
+  ((p_type NOT IN ('SMALL', 'LARGE'))::INT + CASE WHEN w[1] IN ('red', 'blue') THEN 1 ELSE 2 END)::INTEGER AS dropped, p_size > 40 AS has_negation FROM x""")
+def sanitize_facets(read):
+    """An expansion and an extraction made of a part's fields: unknown values, long and short terms, a negation."""
+    words = F.split("p_name", " ")
+    raw = F.struct(
+        F.array(F.concat(F.lit(" "), F.upper(words[0])), F.concat(F.lit("Size "), "p_size"), F.when(F.col("p_size") % 2 == 0, words[1]).otherwise("x"), F.lit("one two three four")).alias("terms"),
+        F.when(F.col("p_size") > 40, F.array("p_brand")).alias("negatedTerms"), F.lit(None).cast("boolean").alias("hasNegation"), F.col("p_type").alias("size"), F.array(F.upper(words[0]), F.lit("tartan")).alias("tones"),
+    )
+    single, many = {"size": ("small", "large")}, {"tones": ("red", "blue")}
+    both = read("part").select("p_partkey", sanitize.expansion(raw, single, many).alias("e"), sanitize.extraction(raw, single, many).alias("x"))
+    return both.select("p_partkey", F.array_join("e.terms", "|").alias("terms"), "x.size", F.array_join("x.tones", ",").alias("tones"), "x.dropped", "e.has_negation")
+
+
+@query("""WITH s AS (SELECT MAP {'small': ['mini', 'small'], 'ring': ['band', 'ring']} AS m)
+SELECT p_partkey, lower(p_name) AS title, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ' ') AS attrs, '100% ' || lower(p_brand) || ' ' || array_to_string(coalesce(m[string_split(p_name, ' ')[2]], [string_split(p_name, ' ')[2]]), ' ') AS material, 'a ' || lower(p_name) || ' of ' || lower(p_brand) AS body
+FROM (SELECT *, list_concat(coalesce(m[lower(p_type)], [replace(lower(p_type), '-', ' ')]), coalesce(m[string_split(p_name, ' ')[2]], [string_split(p_name, ' ')[2]])) AS l FROM part, s)""")
+def search_fields(read):
+    """The four fields of parts, synonyms included."""
+    second = F.split("p_name", " ")[1]
+    fields = upkeep.search_fields(F.col("p_name"), F.lit(None).cast("string"), [F.lower("p_type")], [F.array(second)], F.concat(F.lit("100% "), "p_brand"), F.array(second), F.lit(None).cast("array<string>"), F.concat(F.lit("A  "), "p_name", F.lit(" of "), "p_brand"), F.lit(None).cast("string"), {"small": ("mini", "small"), "ring": ("band", "ring")})
+    return read("part").select("p_partkey", fields.alias("f")).select("p_partkey", "f.*")
