@@ -47,15 +47,29 @@ def truncate_words(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).when(head != "", head).otherwise(F.substring(text, 1, most))
 
 
+def numeric_entities(text: Column) -> Column:
+    """&#233; and &#xe9; as characters; numbers that are none stay as they are."""
+    pieces = F.split(text, "&#")
+
+    def decoded(piece: Column) -> Column:
+        dec, hexa = F.regexp_extract(piece, "^([0-9]{1,7});", 1), F.regexp_extract(piece, "^[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(dec != "", dec.try_cast("long")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("long"))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.concat(char, F.regexp_replace(piece, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), piece))
+
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.when(F.contains(text, F.lit("&#")), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
-    """Text of a page: scripts, styles and comments dropped, tags to spaces, entities decoded, white space collapsed."""
+    """Text of a page: scripts, styles and comments dropped, tags to spaces, entities decoded (numbers first, &amp; last), white space collapsed."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
+    out = numeric_entities(F.regexp_replace(out, r"<[^>]*>", " "))
     for name, char in ENTITIES.items():
         if name != "amp":
             out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
     out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.trim(F.regexp_replace(out, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(out, "[\\s\u00a0]+", " "))
 
 
 def canonical_url(url: Column, keep: tuple[str, ...] = ()) -> Column:

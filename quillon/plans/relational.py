@@ -284,16 +284,28 @@ def error_classify(read):
     return read("events").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+_LOG = "e AS (SELECT user_id, list({fields} ORDER BY ts, event_id) AS l FROM events WHERE user_id IS NOT NULL GROUP BY 1)"
+
+
+@query(f"""WITH {_LOG.format(fields="{'h': []::DOUBLE[], 'f': []::BIGINT[], 't': epoch_us(ts) / 1e6::DOUBLE, 'id': event_id}")},
+r AS (SELECT list_reduce(list_prepend({{'h': []::DOUBLE[], 'f': []::BIGINT[], 't': 0::DOUBLE, 'id': 0::BIGINT}}, l), lambda s, x: CASE WHEN len(list_filter(s.h, lambda y: y > x.t - 3600)) < 5
+  THEN {{'h': list_append(list_filter(s.h, lambda y: y > x.t - 3600), x.t), 'f': list_append(s.f, x.id), 't': x.t, 'id': x.id}} ELSE {{'h': list_filter(s.h, lambda y: y > x.t - 3600), 'f': s.f, 't': x.t, 'id': x.id}} END).f AS f FROM e),
+a AS (SELECT unnest(f) AS event_id FROM r) SELECT event_id, event_id IN (SELECT event_id FROM a) AS admitted FROM events WHERE user_id IS NOT NULL""")
 def rate_limit_fold(read):
     return limits.rate_limit(read("events").select("event_id", "ts", "user_id"), "user_id", "ts", "event_id", 5, 3600.0).select("event_id", "admitted")
 
 
-@query(None)
+@query(f"""WITH {_LOG.format(fields="{'s': epoch_us(ts)::BIGINT, 'n': 1::BIGINT, 'ok': 1::BIGINT}")}
+SELECT user_id, len(l)::INTEGER AS hits, list_reduce(list_prepend({{'s': -4000000000000000000::BIGINT, 'n': 0::BIGINT, 'ok': 0::BIGINT}}, l),
+  lambda s, x: CASE WHEN x.s - s.s >= 86400000000 THEN {{'s': x.s, 'n': 1::BIGINT, 'ok': s.ok + 1}} ELSE {{'s': s.s, 'n': s.n + 1, 'ok': s.ok + (s.n < 3)::BIGINT}} END).ok::INTEGER AS admitted FROM e""")
 def fixed_window_limit(read):
     return limits.fixed_window(read("events"), "user_id", "ts", "event_id", 3, 86_400)
 
 
-@query(None)
+@query(f"""WITH {_LOG.format(fields="{'t': epoch_us(ts)::BIGINT, 'bad': (event_type = 'error')::BIGINT, 'run': 0::BIGINT, 'trips': 0::BIGINT, 'no': 0::BIGINT}")},
+r AS (SELECT user_id, list_reduce(list_prepend({{'t': -4000000000000000000::BIGINT, 'bad': 0::BIGINT, 'run': 0::BIGINT, 'trips': 0::BIGINT, 'no': 0::BIGINT}}, l),
+  lambda s, x: CASE WHEN x.t < s.t THEN {{'t': s.t, 'bad': x.bad, 'run': s.run, 'trips': s.trips, 'no': s.no + 1}} WHEN x.bad = 0 THEN {{'t': s.t, 'bad': 0::BIGINT, 'run': 0::BIGINT, 'trips': s.trips, 'no': s.no}}
+  WHEN s.run + 1 >= 2 THEN {{'t': x.t + 86400000000, 'bad': 1::BIGINT, 'run': s.run + 1, 'trips': s.trips + 1, 'no': s.no}} ELSE {{'t': s.t, 'bad': 1::BIGINT, 'run': s.run + 1, 'trips': s.trips, 'no': s.no}} END) AS z FROM e)
+SELECT user_id, z.trips::INTEGER AS trips, z.no::INTEGER AS refused FROM r""")
 def breaker_fold(read):
     return limits.breaker(read("events").withColumn("failed", F.col("event_type") == "error"), "user_id", "ts", "event_id", "failed", 2, 86_400)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import expand, first_match
 from ..functions.stem import duck_stem
-from ..functions.text import html_text, tokens, whole_words
+from ..functions.text import ENTITIES, html_text, tokens, whole_words
 from ..operators import evaluation as e
 from ..operators import index, ranking, search
 from ..operators import retrieval as r
@@ -273,9 +273,20 @@ def sanitize_rerank(read):
     return read("conversations").select("conv_id", "turn", t.alias("t"), rn.alias("rn")).where("rn = 1 and t is not null and length(t) >= 8").select("conv_id", "turn", F.substring("t", 1, 90).alias("reason"))
 
 
-_HTML = "trim(regexp_replace({}, '[\\s ]+', ' ', 'g'))"
+def _html_sql(html: str) -> str:
+    """html_text() in DuckDB."""
+    out = rf"regexp_replace(regexp_replace({html}, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    code = "CASE WHEN regexp_matches(p, '^[0-9]{1,7};') THEN TRY_CAST(regexp_extract(p, '^([0-9]{1,7});', 1) AS INTEGER) WHEN regexp_matches(p, '^[xX][0-9a-fA-F]{1,6};') THEN TRY_CAST('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]{1,6});', 1) AS INTEGER) END"
+    piece = f"CASE WHEN i = 1 THEN p WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) || regexp_replace(p, '^[^;]*;', '') ELSE '&#' || p END"
+    out = f"array_to_string(list_transform(string_split({out}, '&#'), lambda p, i: {piece}), '')"
+    for name, char in [*((n, c) for n, c in ENTITIES.items() if n != "amp"), ("amp", "&")]:
+        out = "replace({}, '&{};', '{}')".format(out, name, char.replace("'", "''"))
+    return rf"trim(regexp_replace({out}, '[\s\x{{A0}}]+', ' ', 'g'))"
 
 
-@query(None)
+@query(f"SELECT page_id, {_html_sql('html')} AS text, {_html_sql('x')} AS title FROM (SELECT *, '<h1>' || chr(38) || '#' || (200 + page_id % 300) || '; ' || chr(38) || '#x' || to_hex(8400 + page_id % 40) || '; ' || chr(38) || '#99999999; ' || chr(38) || 'amp;lt; ' || url || '</h1>' AS x FROM pages)")
 def html_strip(read):
-    return read("pages").select("page_id", html_text(F.col("html")).alias("text"))
+    """The text of pages, and of headings with decimal, hexadecimal, impossible and double entities."""
+    n = lambda of: (of).cast("string")
+    head = F.concat(F.lit("<h1>&#"), n(200 + F.col("page_id") % 300), F.lit("; &#x"), F.hex(8400 + F.col("page_id") % 40), F.lit("; &#99999999; &amp;lt; "), F.col("url"), F.lit("</h1>"))
+    return read("pages").select("page_id", html_text(F.col("html")).alias("text"), html_text(head).alias("title"))
