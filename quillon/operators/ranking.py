@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,28 @@ def type_gate(ranked: DataFrame, query: str, eligible: Column, floor: int = 5) -
     return ranked.withColumn("_n", n).where((F.col("_n") < floor) | F.coalesce(eligible, F.lit(True))).drop("_n")
 
 
+def mentions(text: Column, term: Column, forms: Mapping[str, Sequence[str]]) -> Column:
+    """Whether a text holds a form of the term as whole words, in any case; a term without forms stands for itself, with spaces for hyphens."""
+    table = F.create_map(*(x for k, v in forms.items() for x in (F.lit(k), F.array(*map(F.lit, v))))) if forms else F.lit(None).cast("map<string, array<string>>")
+    own = F.coalesce(F.try_element_at(table, term), F.array(F.replace(term, F.lit("-"), F.lit(" "))))
+    return F.coalesce(F.exists(own, lambda f: F.rlike(text, F.concat(F.lit(r"(?i)(^|\W)\Q"), f, F.lit(r"\E(\W|$)")))), F.lit(False))
+
+
+def intent_gate(ranked: DataFrame, requests: DataFrame, query: str, forms: Mapping[str, Sequence[str]], floor: int = 5) -> DataFrame:
+    """Keep of each request's list what its type intent allows; a filter that never reorders.
+
+    requests: query, text, want_category, want_subcategory (both may be null); ranked has category and subcategory. Eligible: the wanted
+    subcategory, the wanted category, or no type at all. A list stays whole where there is no intent, where the text names neither
+    wanted type (the model inferred it), and where fewer than `floor` rows are eligible."""
+    asked = requests.select(query, "text", "want_category", "want_subcategory")
+    c, sub = F.col("category"), F.col("subcategory")
+    grounded = mentions(F.col("text"), F.col("want_category"), forms) | mentions(F.col("text"), F.col("want_subcategory"), forms)
+    exact, untyped = F.coalesce(sub == F.col("want_subcategory"), F.lit(False)), c.isNull() & sub.isNull()
+    fits = exact | untyped | F.coalesce(c == F.col("want_category"), F.col("want_category").isNull())
+    rows = ranked.join(asked, query, "left").withColumn("_fits", fits).withColumn("_n", F.count_if("_fits").over(Window.partitionBy(query)))  # lists are of bounded length
+    return rows.where(F.col("_fits") | ~grounded | (F.col("_n") < floor)).select(ranked.columns)
+
+
 def head_tail(window: DataFrame, picks: DataFrame, tail: DataFrame, key: str, limit: int = 120) -> DataFrame:
     """Picks in their order, the rest of the window, then the tail; new column place. picks: key, pick (from 1)."""
     merged = window.join(picks, key, "left").select(key, "rank", F.when(F.col("pick").isNotNull(), 0).otherwise(1).alias("segment"), F.coalesce("pick", "rank").alias("pos"))

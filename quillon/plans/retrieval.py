@@ -219,6 +219,23 @@ def type_gate(read):
     return ranking.type_gate(ranked, "p_brand", F.col("p_type") == "PROMO").select("p_brand", "p_partkey", F.col("rank").cast("long").alias("rank"))
 
 
+@query(r"""WITH b AS (SELECT DISTINCT p_brand FROM part),
+q AS (SELECT p_brand, n, ['any promo-offer?', 'SALE bolts', 'quiet', 'a tiny thing', NULL][1 + n % 5] AS text, ['PROMO', 'PROMO', 'PROMO', NULL, 'SMALL'][1 + n % 5] AS wc, [NULL, 'bolt', NULL, 'small', NULL][1 + n % 5] AS ws FROM (SELECT p_brand, regexp_extract(p_brand, '([0-9]+)', 1)::INTEGER AS n FROM b)),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 30),
+t AS (SELECT r.p_brand, p_partkey, rank, text, wc, ws, CASE WHEN p_size % 10 > 0 THEN p_type END AS c, CASE WHEN p_size % 10 > 0 THEN string_split(p_name, ' ')[2] END AS s FROM r JOIN q USING (p_brand)),
+f AS (SELECT *, coalesce(s = ws, false) OR (c IS NULL AND s IS NULL) OR coalesce(c = wc, wc IS NULL) AS fits,
+  coalesce((wc = 'PROMO' AND regexp_matches(text, '(?i)(^|\W)(promo|sale|offer)(\W|$)')) OR (wc = 'SMALL' AND regexp_matches(text, '(?i)(^|\W)small(\W|$)')) OR (ws = 'bolt' AND regexp_matches(text, '(?i)(^|\W)bolt(\W|$)')) OR (ws = 'small' AND regexp_matches(text, '(?i)(^|\W)(mini|tiny|small)(\W|$)')), false) AS grounded FROM t)
+SELECT p_brand, p_partkey, rank FROM (SELECT *, sum(fits::INT) OVER (PARTITION BY p_brand) AS n FROM f) WHERE fits OR NOT grounded OR n < 5""")
+def intent_gate(read):
+    """Lists of thirty parts of a brand, each with a request made of the brand's number: named, inferred and missing types."""
+    n = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int") % 5
+    pick = lambda *values: F.get(F.array(*(F.lit(v).cast("string") for v in values)), n)
+    requests = read("part").select("p_brand").distinct().select("p_brand", pick("any promo-offer?", "SALE bolts", "quiet", "a tiny thing", None).alias("text"), pick("PROMO", "PROMO", "PROMO", None, "SMALL").alias("want_category"), pick(None, "bolt", None, "small", None).alias("want_subcategory"))
+    typed = F.col("p_size") % 10 > 0
+    ranked = r.top_k(read("part").withColumn("score", F.col("p_retailprice")), "p_brand", "p_partkey", 30).select("p_brand", "p_partkey", "rank", F.when(typed, F.col("p_type")).alias("category"), F.when(typed, F.split("p_name", " ")[1]).alias("subcategory"))
+    return ranking.intent_gate(ranked, requests, "p_brand", {"PROMO": ("promo", "sale", "offer"), "small": ("mini", "tiny", "small")}).select("p_brand", "p_partkey", F.col("rank").cast("long").alias("rank"))
+
+
 _SYN = {"small": ("mini", "tiny", "small"), "large": ("big", "large"), "promo": ("sale", "offer", "promo")}
 _SYN_SQL = "MAP {'small': ['mini', 'tiny', 'small'], 'large': ['big', 'large'], 'promo': ['sale', 'offer', 'promo']}"
 

@@ -86,3 +86,17 @@ def test_backfill(spark, tmp_path):
     assert sorted((r["id"], r["twice"]) for r in rows) == [(k * 10 + i, 2 * (k * 10 + i)) for k in range(4) for i in range(5)]
     upkeep.backfill(stream(), derive, out, check).awaitTermination(60)
     assert len(done) == 4
+
+
+def test_intent_gate(spark):
+    """No intent, an inferred type and too few eligible rows leave a list as it is; rows without a type stay."""
+    from quillon.operators import ranking
+
+    ranked = spark.createDataFrame([(q, i, ["dress", "top", None, "dress", "skirt"][i % 5], ["mini", "tee", None, "maxi", None][i % 5], i + 1) for q in range(6) for i in range(10)], "q int, id int, category string, subcategory string, rank int")
+    requests = [(0, "a red dress", "dress", None), (1, "something nice", "dress", None), (2, "a dress", None, None), (3, "shorter than a minidress", None, "mini"), (4, "Gowns please", "dress", "mini"), (5, None, "dress", None)]
+    asked = spark.createDataFrame(requests, "q int, text string, want_category string, want_subcategory string")
+    got = {}
+    for r in ranking.intent_gate(ranked, asked, "q", {"dress": ("dress", "gowns")}, 5).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append(r["id"])
+    assert got[0] == [0, 2, 3, 5, 7, 8] == got[4] and all(got[q] == list(range(10)) for q in (1, 2, 3, 5))
+    assert ranking.intent_gate(ranked, asked, "q", {"dress": ("dress",)}, 7).where("q = 0").count() == 10
