@@ -37,6 +37,7 @@ GIVEN = {
 }
 _ALPHABETS = {"d": "0123456789", "h": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "c": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "g": "αβγδεζηθικλμνξοπρστυφχψω", "e": "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "k": "άέήίόύώ"}
 _CLASS = {ch: k for k in "dacgek" for ch in _ALPHABETS[k]}
+TRIES = 6  # to find a surrogate that is no real entity
 _NAME = r"[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?[a-zß-öø-ÿ'’-]+|[А-Я][а-я-]+|[Α-ΩΆ-Ώ][α-ωά-ώ]+"
 # In order of priority: kind, trigger that must be in the text, pattern.
 PATTERNS = [
@@ -242,7 +243,10 @@ def _key(secret: str) -> bytes:
 
 
 def exceptions(docs: DataFrame, secret: str) -> DataFrame:
-    """kind, entity, attempt of the entities that cannot take their first surrogate; checked over all distinct entities."""
+    """kind, entity, attempt of the entities that cannot take their first surrogate; checked over all distinct entities.
+
+    A surrogate should not be another real entity either. Where TRIES attempts find no other string, because most of a shape's
+    strings are real, that is given up and the first surrogate stays: no two entities share one in any case."""
     key = _key(secret)
 
     def entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,20 +259,24 @@ def exceptions(docs: DataFrame, secret: str) -> DataFrame:
     clash = found.join(shared.where("n > 1"), ["kind", "new"]).where("entity <> keeps").select("kind", "entity").unionByName(found.where("entity = new").select("kind", "entity"))
     real = found.select("kind", F.col("entity").alias("new")).distinct()
     movable = ~((F.col("kind") == "person") & (F.size(F.split("entity", " ")) == 2))  # a bare surname has one surrogate
-    clash = clash.unionByName(found.where(movable).join(real, ["kind", "new"], "left_semi").select("kind", "entity")).distinct()
-    # the least free attempt: these entities are the rare ones, and their later surrogates are checked against all taken
+    must = materialize(clash.select("kind", "entity").distinct(), "must")  # these have no surrogate without another attempt
+    clash = must.unionByName(found.where(movable).join(real, ["kind", "new"], "left_semi").select("kind", "entity")).distinct()
+    # the least free attempt: these entities are the rare ones. First surrogates stay reserved, so that one can be gone back to
     out, attempt = [], 1
-    taken = found.join(clash, ["kind", "entity"], "left_anti").select("kind", "new")
+    taken = found.select("kind", "new")
     while clash.limit(1).count():
         def again(batches: Iterator[pd.DataFrame], n: int = attempt) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 yield pdf.assign(new=[surrogate(k, e, key, n) for k, e in zip(pdf["kind"], pdf["entity"])], attempt=n)
 
         tried = materialize(clash.mapInPandas(again, "kind string, entity string, new string, attempt int"), "attempts")
-        free = tried.where("entity <> new").join(taken, ["kind", "new"], "left_anti").join(real, ["kind", "new"], "left_anti").groupBy("kind", "new").agg(F.min("entity").alias("entity"), F.first("attempt").alias("attempt"))
-        free = materialize(free, "free")
+        free = tried.where("entity <> new").join(taken, ["kind", "new"], "left_anti")
+        free = free.join(real, ["kind", "new"], "left_anti") if attempt <= TRIES else free
+        free = materialize(free.groupBy("kind", "new").agg(F.min("entity").alias("entity"), F.first("attempt").alias("attempt")), "free")
         out.append(free.select("kind", "entity", "attempt"))
         taken, clash, attempt = taken.unionByName(free.select("kind", "new")), tried.join(free, ["kind", "entity"], "left_anti").select("kind", "entity"), attempt + 1
+        if attempt > TRIES:  # a dense shape: the first surrogate, a permutation's, is distinct all the same
+            clash = clash.join(must, ["kind", "entity"], "left_semi")
     if not out:
         return docs.sparkSession.createDataFrame([], "kind string, entity string, attempt int")
     total = out[0]

@@ -11,7 +11,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import collocation, curve, merkle, queries, ranks
+from quillon.llm import collocation, curve, merkle, pii, queries, ranks
 
 BYTES = tokenizer_path("byte_bpe_50k.json")
 BIG = 2**53 + 1
@@ -215,3 +215,18 @@ def test_sql(name, spark, sf_dir):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.select(*columns).fetchall())
+
+
+@pytest.mark.parametrize("share", [1.0, 0.5])
+def test_dense_shapes_end(spark, share):
+    """All or half of a shape's strings are real entities: surrogates stay distinct, consistent and other than what they replace."""
+    mails = [f"{d}@{e}.co" for d in range(10) for e in range(10)][: int(100 * share)]
+    df = spark.createDataFrame([(i, f"mail {m} now, again {m}") for i, m in enumerate(mails)], "doc_id long, text string").repartition(3)
+    new = {}
+    for r in pii.replace_private(df, "a secret").collect():
+        own = {e["surrogate"] for e in r["entities"]}
+        assert len(own) == 1 and len(r["entities"]) == 2
+        new[mails[r["doc_id"]]] = own.pop()
+    assert len(set(new.values())) == len(mails) and all(a != b for a, b in new.items())
+    if share < 1:
+        assert sum(b in new for b in new.values()) <= 5  # of fifty, few are real entities
