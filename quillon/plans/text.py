@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text as t
-from ..operators import material
+from ..operators import facets, material
 from ..sources import pages
 from .query import query
 
@@ -252,3 +252,33 @@ def sitemap_urls(read):
     by = read("pages").groupBy(F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang")).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("of"))  # addresses of the saved pages of a language: one file's worth
     xml = F.concat(F.lit("<urlset>"), F.array_join(F.transform("of", lambda p: F.concat(F.lit("<url><loc> "), p["url"], F.lit("</loc></url>"))), "\n"), F.lit("</urlset>"))
     return by.select("lang", F.explode(pages.sitemap_links(xml, r"/[0-9]+$", "/blog", 5)).alias("url"))
+
+
+@query("""WITH x AS (SELECT p_partkey, p_size % 6 AS k, p_partkey % 2 = 1 AS told, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part)
+SELECT p_partkey, CASE WHEN k = 0 THEN 'dress' WHEN k IN (1, 5) THEN 'bottom' WHEN k = 2 THEN 'top' WHEN k = 3 THEN 'outerwear' WHEN told AND b = 'ring' THEN 'accessory' END AS category,
+  CASE k WHEN 0 THEN 'mini-dress' WHEN 1 THEN 'shorts' WHEN 2 THEN 't-shirt' WHEN 3 THEN 'coat' WHEN 5 THEN 'skirt' END AS subcategory, CASE k WHEN 0 THEN 'sweetheart' WHEN 2 THEN 'mock-neck' END AS neckline, CASE k WHEN 0 THEN 'mini' WHEN 5 THEN 'midi' END AS length,
+  CASE WHEN told THEN 'fitted' END AS fit, CASE WHEN k = 5 THEN 'wrap' WHEN told THEN 'slim' END AS silhouette, CASE WHEN told THEN 'high-rise' END AS rise,
+  array_to_string(list_filter([CASE WHEN k = 1 THEN 'denim' END, CASE WHEN a IN ('red', 'blue') THEN a END], lambda v: v IS NOT NULL), ',') AS colors, CASE WHEN told THEN 'pockets' ELSE '' END AS details, CASE WHEN k = 3 THEN 'winter' ELSE '' END AS season FROM x""")
+def garment_facets(read):
+    """Names and copy made of a part's fields, through all rule tables; labelled blocks override."""
+    words = F.split("p_name", " ")
+    kinds = F.array(*map(F.lit, ("Sweetheart Neck Mini Dress", "Denim Shorts", "High Neck T-Shirt", "Puffer Vest", "Waver", "Wrap Midi Skirt")))
+    name = F.concat_ws(" ", F.initcap(words[0]), F.get(kinds, F.col("p_size") % 6))
+    copy = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("For any "), words[1], F.lit(", with pockets and a white lining. Fit: Slim. Rise: High rise.")))
+    rows = read("part").select("p_partkey", facets.facets(name, copy).alias("f"), facets.labelled_facets(copy).alias("l")).select("p_partkey", facets.overridden(F.col("f"), F.col("l"), ["fit", "rise", "neckline"]).alias("f"))
+    return rows.select("p_partkey", *(f"f.{c}" for c in ("category", "subcategory", "neckline", "length", "fit", "silhouette", "rise")), *(F.array_join(f"f.{c}", ",").alias(c) for c in ("colors", "details", "season")))
+
+
+_TABLES = {"silhouette": {"ring": "round", "rod": "straight"}, "neckline": {}, "sleeve": {}, "pattern": {"red": "warm", "blue": "cold", "cold": "cold"}, "waist": {}, "position": {}, "shoulder": {}, "detail": {"gear": "toothed", "bolt": "threaded", "widget": "moving"}, "occasion": {"promo": "sale", "small": "travel"}, "season": {}}
+
+
+@query("""WITH x AS (SELECT p_partkey, lower(p_type) AS t, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, p_size FROM part)
+SELECT p_partkey, CASE b WHEN 'ring' THEN 'round' WHEN 'rod' THEN 'straight' END AS silhouette, CASE a WHEN 'red' THEN 'warm' WHEN 'blue' THEN 'cold' WHEN 'cold' THEN 'cold' END AS pattern, CASE WHEN p_size > 25 THEN 'fitted' ELSE 'regular' END AS fit,
+  CASE b WHEN 'gear' THEN 'toothed' WHEN 'bolt' THEN 'threaded' WHEN 'widget' THEN 'moving' ELSE '' END AS details, CASE t WHEN 'promo' THEN 'sale' WHEN 'small' THEN 'travel' ELSE '' END AS occasion, 'Steel ' || p_size || '%' AS composition FROM x""")
+def kv_facets(read):
+    """Key-value blocks made of a part's fields, with facets that stand under a second key."""
+    empty = {n: t or {"-": "-"} for n, t in _TABLES.items()}
+    words = F.split("p_name", " ")
+    block = F.concat(F.lit("- Style: "), "p_type", F.lit(" - Dress Type: old "), words[1], F.lit(" - Material: "), words[0], F.lit("/Gold - Embellishment: "), words[1], F.lit("s, none - Fabric Stretch: "), F.when(F.col("p_size") > 25, "High").otherwise("No"), F.lit(" stretch - Fabric: Steel "), "p_size", F.lit("%"))
+    found = facets.block_facets(t.key_values(block, ("Fabric Stretch", "Dress Type", "Embellishment", "Material", "Fabric", "Style")), empty, ["gold"])
+    return read("part").select("p_partkey", found.alias("f")).select("p_partkey", "f.silhouette", "f.pattern", "f.fit", F.array_join("f.details", ",").alias("details"), F.array_join("f.occasion", ",").alias("occasion"), "f.composition")
