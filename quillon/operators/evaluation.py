@@ -40,3 +40,9 @@ def precision(ranked: DataFrame, query: str, k: int, least: int = 2) -> DataFram
 
 def standard_error(value: str) -> Column:
     return F.when(F.count(value) >= 2, F.stddev_samp(value) / F.sqrt(F.count(value)))
+
+
+def summary(cases: DataFrame, by: str, recall_: str, gate: str, mean_least: float, worst_least: float) -> DataFrame:
+    """(by, cases, recall, gates, passed): passed if mean recall, every gate and the worst recall reach what they must; no judged case fails."""
+    holds = (F.avg(recall_) >= mean_least) & F.every(gate) & (F.min(recall_) >= worst_least)
+    return cases.groupBy(by).agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(recall_), 6).alias("recall"), F.every(gate).alias("gates"), F.coalesce(holds, F.lit(False)).alias("passed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, evaluation, maintenance, preferences, relational, retrieval, text
+from . import catalog, details, evaluation, maintenance, preferences, relational, retrieval, text
 from .query import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "evaluation", "maintenance", "preferences", "relational", "retrieval", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "details", "evaluation", "maintenance", "preferences", "relational", "retrieval", "text"]
