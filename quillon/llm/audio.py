@@ -153,11 +153,16 @@ def audio_features(media: DataFrame) -> DataFrame:
     return named(nameless(media, "n_bytes", "media").mapInPandas(decode, schema + ", payload binary, n_frames long, spans array<struct<start_s: double, end_s: double>>, tensors binary"))
 
 
+def store_features(media: DataFrame) -> DataFrame:
+    """The features of stored media as a table of their own: digests of payload and media, n_frames, spans and the tensors with their time spans."""
+    f = audio_features(media)
+    return materialize(f.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "n_frames", "spans", "tensors",
+    ), "audio-features")
+
+
 def document_audio(docs: DataFrame) -> DataFrame:
-    f = audio_features(store_audio(docs))
-    size = F.octet_length("payload")
-    return f.select(
-        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", "n_frames", F.size("spans"), F.sha2("tensors", 256)).alias("feature"),
-    )
+    """Media and features of every row are stored; the feature digest is taken from the stored tensors."""
+    kept = store_features(store_audio(docs))
+    return kept.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", "n_frames", F.size("spans"), F.sha2("tensors", 256)).alias("feature"))

@@ -11,7 +11,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import collocation, curve, merkle, pii, queries, ranks
+from quillon.llm import audio, collocation, curve, merkle, pii, queries, ranks
 
 BYTES = tokenizer_path("byte_bpe_50k.json")
 BIG = 2**53 + 1
@@ -230,3 +230,15 @@ def test_dense_shapes_end(spark, share):
     assert len(set(new.values())) == len(mails) and all(a != b for a, b in new.items())
     if share < 1:
         assert sum(b in new for b in new.values()) <= 5  # of fifty, few are real entities
+
+
+def test_stored_tensors(docs):
+    """The stored tensors are the mel energies of the stored samples, by a plain transform of each frame, with spans that follow each other."""
+    media = audio.store_audio(docs.where("doc_id < 12"))
+    samples = {r["doc_id"]: audio.wav_samples(bytes(r["media"]))[0] for r in media.collect()}
+    for r in audio.store_features(media).collect():
+        x = (np.frombuffer(samples[r["doc_id"]], np.uint8).astype(np.float32) - 128) / 128
+        mel = audio.log_mel(audio.resample(x))
+        blocks, spans = audio.tensors(bytes(r["tensors"]))
+        assert blocks.shape[1:] == (audio.ROWS, audio.MELS) and np.array_equal(blocks.reshape(-1, audio.MELS)[: len(mel)], mel) and r["n_frames"] == len(mel)
+        assert np.allclose(spans[1:, 0], spans[:-1, 1]) and all(s["start_s"] < s["end_s"] for s in r["spans"])
