@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .storage import drop, materialize, small_batches
 from .textbatch import as_bytes, shingles, text_slices, words
+from .tokens import forget
 
 FRAGMENTS, BEST, AHEAD = 2, 2, 2
 FEW = 8  # a round that links less than one in so many of all that rounds linked is the last one
@@ -69,6 +70,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     limit = _sample(num, den)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for pdf in batches:
             for some in text_slices(pdf, "text"):
                 own = sets(some, width)
@@ -98,6 +100,7 @@ def _shared(docs: DataFrame, width: int, num: int, den: int, total: int) -> Data
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, int(total * (int(limit) / 2**64)) // BUCKET)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for pdf in batches:
             for some in text_slices(pdf, "text"):
                 seen, values, owner, keys = set(), [], [], []

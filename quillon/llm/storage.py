@@ -31,6 +31,11 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def broadcast_if_few(table: DataFrame, items: int, most: int = 300_000) -> DataFrame:
+    """table, to be broadcast if it holds `most` items (of 16 bytes or so) at most; beyond that joins exchange both sides."""
+    return F.broadcast(table) if items <= most else table
+
+
 def drop(table: DataFrame) -> None:
     """Delete a table that materialize() made, once all that read it has been written."""
     spark = table.sparkSession

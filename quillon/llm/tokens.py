@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .textbatch import release
+
 _SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"  # white space, for Arrow's patterns
 _RUN = rf"[{_SPACE}] (?:[{_SPACE}]|\z)"
 _MARKS = r"\x00"
@@ -131,3 +133,9 @@ class ChunkEncoder:
             for x in list(self.index)[max(kept, self.MOST) :]:
                 del self.index[x]
         return ids, ends[offsets]
+
+
+def forget() -> None:
+    """Drop what a worker's encoders remember: workers live on, and other steps need the memory."""
+    ChunkEncoder.get.cache_clear()
+    release()
