@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .catalog import lapsed
+
 
 def classify(existing: DataFrame, incoming: DataFrame, key: str, hash_: str = "content_hash") -> DataFrame:
     """(key, status): inserted, updated, unchanged, or absent for rows that only exist."""
@@ -25,12 +27,12 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, owned: list[str],
     return e.join(i, F.col(f"e.{key}") == F.col(f"i.{key}"), "full").select(*out)
 
 
-def soft_delete(existing: DataFrame, incoming: DataFrame, key: str, group: str, seen: str, now: str, days: int = 7, share: float = 0.5) -> DataFrame:
-    """(key, deactivate): absent rows not seen for `days`, but only in groups of which the run saw enough."""
+def soft_delete(existing: DataFrame, incoming: DataFrame, key: str, group: str, seen: str, now: str, days: int = 7, share: float = 0.5, cadence: str | None = None) -> DataFrame:
+    """(key, deactivate): absent rows not seen for `days`, or two of their cadences (a column of days) if that is longer, but only in groups of which the run saw enough."""
     marked = existing.join(incoming.select(key, F.lit(1).alias("_in")), key, "left")
     per = marked.groupBy(F.col(group).alias("_group")).agg((F.sum(F.coalesce("_in", F.lit(0))) >= share * F.count(F.lit(1))).alias("_enough"))
     marked, enough = marked.join(per, F.col(group).eqNullSafe(F.col("_group"))), F.col("_enough")
-    old = F.col(seen) < F.expr(f"timestamp_ntz '{now}' - interval {days} days")
+    old = lapsed(F.col(seen), F.col(cadence) if cadence else F.lit(0), F.expr(f"timestamp_ntz '{now}'"), days)
     return marked.select(key, (enough & F.col("_in").isNull() & old).alias("deactivate"))
 
 

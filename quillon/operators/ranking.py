@@ -74,8 +74,10 @@ def intent_gate(ranked: DataFrame, requests: DataFrame, query: str, forms: Mappi
     return rows.where(F.col("_fits") | ~grounded | (F.col("_n") < floor)).select(ranked.columns)
 
 
-def head_tail(window: DataFrame, picks: DataFrame, tail: DataFrame, key: str, limit: int = 120) -> DataFrame:
-    """Picks in their order, the rest of the window, then the tail; new column place. picks: key, pick (from 1)."""
+def head_tail(window: DataFrame, picks: DataFrame | None, tail: DataFrame, key: str, limit: int = 120, default: int = 10) -> DataFrame:
+    """Picks in their order, the rest of the window, then the tail; new column place. picks: key, pick (from 1); without picks the first `default` stay first."""
+    if picks is None:
+        picks = window.where(F.col("rank") <= default).select(key, F.col("rank").alias("pick"))
     merged = window.join(picks, key, "left").select(key, "rank", F.when(F.col("pick").isNotNull(), 0).otherwise(1).alias("segment"), F.coalesce("pick", "rank").alias("pos"))
     rows = merged.unionByName(tail.select(key, "rank", F.lit(2).alias("segment"), F.col("rank").alias("pos")))
     return rows.orderBy("segment", "pos").limit(limit).withColumn("place", F.row_number().over(Window.orderBy("segment", "pos"))).select(key, "place", "segment")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as c
+from ..operators import ranking
 from ..operators import evaluation as e
 from ..operators import preferences as p
+from .catalog import _top
 from .evaluation import _J, _both
 from .preferences import _AFF, _RULES, _items
 from .query import query
@@ -140,3 +142,43 @@ def eval_slices(read):
     gates = ranked.groupBy("source").agg(F.max((F.col("rank") <= 10) & (F.col("grade") == 3)).alias("gate"))
     cases = e.recall(ranked, judged, "source", 20).join(gates, "source").withColumn("slice", F.explode(F.array(F.concat(F.lit("len"), F.length("source")), F.lit("all"))))
     return e.summary(cases, "slice", "recall", "gate", 0.4, 0.05)
+
+
+_LIST = "(SELECT p_partkey, p_type, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part ORDER BY rank LIMIT 120)"
+
+
+@query(f"WITH t AS {_LIST}, w AS (SELECT p_partkey FROM t WHERE p_type <> 'PROMO' ORDER BY rank LIMIT 60) SELECT p_partkey, 'window' AS part_of FROM t WHERE p_partkey IN (SELECT p_partkey FROM w) UNION ALL SELECT p_partkey, 'tail' FROM t WHERE p_partkey NOT IN (SELECT p_partkey FROM w)")
+def identity_split(read):
+    """The reranked window by its keys, and the rest of the list without them."""
+    top = _top(read, 120)
+    window = top.where("p_type <> 'PROMO'").orderBy("rank").limit(60).select("p_partkey")
+    inside, outside = top.join(window, "p_partkey", "left_semi"), top.join(window, "p_partkey", "left_anti")
+    return inside.select("p_partkey", F.lit("window").alias("part_of")).unionByName(outside.select("p_partkey", F.lit("tail").alias("part_of")))
+
+
+@query(f"WITH t AS {_LIST} SELECT p_partkey, rank AS place, (CASE WHEN rank <= 10 THEN 0 WHEN rank <= 60 THEN 1 ELSE 2 END)::INTEGER AS segment, round(1 - (rank - 1) / greatest(1, 120)::DOUBLE, 6) AS relevance FROM t")
+def rerank_fallback(read):
+    """Without a reranker's answer the first ten of the window stay first; relevance falls evenly along the list."""
+    top = _top(read, 120)
+    merged = ranking.head_tail(top.where("rank <= 60"), None, top.where("rank > 60"), "p_partkey")
+    return merged.select("p_partkey", F.col("place").cast("long").alias("place"), "segment", F.round(c.upstream_relevance(F.col("place") - 1, F.lit(120)), 6).alias("relevance"))
+
+
+@query("""SELECT c_custkey, coalesce(max(ts), TIMESTAMP '2024-02-01 00:00:00') AS seen, coalesce(max(ts) < TIMESTAMP '2024-02-01 00:00:00' - to_days(greatest(7, 2 * coalesce(any_value(cadence), 0))::INTEGER), false) AS lapsed
+FROM (SELECT *, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 6 END AS cadence FROM customer) LEFT JOIN events ON user_id = c_custkey GROUP BY 1""")
+def last_seen(read):
+    """When each customer was last seen, now where never, and whether that is two cadences ago."""
+    cadence = F.when(F.col("c_custkey") % 4 > 0, (F.col("c_custkey") % 6).cast("int"))
+    last = read("events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max("ts").alias("last"))
+    now = F.expr("timestamp_ntz '2024-02-01 00:00:00'")
+    rows = read("customer").select("c_custkey", cadence.alias("cadence")).join(last, "c_custkey", "left")
+    return rows.select("c_custkey", F.coalesce("last", now).alias("seen"), F.coalesce(c.lapsed(F.col("last"), F.col("cadence"), now), F.lit(False)).alias("lapsed"))
+
+
+@query("""WITH x AS (SELECT string_split(p_name, ' ') AS w, '[' || repeat('1,', p_size % 3) || '2]' AS j, p_size, p_retailprice FROM part)
+SELECT count(*) AS n, count(*) FILTER (len(list_filter(w, lambda v: length(v) > 3)) > 0) AS named, count(*) FILTER (json_array_length(j) > 1) AS several, count(*) FILTER (p_size > 25) AS large, count(*) FILTER (p_retailprice > 950) AS dear FROM x""")
+def array_coverage(read):
+    """Counts of rows with a long word, several JSON elements, a size, a price."""
+    long = F.size(F.filter(F.split("p_name", " "), lambda v: F.length(v) > 3)) > 0
+    json = F.concat(F.lit("["), F.repeat(F.lit("1,"), F.col("p_size") % 3), F.lit("2]"))
+    return read("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("named"), F.count_if(F.json_array_length(json) > 1).alias("several"), F.count_if(F.col("p_size") > 25).alias("large"), F.count_if(F.col("p_retailprice") > 950).alias("dear"))

@@ -50,3 +50,14 @@ def test_rules(spark):
     s = lambda v, at, m, h: one(spark, c.stale(F.lit(v).cast("int"), 2, F.lit(at).cast("string"), F.lit(m).cast("string"), "a", F.lit(h).cast("string"), F.lit("h")))
     assert [s(2, "t", "a", "h"), s(1, "t", "a", "h"), s(2, None, "a", "h"), s(2, "t", None, "h"), s(2, "t", "b", "h"), s(2, "t", "a", "x"), s(None, "t", "a", "h")] == [False] + [True] * 6
     assert [one(spark, c.upstream_relevance(F.lit(i), F.lit(n))) for i, n in ((0, 0), (0, 4), (3, 4))] == [1.0, 1.0, 0.25]
+
+
+def test_soft_delete_by_cadence(spark):
+    """A row with a long cadence is kept longer; a run that saw too few of a group deletes none of it."""
+    from quillon.operators import maintenance
+
+    rows = [(1, "a", "2024-01-01", 3), (2, "a", "2024-01-01", 9), (3, "a", "2024-01-15", 3), (4, "a", "2024-01-01", None), (5, "b", "2024-01-01", 1), (6, "b", "2024-01-01", 1), (7, "b", "2024-01-01", 1)]
+    existing = spark.createDataFrame(rows, "k int, g string, s string, c int").withColumn("s", F.col("s").cast("timestamp_ntz"))
+    incoming = spark.createDataFrame([(3,), (8,), (7,)], "k int")
+    run = lambda **kw: {r["k"] for r in maintenance.soft_delete(existing, incoming, "k", "g", "s", "2024-01-16 00:00:00", **kw).where("deactivate").collect()}
+    assert run(share=0.25, cadence="c") == {1, 4, 5, 6} and run(share=0.25) == {1, 2, 4, 5, 6} and run(share=0.3, cadence="c") == {5, 6}
