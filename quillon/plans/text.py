@@ -282,3 +282,27 @@ def kv_facets(read):
     block = F.concat(F.lit("- Style: "), "p_type", F.lit(" - Dress Type: old "), words[1], F.lit(" - Material: "), words[0], F.lit("/Gold - Embellishment: "), words[1], F.lit("s, none - Fabric Stretch: "), F.when(F.col("p_size") > 25, "High").otherwise("No"), F.lit(" stretch - Fabric: Steel "), "p_size", F.lit("%"))
     found = facets.block_facets(t.key_values(block, ("Fabric Stretch", "Dress Type", "Embellishment", "Material", "Fabric", "Style")), empty, ["gold"])
     return read("part").select("p_partkey", found.alias("f")).select("p_partkey", "f.silhouette", "f.pattern", "f.fit", F.array_join("f.details", ",").alias("details"), F.array_join("f.occasion", ",").alias("occasion"), "f.composition")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 150 + p_size WHEN p_size % 3 = 1 THEN round(5 * 30.48 + (p_size % 12) * 2.54)::INTEGER END AS height_cm, CASE WHEN p_size % 4 > 0 THEN p_type END AS size FROM part WHERE p_size % 4 > 0
+UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_size % 4 = 0""")
+def model_fit(read):
+    """What a model wears, from copy made of a part's fields: metric heights, feet and inches, neither, and no such sentence."""
+    size = F.col("p_size")
+    height = F.when(size % 3 == 0, F.concat(150 + size, F.lit("cm"))).when(size % 3 == 1, F.concat(F.lit("5'"), size % 12, F.lit('"'))).otherwise("tall")
+    copy = F.concat(F.lit("A "), "p_name", F.lit(". "), F.when(size % 4 > 0, F.concat(F.lit("The model is wearing a size "), "p_type", F.lit(" and is "), height, F.lit(". "))).otherwise(F.concat(F.lit("Height "), height, F.lit(". "))), F.lit("Wash cold."))
+    return read("part").select("p_partkey", pages.model_fit(copy).alias("m")).select("p_partkey", "m.height_cm", "m.size")
+
+
+_IMAGE = r'https://media\.example/img/[^"/]*/PRD/([^/"]+)/([^/"]+)/([^"]+)'
+
+
+@query("""WITH x AS (SELECT p_partkey, 'p' || p_size AS id, string_split(p_name, ' ')[1] AS a, p_size % 2 = 0 AS known FROM part)
+SELECT p_partkey, array_to_string(list_concat([id || '/' || a || '/x.1.jpg'], CASE WHEN known THEN []::VARCHAR[] ELSE [id || '/other/x.1.jpg'] END, [id || '/' || a || '/x.2.jpg', id || '/' || a || '/plain.jpg']), ',') AS images FROM x""")
+def gallery(read):
+    """The images of one product out of a page made of a part's fields: other products, other colours, repeats and cache tokens."""
+    words, own = F.split("p_name", " "), F.concat(F.lit("p"), "p_size")
+    image = lambda transform, product, color, file: F.concat(F.lit(f'<img src="https://media.example/img/{transform}/PRD/'), product, F.lit("/"), color, F.lit(f'/{file}">'))
+    html = F.concat(image("a", own, words[0], "plain.jpg"), image("a", own, words[0], "x.2.jpg"), image("a", F.lit("else"), words[0], "x.0.jpg"), image("b", own, words[0], "x.1.jpg?_s=T"), image("c", own, words[0], "x.1.jpg"), image("a", own, F.lit("other"), "x.1.jpg"))
+    color = F.when(F.col("p_size") % 2 == 0, words[0])
+    return read("part").select("p_partkey", F.array_join(pages.gallery(html, _IMAGE, own, color), ",").alias("images"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import height_cm
+
 _BLOCK = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
@@ -78,3 +80,22 @@ def read_product_lists(spark: SparkSession, path: str, schema: str) -> DataFrame
     """A row for each product of files {"products": [...]}; schema: of one product. Files without products give none, malformed ones fail."""
     lists = spark.read.schema(f"products array<struct<{schema}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
     return lists.select(F.explode("products").alias("p")).select("p.*")
+
+
+def model_fit(text: Column) -> Column:
+    """height_cm, size, notes of the first sentence that tells what the model wears; nulls without one."""
+    sentence = F.nullif(F.trim(F.regexp_extract(text, r"(?i)((?:the\s+)?model is wearing a size ([\w.]+)[^.]{0,120})", 1)), F.lit(""))
+    size = F.nullif(F.regexp_extract(sentence, r"(?i)wearing a size ([\w.]+)", 1), F.lit(""))
+    return F.struct(height_cm(sentence).alias("height_cm"), size.alias("size"), F.substring(sentence, 1, 400).alias("notes"))
+
+
+def gallery(html: Column, path: str, product: Column, color: Column, most: int = 8) -> Column:
+    """Image paths of one product, and of one colour if that is known, by the number in their names, each once, the first `most`.
+
+    path: a pattern of an image address with groups for product, colour and file; what follows '?' in a file is dropped."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(f"({path})"), 1), lambda u: F.struct(F.regexp_extract(u, path, 1).alias("id"), F.regexp_extract(u, path, 2).alias("color"), F.split(F.regexp_extract(u, path, 3), r"\?")[0].alias("file")))
+    own = F.filter(found, lambda x: (x["id"] == product) & (color.isNull() | (x["color"] == color)))
+    place = lambda f: F.coalesce(F.nullif(F.regexp_extract(f, r"\.(\d+)\.", 1), F.lit("")).try_cast("int"), F.lit(99))
+    names = F.array_distinct(F.transform(own, lambda x: F.concat_ws("/", x["id"], x["color"], x["file"])))
+    sorted_ = F.array_sort(F.transform(names, lambda n, i: F.struct(place(n).alias("at"), i.alias("i"), n.alias("name"))))
+    return F.slice(F.transform(sorted_, lambda s: s["name"]), 1, most)
