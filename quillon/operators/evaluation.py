@@ -46,3 +46,9 @@ def summary(cases: DataFrame, by: str, recall_: str, gate: str, mean_least: floa
     """(by, cases, recall, gates, passed): passed if mean recall, every gate and the worst recall reach what they must; no judged case fails."""
     holds = (F.avg(recall_) >= mean_least) & F.every(gate) & (F.min(recall_) >= worst_least)
     return cases.groupBy(by).agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(recall_), 6).alias("recall"), F.every(gate).alias("gates"), F.coalesce(holds, F.lit(False)).alias("passed"))
+
+
+def delta(now: DataFrame, baseline: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, delta): against a stored baseline; delta is null for a key that the baseline lacks, and keys that are no more are left out."""
+    old = baseline.select(F.col(key), F.col(value).alias("_old"))
+    return now.join(old, key, "left").select(key, value, (F.col(value) - F.col("_old")).alias("delta"))

@@ -76,6 +76,13 @@ def comparisons_to_sides(log: DataFrame, winner: str, loser: str) -> DataFrame:
     return informative.withColumn("_s", sides).select(*log.columns, "_s.key", "_s.won").where("key is not null")
 
 
+def seeded(answers: DataFrame, who: str, weights: DataFrame) -> DataFrame:
+    """(who, target, seeds): for each target a map of keys to weights, from answers (who, question, answer) and the weight table
+    (question, answer, target, key, weight; a fixed table). A key that several answers give takes the largest weight; unknown answers say nothing."""
+    best = answers.join(F.broadcast(weights), ["question", "answer"]).groupBy(who, "target", "key").agg(F.max("weight").alias("weight"))
+    return best.groupBy(who, "target").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "weight")))).alias("seeds"))  # of a fixed table's keys
+
+
 def brand_score(brand: Column, scores: Column) -> Column:
     known = F.map_values(scores)
     mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)

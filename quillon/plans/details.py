@@ -8,6 +8,7 @@ from ..operators import catalog as c
 from ..operators import ranking
 from ..operators import evaluation as e
 from ..operators import preferences as p
+from ..sources import tables
 from .catalog import _top
 from .evaluation import _J, _both
 from .preferences import _AFF, _RULES, _items
@@ -182,3 +183,25 @@ def array_coverage(read):
     long = F.size(F.filter(F.split("p_name", " "), lambda v: F.length(v) > 3)) > 0
     json = F.concat(F.lit("["), F.repeat(F.lit("1,"), F.col("p_size") % 3), F.lit("2]"))
     return read("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("named"), F.count_if(F.json_array_length(json) > 1).alias("several"), F.count_if(F.col("p_size") > 25).alias("large"), F.count_if(F.col("p_retailprice") > 950).alias("dear"))
+
+
+_WEIGHTS = [("segment", "BUILDING", "material", "wood", 0.65), ("segment", "BUILDING", "material", "steel", 0.6), ("segment", "MACHINERY", "material", "steel", 0.65), ("wealth", "rich", "material", "steel", 0.7), ("wealth", "rich", "brand", "gold", 0.65), ("wealth", "poor", "brand", "plain", 0.5)]
+
+
+@query("""WITH a AS (SELECT c_custkey, 'segment' AS question, c_mktsegment AS answer FROM customer UNION ALL SELECT c_custkey, 'wealth', CASE WHEN c_acctbal > 5000 THEN 'rich' WHEN c_acctbal < 0 THEN 'poor' END FROM customer),
+w AS (SELECT * FROM (VALUES ('segment', 'BUILDING', 'material', 'wood', 0.65::DOUBLE), ('segment', 'BUILDING', 'material', 'steel', 0.6), ('segment', 'MACHINERY', 'material', 'steel', 0.65), ('wealth', 'rich', 'material', 'steel', 0.7), ('wealth', 'rich', 'brand', 'gold', 0.65), ('wealth', 'poor', 'brand', 'plain', 0.5)) t(question, answer, target, key, weight))
+SELECT c_custkey, target, key, max(weight) AS weight FROM a JOIN w USING (question, answer) GROUP BY 1, 2, 3""")
+def questionnaire_seeds(read):
+    """Answers made of a customer's fields, seeded through the weight table."""
+    answers = F.explode(F.array(F.struct(F.lit("segment").alias("question"), F.col("c_mktsegment").alias("answer")), F.struct(F.lit("wealth").alias("question"), F.when(F.col("c_acctbal") > 5000, "rich").when(F.col("c_acctbal") < 0, "poor").alias("answer")))).alias("a")
+    given = read("customer").select("c_custkey", answers).select("c_custkey", "a.*")
+    weights = given.sparkSession.createDataFrame(_WEIGHTS, "question string, answer string, target string, key string, weight double")
+    return p.seeded(given, "c_custkey", weights).select("c_custkey", "target", F.explode("seeds").alias("key", "weight"))
+
+
+@query(f"WITH {_J}, n AS (SELECT source, avg((grade >= 2)::INT) AS precision FROM r WHERE rank <= 10 GROUP BY 1), b AS (SELECT source, avg((grade >= 2)::INT) AS precision FROM r WHERE rank <= 5 AND source <> 'src8' GROUP BY 1) SELECT source, round(n.precision, 6) AS precision, round(n.precision - b.precision, 6) AS delta FROM n LEFT JOIN b USING (source)")
+def stored_baseline(read):
+    """Precision now against a stored table of an earlier run, which lacks a source."""
+    ranked = _both(read)[0]
+    baseline = tables.stored(e.precision(ranked, "source", 5).where("source <> 'src8'"), "baseline")
+    return e.delta(e.precision(ranked, "source", 10), baseline, "source", "precision").select("source", F.round("precision", 6).alias("precision"), F.round("delta", 6).alias("delta"))
