@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +23,32 @@ def _list(value: Column) -> Column:
     return F.coalesce(many, F.when(value.isNotNull() & ~F.is_variant_null(value), F.array(value)), F.array().cast("array<variant>"))
 
 
-def json_ld_node(html: Column, kind: str = "Product") -> Column:
-    """The first node of a type in any block: a block is a node, a list of nodes or a node with @graph; malformed blocks are passed over. Null without one."""
+def _with(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value computed once however often `of` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _json_ld_nodes(html: Column) -> Column:
+    """All nodes of all blocks, in order: a block is a node, a list of nodes or a node with @graph; malformed blocks are passed over."""
 
     def nodes(block: Column) -> Column:
-        value = F.try_parse_json(block)
-        graph = F.coalesce(F.try_variant_get(value, "$['@graph']", "array<variant>"), F.array().cast("array<variant>"))
-        return F.concat(_list(value), graph)
+        none = F.array().cast("array<variant>")
+        return _with(F.try_parse_json(block), lambda v: F.concat(_list(v), F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), none)))
+
+    return F.flatten(F.transform(json_ld_blocks(html), nodes))
+
 
+def _first(nodes: Column, kind: str) -> Column:
     def is_kind(node: Column) -> Column:
         types = F.transform(_list(F.try_variant_get(node, "$['@type']", "variant")), lambda t: F.try_variant_get(t, "$", "string"))
         return F.coalesce(F.array_contains(types, kind), F.lit(False))
 
-    return F.get(F.filter(F.flatten(F.transform(json_ld_blocks(html), nodes)), is_kind), F.lit(0))
+    return F.get(F.filter(nodes, is_kind), F.lit(0))
+
+
+def json_ld_node(html: Column, kind: str = "Product") -> Column:
+    """The first node of a type in any block; null without one."""
+    return _first(_json_ld_nodes(html), kind)
 
 
 def offers(node: Column) -> Column:
@@ -59,9 +74,12 @@ def sizes(node: Column) -> Column:
 
 def product(html: Column) -> Column:
     """name, sku, price (text), sizes of the page's product, or of its product group where it has no product; null without both."""
-    node = F.coalesce(json_ld_node(html, "Product"), json_ld_node(html, "ProductGroup"))
-    fields = [F.try_variant_get(node, f"$.{n}", "string").alias(n) for n in ("name", "sku")]
-    return F.when(node.isNotNull(), F.struct(*fields, offer_price(node).alias("price"), sizes(node).alias("sizes")))
+
+    def read(node: Column) -> Column:
+        fields = [F.try_variant_get(node, f"$.{n}", "string").alias(n) for n in ("name", "sku")]
+        return F.when(node.isNotNull(), F.struct(*fields, offer_price(node).alias("price"), sizes(node).alias("sizes")))
+
+    return _with(_with(_json_ld_nodes(html), lambda nodes: F.coalesce(_first(nodes, "Product"), _first(nodes, "ProductGroup"))), read)
 
 
 def blocked(name: Column, title: Column) -> Column:
