@@ -60,7 +60,7 @@ class Batch:
 
 def batches_of(batches: Iterator[pd.DataFrame]) -> Iterator[Batch]:
     for pdf in batches:
-        for some in text_slices(pdf, "text", 2_000_000):
+        for some in text_slices(pdf, "text", 1_000_000):
             yield Batch(some["text"].tolist(), some["lang"].tolist())
 
 
@@ -155,6 +155,7 @@ def sketch_pairs(docs: DataFrame, least: int) -> DataFrame:
     """Every task's sketch of words and pairs; rows with lang and n: its words (stripe -1)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _OPEN.clear()  # of an earlier corpus
         sketch, n = Sketch(least), {}
         for b in batches_of(batches):
             sketch.add(np.concatenate((b.grams[0], b.grams[1][b.whole[1]])))
