@@ -148,6 +148,10 @@ def opened(broadcast, least: int) -> Sketch:
     return Sketch(least, _OPEN[name].reshape(DEPTH, -1))
 
 
+def close_all() -> None:
+    _OPEN.clear()
+
+
 SKETCH = "stripe int, cells binary, lang string, n long"
 
 
@@ -155,7 +159,7 @@ def sketch_pairs(docs: DataFrame, least: int) -> DataFrame:
     """Every task's sketch of words and pairs; rows with lang and n: its words (stripe -1)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _OPEN.clear()  # of an earlier corpus
+        close_all()  # of an earlier corpus
         sketch, n = Sketch(least), {}
         for b in batches_of(batches):
             sketch.add(np.concatenate((b.grams[0], b.grams[1][b.whole[1]])))
