@@ -24,6 +24,9 @@ from ..sources.tables import file_state, shared_dir
 from .retrieval import K1, B
 
 
+SHARD_BYTES, MOST_SHARDS = 128 << 20, 100_000  # of the table's files in a bucket, about; buckets that Spark allows
+
+
 @dataclass(frozen=True)
 class Index:
     """postings: key, field, term, tf, dl, gaps (first position, then differences); terms: field, term, df, tf, top; fields: field, n_docs, avgdl, tokens; rows: key and stored columns."""
@@ -93,9 +96,10 @@ _OPEN: dict[tuple[str, str], Index] = {}  # of this application
 
 def open_index(docs: DataFrame, key: str, fields: Mapping[str, Column], stored: Sequence[Column | str] = (), analyzer: str = "none", shards: int | None = None) -> Index:
     """The index of a table read from files, written when it is first asked for and again when its files change."""
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    about = [file_state(docs), key, sorted((n, str(c)) for n, c in fields.items()), [str(c) for c in stored], shards]
+    spark, state = docs.sparkSession, file_state(docs)
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    shards = shards or min(MOST_SHARDS, max(few, sum(size for _, size, _ in state) // SHARD_BYTES))
+    about = [state, key, sorted((n, str(c)) for n, c in fields.items()), [str(c) for c in stored], shards]
     name = f"quillon_{hashlib.sha256(repr(about).encode()).hexdigest()[:20]}"
     app = spark.sparkContext.applicationId
     if (app, name) not in _OPEN:
