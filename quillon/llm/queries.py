@@ -48,7 +48,7 @@ def op6_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read_token_files(token_files.write_token_files(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")))
+    return token_files.read_token_files(token_files.write_token_files(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), ranks=tokenizer_path("byte_bpe_50k.tiktoken")))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

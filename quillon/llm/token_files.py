@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import rank_encoder
 from .storage import materialize, named, nameless, small_batches
 from .textbatch import text_slices
 from .tokens import ChunkEncoder
@@ -80,13 +81,13 @@ class TokenFile:
         return self.frame(int(k))[start : start + n]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, partitions: int | None = None) -> DataFrame:
-    """Encode doc_id, text in ascending doc_id order (ties by text) and store the files. Rows: part, seq, start (ids before the file in its part), n_ids, doc_ids, image."""
+def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, partitions: int | None = None, ranks: str | None = None) -> DataFrame:
+    """ranks: the same vocabulary's ranks, if they are at hand, for speed. Encode doc_id, text in ascending doc_id order (ties by text) and store the files. Rows: part, seq, start (ids before the file in its part), n_ids, doc_ids, image."""
     small_batches(docs.sparkSession)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part = ChunkEncoder.get(tokenizer, kind), TaskContext.get().partitionId()
+        encoder, part = rank_encoder(tokenizer, ranks) if ranks else ChunkEncoder.get(tokenizer, kind), TaskContext.get().partitionId()
         held, total, start, seq = [], 0, 0, 0
 
         def row() -> pd.DataFrame:

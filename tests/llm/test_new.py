@@ -11,7 +11,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import audio, collocation, curve, merkle, pii, queries, ranks
+from quillon.llm import audio, collocation, curve, merkle, pii, queries, ranks, token_files
 
 BYTES = tokenizer_path("byte_bpe_50k.json")
 BIG = 2**53 + 1
@@ -242,3 +242,10 @@ def test_stored_tensors(docs):
         blocks, spans = audio.tensors(bytes(r["tensors"]))
         assert blocks.shape[1:] == (audio.ROWS, audio.MELS) and np.array_equal(blocks.reshape(-1, audio.MELS)[: len(mel)], mel) and r["n_frames"] == len(mel)
         assert np.allclose(spans[1:, 0], spans[:-1, 1]) and all(s["start_s"] < s["end_s"] for s in r["spans"])
+
+
+def test_token_files_by_ranks(docs, odd):
+    """Files from ranks hold the ids that files from the library hold."""
+    for df in (docs, odd):
+        plain, fast = (sorted(map(str, token_files.read_token_files(token_files.write_token_files(df, BYTES, ranks=r)).collect())) for r in (None, BYTES.replace(".json", ".tiktoken")))
+        assert plain == fast and len(fast) == df.count()
