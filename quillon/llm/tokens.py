@@ -80,7 +80,9 @@ class ChunkEncoder:
     def get(cls, path: str, kind: str) -> ChunkEncoder:
         """kind: 'byte' (a space belongs to the following chunk) or 'word' (white space is dropped)."""
         if kind == "word":
-            return cls(Library(path, kind), "", "", _MARKS)
+            encoder = cls(Library(path, kind), "", "", _MARKS)
+            encoder.MOST = 1_000_000
+            return encoder
         encoder = cls(Library(path, kind), " ", "", f"{_RUN}|{_MARKS}")
         encoder.MOST = 1_200_000
         return encoder
