@@ -5,10 +5,12 @@ labels, and each component is read in one shape alone: share before name, name b
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import first_match
+from ..functions.arrays import first_match, once
 
 # Names, aliases, labels and patterns that published compositions use.
 NATURAL = ("cotton", "linen", "wool", "cashmere", "silk", "leather")
@@ -49,6 +51,11 @@ def _word(name: str) -> str:
     return rf"\b{name}\b"
 
 
+def _first_word(text: Column, words: Sequence[tuple[str, str]]) -> Column:
+    """first_match() of words, after one search for any of them."""
+    return F.when(text.rlike("|".join(p for p, _ in words)), first_match(text, words))
+
+
 def canonical_fibers(named: Column) -> Column:
     """(fiber, pct, component, recycled, organic) of structs (name, pct, component): by alias, by alias without qualifiers, by the first known word; others vanish."""
     table = F.create_map(*(F.lit(x) for entry in FIBERS.items() for x in entry))
@@ -58,7 +65,7 @@ def canonical_fibers(named: Column) -> Column:
     known = F.transform(
         bare,
         lambda x: F.struct(
-            F.coalesce(F.try_element_at(table, x["s"]), F.try_element_at(table, x["t"]), first_match(x["t"], words)).alias("fiber"), x["pct"].alias("pct"), x["component"].alias("component"), x["s"].rlike(r"\brecycled\b").alias("recycled"), x["s"].rlike(r"\borganic\b").alias("organic")
+            F.coalesce(F.try_element_at(table, x["s"]), F.try_element_at(table, x["t"]), _first_word(x["t"], words)).alias("fiber"), x["pct"].alias("pct"), x["component"].alias("component"), x["s"].rlike(r"\brecycled\b").alias("recycled"), x["s"].rlike(r"\borganic\b").alias("organic")
         ),
     )
     return F.filter(known, lambda x: x["fiber"].isNotNull())
@@ -66,9 +73,9 @@ def canonical_fibers(named: Column) -> Column:
 
 def fabric(text: Column) -> Column:
     """The fabric that a text names: as a whole, or the first alias or fabric among its words."""
-    s = _plain(F.lower(text))
-    exact = F.try_element_at(F.create_map(*(F.lit(x) for entry in FABRIC_ALIASES.items() for x in entry)), s)
-    return F.coalesce(exact, F.when(s.isin(*FABRICS), s), first_match(s, [*((_word(a), f) for a, f in FABRIC_ALIASES.items()), *((_word(f), f) for f in FABRICS)]))
+    exact = F.create_map(*(F.lit(x) for entry in FABRIC_ALIASES.items() for x in entry))
+    words = [*((_word(a), f) for a, f in FABRIC_ALIASES.items()), *((_word(f), f) for f in FABRICS)]
+    return once(_plain(F.lower(text)), lambda s: F.coalesce(F.try_element_at(exact, s), F.when(s.isin(*FABRICS), s), _first_word(s, words)))
 
 
 def color_markers(text: Column) -> Column:
@@ -81,11 +88,12 @@ def color_markers(text: Column) -> Column:
 def components(text: Column) -> Column:
     """(component, text) of the first segment with a percentage: what a label heads; the labels of the main part, and what no label heads, are 'main'."""
     segments = F.filter(F.transform(F.split(text, r"\|"), lambda s: F.trim(s)), lambda s: s != "")
-    first = F.coalesce(F.get(F.filter(segments, lambda s: s.rlike(SHARE)), F.lit(0)), F.get(segments, F.lit(0)), text)
+    first = once(segments, lambda of: F.coalesce(F.get(F.filter(of, lambda s: s.rlike(SHARE)), F.lit(0)), F.get(of, F.lit(0)), text))
     pieces = F.split(F.regexp_replace(first, rf"(?i)({'|'.join(LABELS)})\s*:", "\u0001$1\u0002"), "\u0001")
     label = lambda p: F.lower(F.substring_index(p, "\u0002", 1))
-    cut = F.transform(pieces, lambda p, i: F.when(i == 0, F.struct(F.lit("main").alias("component"), p.alias("text"))).otherwise(F.struct(F.when(label(p).isin(*MAIN), "main").otherwise(label(p)).alias("component"), F.substring_index(p, "\u0002", -1).alias("text"))))
-    return F.filter(cut, lambda c, i: (i > 0) | (F.trim(c["text"]) != "") | (F.size(pieces) == 1))
+    named = lambda p: once(label(p), lambda n: F.when(n.isin(*MAIN), "main").otherwise(n))
+    cut = F.transform(pieces, lambda p, i: F.when(i == 0, F.struct(F.lit("main").alias("component"), p.alias("text"))).otherwise(F.struct(named(p).alias("component"), F.substring_index(p, "\u0002", -1).alias("text"))))
+    return once(cut, lambda of: F.filter(of, lambda c, i: (i > 0) | (F.trim(c["text"]) != "") | (F.size(of) == 1)))
 
 
 def _named(c: Column, pattern: str, name: int, share: int) -> Column:
