@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def coerce(value: Column, vocabulary: Sequence[str]) -> Column:
     """The value in canonical spelling if it is in the vocabulary, else null."""
     v = F.regexp_replace(F.lower(F.trim(value)), r"[\s_]+", "-")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import once
+
 #: Entity names that are decoded.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "eacute": "é", "rsquo": "’", "lsquo": "‘", "ldquo": "“", "rdquo": "”", "hellip": "…"}
 
@@ -115,9 +117,10 @@ def key_values(text: Column, keys: Sequence[str]) -> Column:
     names = "|".join(sorted(keys, key=len, reverse=True))
     pieces = F.split(F.regexp_replace(text, rf"(?i)({names})\s*:", "\u0001$1\u0002"), "\u0001")
     value = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.substring_index(p, "\u0002", -1), r"[\s-]+$", ""), r"^[\s-]+", ""))
-    found = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(F.lower(F.substring_index(p, "\u0002", 1)).alias("key"), value(p).alias("value")))
-    filled = F.filter(found, lambda e: e["value"] != "")
-    return F.map_from_entries(F.filter(filled, lambda e, i: ~F.exists(F.slice(filled, i + 2, F.size(filled)), lambda later: later["key"] == e["key"])))
+    entries = F.transform(pieces, lambda p, i: F.when(i > 0, F.struct(F.lower(F.substring_index(p, "\u0002", 1)).alias("key"), value(p).alias("value"))))
+    filled = F.filter(entries, lambda e: e["value"] != "")
+    last = lambda of: F.filter(of, lambda e, i: ~F.exists(F.slice(of, i + 2, F.size(of)), lambda later: later["key"] == e["key"]))
+    return once(filled, lambda of: F.map_from_entries(last(of)))
 
 
 def failure_kind(status: Column, message: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrays import all_matches, first_match
+from ..functions.arrays import all_matches, first_match, once
 
 # The garment vocabulary, category/subcategory in the first table.
 GARMENTS = """
@@ -214,23 +214,43 @@ def rules(table: str) -> list[tuple[str, str]]:
     return out
 
 
+def _any(table: str) -> str:
+    """A pattern that matches where one of the table's rules does: most texts match none, and are searched once."""
+    return rf"(?i)\b(?:{'|'.join(p.removeprefix(r'(?i)')[2:-2] for p, _ in rules(table))})\b"
+
+
+def _first(text: Column, table: str) -> Column:
+    return F.when(text.rlike(_any(table)), first_match(text, rules(table)))
+
+
+def _all(text: Column, table: str) -> Column:
+    return F.when(text.rlike(_any(table)), F.array_distinct(all_matches(text, rules(table)))).otherwise(F.array().cast("array<string>"))
+
+
 def facets(name: Column, description: Column) -> Column:
     """A struct of category, subcategory and the facets of SINGLE and TAGS, and colors. Single values come from the name if it has one,
     else from name and description; colours from the name alone, for copy names colours that a garment is not. Null texts are empty."""
     n = F.coalesce(name, F.lit(""))
-    both = F.concat_ws(" ", n, F.coalesce(description, F.lit("")))
-    pick = lambda table: F.coalesce(first_match(n, rules(table)), first_match(both, rules(table)))
-    garment = F.split(pick(GARMENTS), "/")
-    singles = [pick(table).alias(f) for f, table in SINGLE.items()]
-    tags = [F.array_distinct(all_matches(both, rules(table))).alias(f) for f, table in TAGS.items()]
-    return F.struct(garment[0].alias("category"), F.get(garment, F.lit(1)).alias("subcategory"), *singles, F.array_distinct(all_matches(n, rules(COLORS))).alias("colors"), *tags)
+    texts = F.struct(n.alias("name"), F.concat_ws(" ", n, F.coalesce(description, F.lit(""))).alias("both"))
+    return once(texts, lambda t: once(F.split(_pick(t["name"], t["both"], GARMENTS), "/"), lambda garment: _facets(t["name"], t["both"], garment)))
+
+
+def _pick(name: Column, both: Column, table: str) -> Column:
+    return F.coalesce(_first(name, table), _first(both, table))
+
+
+def _facets(name: Column, both: Column, garment: Column) -> Column:
+    singles = [_pick(name, both, table).alias(f) for f, table in SINGLE.items()]
+    tags = [_all(both, table).alias(f) for f, table in TAGS.items()]
+    return F.struct(garment[0].alias("category"), F.get(garment, F.lit(1)).alias("subcategory"), *singles, _all(name, COLORS).alias("colors"), *tags)
 
 
 def labelled_facets(description: Column) -> Column:
     """A struct of fit, silhouette (from 'Fit: ...'), rise (from 'Rise: ...'), neckline and sleeve_length (from sentences): null where the block says nothing."""
     block = lambda label: F.regexp_extract(description, rf"(?i)\b{label}:\s*([^.]+)\.", 1)
     found = {"fit": (block("Fit"), "fit"), "silhouette": (block("Fit"), "silhouette"), "rise": (block("Rise"), "rise"), "neckline": (description, "neckline"), "sleeve_length": (description, "sleeve_length")}
-    return F.struct(*(first_match(text, rules(SINGLE[f])).alias(name) for name, (text, f) in found.items()))
+    read = lambda text, table: once(text, lambda t: _first(t, table))
+    return F.struct(*(read(text, SINGLE[f]).alias(name) for name, (text, f) in found.items()))
 
 
 def overridden(base: Column, over: Column, names: Sequence[str]) -> Column:
@@ -242,10 +262,10 @@ def overridden(base: Column, over: Column, names: Sequence[str]) -> Column:
 
 def lookup(value: Column, table: Mapping[str, str]) -> Column:
     """By the whole value, else by the longest key that it contains; null for neither."""
-    k = F.trim(F.regexp_replace(F.lower(value), r"\s+", " "))
-    exact = F.try_element_at(F.create_map(*(F.lit(x) for e in table.items() for x in e)), k)
-    within = (F.when(F.contains(k, F.lit(key)), F.lit(table[key])) for key in sorted(table, key=len, reverse=True))
-    return F.coalesce(exact, *within)
+    names = sorted(table, key=len, reverse=True)
+    whole = F.create_map(*(F.lit(x) for e in table.items() for x in e))
+    within = lambda k: F.coalesce(*(F.when(F.contains(k, F.lit(name)), F.lit(table[name])) for name in names))
+    return once(F.trim(F.regexp_replace(F.lower(value), r"\s+", " ")), lambda k: F.coalesce(F.try_element_at(whole, k), within(k)))
 
 
 def lookup_many(values: Column, table: Mapping[str, str]) -> Column:
@@ -259,6 +279,10 @@ def block_facets(block: Column, tables: Mapping[str, Mapping[str, str]], fabrics
     """Facets of a key-value block (a map with keys in lower case), by the tables silhouette, neckline, sleeve, pattern, waist, position, shoulder, detail, occasion, season.
 
     Silhouette falls back on the dress type, sleeves on their type, the pattern on the material; what stands for the shoulder is in the sleeve type, else under neckline."""
+    return once(block, lambda b: _block_facets(b, tables, fabrics))
+
+
+def _block_facets(block: Column, tables: Mapping[str, Mapping[str, str]], fabrics: Sequence[str]) -> Column:
     at = lambda key: F.try_element_at(block, F.lit(key))
     first = lambda table, *keys: F.coalesce(*(lookup(at(k), tables[table]) for k in keys))
     many = lambda table, *keys: F.array_distinct(F.concat(*(lookup_many(at(k), tables[table]) for k in keys)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text as t
 from ..operators import facets, material
-from ..sources import pages
+from ..sources import pages, tables
 from .query import query
 
 _RULES = [(t.whole_words(["ring", "bolt", "rod"]), "fastener"), (t.whole_words(["gear", "widget"]), "part"), (t.whole_words(["red", "blue"]), "coloured")]
@@ -49,7 +49,8 @@ SELECT p_partkey, key, arg_max(value, i) AS value FROM v WHERE value <> '' GROUP
 def kv_block_parse(read):
     """Blocks made of a part's fields: hyphens in values, a lost separator, a blank and a repeated key."""
     block = F.concat(F.lit("- Style: "), "p_type", F.lit(" - Sleeve Length: A-Line "), "p_name", F.lit(" Type : "), "p_brand", F.lit(" - Fit: - LENGTH: size "), "p_size", F.lit(" - style: "), F.lower("p_name"))
-    return read("part").select("p_partkey", F.explode(t.key_values(block, _KEYS)))
+    rows = tables.spread(read("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+    return rows.select("p_partkey", F.explode(t.key_values(block, _KEYS)))
 
 
 @query("SELECT p_partkey, CASE WHEN p_name = 'red ring' THEN 'signet' WHEN contains(p_name, 'widget') THEN 'device' WHEN contains(p_name, 'gear') THEN 'wheel' WHEN contains(p_name, 'ring') THEN 'circle' END AS found FROM part")
@@ -213,7 +214,8 @@ def material_parse(read):
         .when(shape == 1, F.concat(F.lit("Polyester "), a, F.lit(".0%, Wool "), b, F.lit(".0%"))).when(shape == 2, "Silk.").when(shape == 3, F.concat(a, F.lit("% Polyamide")))
         .when(shape == 4, F.lit("A long sentence that tells of a light and airy dress made with 100% linen jersey of the best kind")).otherwise("Georgette")
     )
-    m = material.parse_material(read("part").where(~((shape == 3) & (a >= 90))), text, "m")
+    rows = tables.spread(read("part").where(~((shape == 3) & (a >= 90))).select("p_partkey", "p_size"), "p_partkey")
+    m = material.parse_material(rows, text, "m")
     return m.select("p_partkey", "m.primary_fiber", "m.natural_ratio", "m.incomplete", "m.clean", F.array_join("m.colors", ",").alias("colors"), F.array_join("m.fabric", ",").alias("fabric"), F.size("m.fibers").alias("n"))
 
 
@@ -265,7 +267,8 @@ def garment_facets(read):
     kinds = F.array(*map(F.lit, ("Sweetheart Neck Mini Dress", "Denim Shorts", "High Neck T-Shirt", "Puffer Vest", "Waver", "Wrap Midi Skirt")))
     name = F.concat_ws(" ", F.initcap(words[0]), F.get(kinds, F.col("p_size") % 6))
     copy = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("For any "), words[1], F.lit(", with pockets and a white lining. Fit: Slim. Rise: High rise.")))
-    rows = read("part").select("p_partkey", facets.facets(name, copy).alias("f"), facets.labelled_facets(copy).alias("l")).select("p_partkey", facets.overridden(F.col("f"), F.col("l"), ["fit", "rise", "neckline"]).alias("f"))
+    part = tables.spread(read("part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    rows = part.select("p_partkey", facets.facets(name, copy).alias("f"), facets.labelled_facets(copy).alias("l")).select("p_partkey", facets.overridden(F.col("f"), F.col("l"), ["fit", "rise", "neckline"]).alias("f"))
     return rows.select("p_partkey", *(f"f.{c}" for c in ("category", "subcategory", "neckline", "length", "fit", "silhouette", "rise")), *(F.array_join(f"f.{c}", ",").alias(c) for c in ("colors", "details", "season")))
 
 
@@ -281,7 +284,8 @@ def kv_facets(read):
     words = F.split("p_name", " ")
     block = F.concat(F.lit("- Style: "), "p_type", F.lit(" - Dress Type: old "), words[1], F.lit(" - Material: "), words[0], F.lit("/Gold - Embellishment: "), words[1], F.lit("s, none - Fabric Stretch: "), F.when(F.col("p_size") > 25, "High").otherwise("No"), F.lit(" stretch - Fabric: Steel "), "p_size", F.lit("%"))
     found = facets.block_facets(t.key_values(block, ("Fabric Stretch", "Dress Type", "Embellishment", "Material", "Fabric", "Style")), empty, ["gold"])
-    return read("part").select("p_partkey", found.alias("f")).select("p_partkey", "f.silhouette", "f.pattern", "f.fit", F.array_join("f.details", ",").alias("details"), F.array_join("f.occasion", ",").alias("occasion"), "f.composition")
+    rows = tables.spread(read("part").select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey")
+    return rows.select("p_partkey", found.alias("f")).select("p_partkey", "f.silhouette", "f.pattern", "f.fit", F.array_join("f.details", ",").alias("details"), F.array_join("f.occasion", ",").alias("occasion"), "f.composition")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 150 + p_size WHEN p_size % 3 = 1 THEN round(5 * 30.48 + (p_size % 12) * 2.54)::INTEGER END AS height_cm, CASE WHEN p_size % 4 > 0 THEN p_type END AS size FROM part WHERE p_size % 4 > 0

@@ -27,6 +27,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt by a key, before work that takes long for each: the files of a small table are one or two tasks, whatever their rows cost."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
 def file_state(table: DataFrame) -> list[tuple[str, int, str]]:
     """Path, size and time of change of the files behind a table read from files: equal as long as its rows are."""
     rows = table.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").cast("string").alias("t")).distinct().collect()  # a row for each file
