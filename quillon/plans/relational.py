@@ -213,12 +213,16 @@ def ranked_rows(read):
     return read("part").select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long").alias("rank"))
 
 
-@query("SELECT p_type, p_partkey, round(greatest(0.0, 1 - (r - 1) / greatest(10, n - 1)::DOUBLE), 6) AS decay FROM (SELECT *, count(*) OVER (PARTITION BY p_type) AS n FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 120)")
+@query("SELECT p_type, p_partkey, round(greatest(0.0, 1 - (r - 1) / greatest(10, n - 1)::DOUBLE), 6) AS decay FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER (PARTITION BY p_type) AS n FROM part)")
 def rank_decay(read):
-    """Lists of 120 at most: the limit reaches the tasks before the exchange."""
-    r = F.row_number().over(Window.partitionBy("p_type").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    top = read("part").select("p_type", "p_partkey", "p_retailprice").withColumn("r", r).where("r <= 120")
-    return top.select("p_type", "p_partkey", F.round(ranking.rank_decay(F.col("r"), F.count(F.lit(1)).over(Window.partitionBy("p_type"))), 6).alias("decay"))
+    """Whole lists, however long: rows are numbered within a price of a type, behind the counts of the dearer ones."""
+    of, part = ["p_type", "p_retailprice"], read("part").select("p_type", "p_partkey", "p_retailprice")
+    counts = part.groupBy(*of).agg(F.count(F.lit(1)).alias("k"))
+    dearer = Window.partitionBy("p_type").orderBy(F.desc("p_retailprice")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = counts.select(*(F.col(c).alias(f"_{c}") for c in of), F.coalesce(F.sum("k").over(dearer), F.lit(0)).alias("before"), F.sum("k").over(Window.partitionBy("p_type")).alias("n"))  # a row for each price of a type
+    rank = F.col("before") + F.row_number().over(Window.partitionBy(*of).orderBy("p_partkey"))
+    rows = part.join(ends, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of])
+    return rows.select("p_type", "p_partkey", F.round(ranking.rank_decay(rank, F.col("n")), 6).alias("decay"))
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")
