@@ -6,7 +6,7 @@ travel, and a term that a third of all documents hold is spread like any other.
 order. Stored columns (filters) are bucketed alike, so they join without an exchange. The dictionary holds document frequency and the
 largest term-frequency part of every term: upper bounds for pruning.
 
-A stemmed index is derived from the plain one: stems of the dictionary's terms are joined back and positions merged within buckets."""
+A stemmed index is derived from the plain one: terms are stemmed where they stand and positions merged within buckets."""
 
 from __future__ import annotations
 
@@ -18,13 +18,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stem import stems
+from ..functions.arrays import once
+from ..functions.stem import stem_of
 from ..functions.text import tokens
 from ..sources.tables import file_state, shared_dir
 from .retrieval import K1, B
 
 
-SHARD_BYTES, MOST_SHARDS = 128 << 20, 100_000  # of the table's files in a bucket, about; buckets that Spark allows
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000  # of the table's files in a bucket, about, so that a bucket is sorted and scored in memory; buckets that Spark allows
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,23 @@ def positions(gaps_: Column) -> Column:
     return F.when(F.size(gaps_) == 1, gaps_).otherwise(total)
 
 
+def postings_of(lists: Column) -> Column:
+    """(term, dl, gaps) of each term of a document, from the token lists of its rows: sorted within the document, so tokens are never rows of a table."""
+    places = F.flatten(F.transform(F.filter(lists, lambda ts: ts.isNotNull()), lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("term"), i.alias("pos"), F.size(ts).alias("dl")))))
+
+    def marked(s: Column) -> Column:
+        """Whether a place is its term's first, and its distance from the one before."""
+        same = lambda x, i: F.get(s, i - 1)["term"].eqNullSafe(x["term"])
+        return F.transform(s, lambda x, i: F.struct(x["term"].alias("term"), x["dl"].alias("dl"), F.when(~same(x, i), i).alias("first"), F.when(same(x, i), x["pos"] - F.get(s, i - 1)["pos"]).otherwise(x["pos"]).alias("gap")))
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(s["first"], lambda i: i.isNotNull())
+        one = lambda at, b, j: F.struct(F.get(s, b)["term"].alias("term"), F.get(s, b)["dl"].alias("dl"), F.slice(s, b + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - b)["gap"].alias("gaps"))
+        return once(starts, lambda at: F.transform(at, lambda b, j: one(at, b, j)))
+
+    return once(once(F.sort_array(places), marked), cut)
+
+
 def tf_part(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
@@ -72,20 +90,19 @@ def write_index(docs: DataFrame, key: str, fields: Mapping[str, Column], stored:
     """Null texts have no tokens. Rows that share a key are one document with the tokens of all."""
     spark = docs.sparkSession
     _save(docs.select(key, *stored).repartition(shards, key), f"{name}_rows", f"{path}/rows", key, shards, key)
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), tokens(c).alias("ts")) for n, c in fields.items()))).alias("f")
-    texts = docs.repartition(shards, key).select(key, each)  # texts travel once, to where their postings stay
-    flat = texts.select(key, "f.field", F.size("f.ts").alias("dl"), F.posexplode("f.ts").alias("pos", "term"))
-    at = flat.groupBy(key, "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("at"), F.first("dl").alias("dl"))
-    _save(at.select(key, "field", "term", F.size("at").alias("tf"), "dl", gaps(F.col("at")).alias("gaps")), f"{name}_postings", f"{path}/postings", key, shards, "field", "term")
+    rows = docs.select(key, F.struct(*(c.alias(n) for n, c in fields.items())).alias("of")).repartition(shards, key)  # texts travel once, to where their postings stay
+    whole = rows.groupBy(key).agg(F.collect_list("of").alias("of"))
+    each = whole.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("field"), postings_of(F.transform(f"of.{n}", tokens)).alias("p")) for n in fields))).alias("f"))
+    flat = each.select(key, "f.field", F.explode("f.p").alias("p")).select(key, "field", "p.term", F.size("p.gaps").alias("tf"), "p.dl", "p.gaps")
+    _save(flat, f"{name}_postings", f"{path}/postings", key, shards, "field", "term")
     return _finish(spark, name, path, key)
 
 
 def write_stemmed(plain: Index, name: str, path: str, shards: int) -> Index:
     """The index of English stems. Positions and lengths stay those of the words."""
     spark, key = plain.postings.sparkSession, plain.key
-    stems(plain.terms).write.mode("overwrite").parquet(f"{path}/stems")
-    stem = spark.read.parquet(f"{path}/stems")  # the planner broadcasts it if its files are small
-    at = plain.postings.join(stem, "term").groupBy(key, "field", F.col("stem").alias("term")).agg(F.sort_array(F.flatten(F.collect_list(positions(F.col("gaps"))))).alias("at"), F.first("dl").alias("dl"))
+    stem = plain.postings.withColumn("term", stem_of("term")).repartition(shards, key)  # the dictionary may be too large to send everywhere
+    at = stem.groupBy(key, "field", "term").agg(F.sort_array(F.flatten(F.collect_list(positions(F.col("gaps"))))).alias("at"), F.first("dl").alias("dl"))
     _save(at.select(key, "field", "term", F.size("at").alias("tf"), "dl", gaps(F.col("at")).alias("gaps")), f"{name}_postings", f"{path}/postings", key, shards, "field", "term")
     _save(plain.rows, f"{name}_rows", f"{path}/rows", key, shards, key)
     return _finish(spark, name, path, key)
