@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -50,6 +50,7 @@ class SuffixEncoder:
     """Pieces are numbered by rank here: single characters first, then in the order in which the model merges them."""
 
     MOST = 300_000  # chunks that a worker remembers
+    known: Callable[[str], list[int] | None] = staticmethod(lambda part: None)
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -130,7 +131,7 @@ class SuffixEncoder:
         start = order[np.arange(count.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count)]
         ranks = np.repeat(self.sorted, count)
         length = self.lengths[ranks]
-        by = np.lexsort((-length, start + length))
+        by = np.argsort((start + length) * (self.depth + 1) - length, kind="stable")
         return start[by], (start + length)[by], ranks[by]
 
     def _slice(self, chunks: list[str]) -> list[list[int]]:
@@ -140,8 +141,8 @@ class SuffixEncoder:
         start, end, rank = self.edges(codes)
         # relax: step p settles the p-th position of every chunk; -1: nothing, or bytes, before
         label, back = np.full(len(codes) + 1, -1), np.arange(-1, len(codes))
-        step = end - base[np.searchsorted(base, end - 1, "right") - 1]
-        by = np.argsort(step, kind="stable")
+        step = end - np.repeat(base, size + 1)[end - 1]
+        by = np.argsort(step.astype(np.uint16) if size.max(initial=0) < 1 << 16 else step, kind="stable")  # short numbers sort by digits
         start, end, rank = start[by], end[by], rank[by]
         cuts = np.searchsorted(step[by], np.arange(1, int(size.max(initial=0)) + 2))
         for a, b in zip(cuts, cuts[1:]):
@@ -152,18 +153,22 @@ class SuffixEncoder:
             ok = np.flatnonzero(fits)
             ends, first = np.unique(end[a:b][ok], return_index=True)  # the longest of each end
             label[ends], back[ends] = rank[a:b][ok[first]], start[a:b][ok[first]]
-        out: list[list[int]] = []
-        label, back, text = label.tolist(), back.tolist(), codes.tolist()
-        ids = self.id.tolist()
-        for at, n in zip(base.tolist(), size.tolist()):
-            p, parts = at + n, []
-            while p > at:
-                if label[p] >= 0:
-                    parts.append(ids[label[p]])
-                else:
-                    parts += [self.byte[b] for b in reversed(chr(text[p - 1]).encode("utf-8", "replace"))]
-                p = back[p]
-            out.append(parts[::-1])
+        # all chunks from their ends back at once; several ids of one character are bytes
+        at, p, turns = np.arange(len(chunks)), base + size, []
+        while len(at):
+            go = p > base[at]
+            at, p = at[go], p[go]
+            turns.append((at, p))
+            p = back[p]
+        at, p = np.concatenate([x for x, _ in turns]), np.concatenate([x for _, x in turns])
+        order = np.lexsort((p, at))
+        at, p = at[order], p[order]
+        ids, some = self.id[label[p]].tolist(), np.flatnonzero(label[p] < 0)
+        ends = np.cumsum(np.bincount(at, minlength=len(chunks))).tolist()
+        out = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        for k in np.unique(at[some]).tolist():
+            a, b = ends[k - 1] if k else 0, ends[k]
+            out[k] = [i for x, q in zip(label[p[a:b]].tolist(), p[a:b].tolist()) for i in ((self.id.item(x),) if x >= 0 else (self.byte[c] for c in chr(codes.item(q - 1)).encode("utf-8", "replace")))]
         return out
 
     def learn(self, chunks: list[str]) -> dict[str, list[int]]:
@@ -185,12 +190,26 @@ class SuffixEncoder:
         """For ChunkEncoder: a mark alone stands for an empty text."""
         lists = [self.chunks(c.removeprefix(WHOLE)) if c.startswith(WHOLE) else [] if c == MARK else [c] for c in chunks]
         cut = [[p for c in x for p in self.cut.split(c)] for x in lists]
-        parts = self.learn(sorted({p for x in cut for p in x}))
+        parts, new = {}, []
+        for p in sorted({p for x in cut for p in x}):
+            k = self.known(p)
+            if k is None:
+                new.append(p)
+            else:
+                parts[p] = k
+        parts |= self.learn(new)
         return in_turn(chunks, [[i for p in x for i in parts[p]] for x in cut])
 
     def chunk_encoder(self) -> ChunkEncoder:
         out = ChunkEncoder(self.encode_chunks, MARK, MARK, rf"  |\A | \n?\z|{MARK}|\x00")
         out.MOST = self.MOST
+
+        def known(part: str) -> list[int] | None:
+            """The ids of a part that the worker remembers as a chunk; a mark alone and names with zeros are no such chunks."""
+            k = out.index.get(part[1:]) if part[0] == MARK and len(part) > 1 and part[1] != "\0" else None
+            return None if k is None else out.ids[out.ends[k] : out.ends[k + 1]].tolist()
+
+        self.known = known
         return out
 
     def decode(self, ids: list[int]) -> str:
