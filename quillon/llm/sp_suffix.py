@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct chunks of a batch (runs that begin with word marks; no piece crosses one) are concatenated and indexed by a suffix
-array, in slices of about SLICE characters. Every piece of the vocabulary is binary-searched for its range of occurrences; these
-are edges between text positions. Sorted by end position they are relaxed from left to right, in all chunks at once: a
+Texts are cut wherever two characters meet that stand side by side in no piece: no piece crosses such a place, so the parts are
+encoded apart. The distinct parts of a batch that a worker doesn't know yet are concatenated and indexed by a suffix array, in
+slices of about SLICE characters. Every piece of the vocabulary is binary-searched for its range of occurrences; these
+are edges between text positions. Sorted by end position they are relaxed from left to right, in all parts at once: a
 position's label is the last piece of the encoding of the text before it, and an edge may extend a label when the two pieces stay
 apart under the model's merge order. For a BPE model that label is unique, so the path to the last position is the model's own
 encoding. Characters outside the vocabulary become byte pieces. Null texts are empty; a row without doc_id keeps none. Texts hold
@@ -10,9 +11,8 @@ no mark of their own: a literal mark encodes like a space, as in the library. A
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 
 from .storage import materialize, named, nameless, small_batches
 from .textbatch import text_slices
-from .tokens import WHOLE, ChunkEncoder, Coded, in_turn
 
 MARK = "▁"
 SLICE = 400_000  # characters that are indexed at once
@@ -49,9 +48,6 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 class SuffixEncoder:
     """Pieces are numbered by rank here: single characters first, then in the order in which the model merges them."""
 
-    MOST = 300_000  # chunks that a worker remembers
-    known: Callable[[str], list[int] | None] = staticmethod(lambda part: None)
-
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -82,11 +78,15 @@ class SuffixEncoder:
         self.sorted = np.array(by)  # in the order of their code points
         self.low, self.high = (np.array([pieces[k] + x for k in by], f"<U{self.depth + 1}") for x in ("", "\U0010ffff"))
         self.plain = pa.array([chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else t.replace(MARK, " ") for i, t in enumerate(self.text)])
-        # marks that follow a letter in no piece: the text before and after them is encoded apart
-        inner = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
-        letters = "A-Za-zÀ-ÖØ-öø-ÿ"
-        ends = "".join(c for c in ".,;:!?#$%&*|\"()" if not any(b[1] == c and re.match(f"[{letters}]", b[0]) for b in inner))
-        self.cut = re.compile(f"(?<=[{letters}])(?=[{re.escape(ends)}])") if ends else re.compile("(?!)")
+        # characters that stand beside others in pieces, by code point (0: any other), and which of them meet there
+        inner = sorted({p[k : k + 2] for p in pieces for k in range(len(p) - 1)})
+        beside = sorted({ord(c) for x in inner for c in x})
+        kind = {c: k for k, c in enumerate(beside, 1)}
+        self.kind = np.zeros(max(beside, default=0) + 2, np.int32)
+        self.kind[beside] = np.arange(1, len(beside) + 1)
+        self.meet = np.zeros((len(beside) + 1, len(beside) + 1), bool)
+        for x, y in inner:
+            self.meet[kind[ord(x)], kind[ord(y)]] = True
 
     def _last_merge(self, text: str) -> tuple[int, int] | None:
         """The two pieces that the model joins last in a piece's text; None where it doesn't end as this piece."""
@@ -121,20 +121,21 @@ class SuffixEncoder:
         return out
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, rank) of every occurrence of every piece, by end and then longest first."""
+        """(start, end, rank) of every occurrence of every piece."""
         order = suffix_array(codes, self.depth)
         padded = np.concatenate((codes, np.zeros(self.depth + 1, np.uint32)))
         # a slice's suffixes, each cut behind the longest piece, in order
         keys = np.lib.stride_tricks.sliding_window_view(padded, self.depth + 1)[order].view(f"<U{self.depth + 1}").ravel()
-        low, high = np.searchsorted(keys, self.low), np.searchsorted(keys, self.high)
-        count = high - low
+        low = np.searchsorted(keys, self.low)
+        there = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] < self.high)
+        there = there[low[there] < len(keys)]
+        low = low[there]
+        count = np.searchsorted(keys, self.high[there]) - low
         start = order[np.arange(count.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count)]
-        ranks = np.repeat(self.sorted, count)
-        length = self.lengths[ranks]
-        by = np.argsort((start + length) * (self.depth + 1) - length, kind="stable")
-        return start[by], (start + length)[by], ranks[by]
+        ranks = np.repeat(self.sorted[there], count)
+        return start, start + self.lengths[ranks], ranks
 
-    def _slice(self, chunks: list[str]) -> list[list[int]]:
+    def _slice(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
         size = np.array([len(c) for c in chunks])
         base = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
@@ -142,17 +143,18 @@ class SuffixEncoder:
         # relax: step p settles the p-th position of every chunk; -1: nothing, or bytes, before
         label, back = np.full(len(codes) + 1, -1), np.arange(-1, len(codes))
         step = end - np.repeat(base, size + 1)[end - 1]
-        by = np.argsort(step.astype(np.uint16) if size.max(initial=0) < 1 << 16 else step, kind="stable")  # short numbers sort by digits
+        longest = int(size.max(initial=0))
+        by = step * (self.depth + 1) + end - start
+        by = np.argsort(by.astype(np.uint16) if (longest + 1) * (self.depth + 1) < 1 << 16 else by, kind="stable")  # short numbers sort by digits
         start, end, rank = start[by], end[by], rank[by]
-        cuts = np.searchsorted(step[by], np.arange(1, int(size.max(initial=0)) + 2))
+        cuts = np.cumsum(np.bincount(step, minlength=longest + 1)).tolist()
         for a, b in zip(cuts, cuts[1:]):
             before = label[start[a:b]]
             fits = before < 0
             ask = np.flatnonzero(~fits)
             fits[ask] = self.stay(before[ask], rank[a:b][ask])
             ok = np.flatnonzero(fits)
-            ends, first = np.unique(end[a:b][ok], return_index=True)  # the longest of each end
-            label[ends], back[ends] = rank[a:b][ok[first]], start[a:b][ok[first]]
+            label[end[a:b][ok]], back[end[a:b][ok]] = rank[a:b][ok], start[a:b][ok]  # the last and longest of each end stays
         # all chunks from their ends back at once; several ids of one character are bytes
         at, p, turns = np.arange(len(chunks)), base + size, []
         while len(at):
@@ -161,56 +163,39 @@ class SuffixEncoder:
             turns.append((at, p))
             p = back[p]
         at, p = np.concatenate([x for x, _ in turns]), np.concatenate([x for _, x in turns])
-        order = np.lexsort((p, at))
+        order = np.argsort(p)  # chunks lie one behind the other
         at, p = at[order], p[order]
-        ids, some = self.id[label[p]].tolist(), np.flatnonzero(label[p] < 0)
-        ends = np.cumsum(np.bincount(at, minlength=len(chunks))).tolist()
-        out = [ids[a:b] for a, b in zip([0, *ends], ends)]
-        for k in np.unique(at[some]).tolist():
-            a, b = ends[k - 1] if k else 0, ends[k]
-            out[k] = [i for x, q in zip(label[p[a:b]].tolist(), p[a:b].tolist()) for i in ((self.id.item(x),) if x >= 0 else (self.byte[c] for c in chr(codes.item(q - 1)).encode("utf-8", "replace")))]
-        return out
-
-    def learn(self, chunks: list[str]) -> dict[str, list[int]]:
-        """The ids of distinct chunks, in slices."""
-        out, held, n = {}, [], 0
+        some = np.flatnonzero(label[p] < 0)
+        spelled = [[self.byte[c] for c in chr(k).encode("utf-8", "replace")] for k in codes[p[some] - 1].tolist()]
+        count = np.ones(len(p), np.int64)
+        count[some] = [len(x) for x in spelled]
+        ends = np.cumsum(count)
+        ids = np.repeat(self.id[label[p]], count)
+        for k, x in zip(some.tolist(), spelled):
+            ids[ends[k] - len(x) : ends[k]] = x
+        return ids, np.bincount(at, count, len(chunks)).astype(np.int64)
+
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks and how many each has, in slices."""
+        out, held, n = [], [], 0
         for k, c in enumerate(chunks):
             held.append(c)
             n += len(c) + 1
             if n >= SLICE or k == len(chunks) - 1:
-                out |= zip(held, self._slice(held), strict=True)
+                out.append(self._slice(held))
                 held, n = [], 0
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+    def starts(self, text: str) -> np.ndarray:
+        """Where a text's characters begin a part: the first, and each that stands behind the one before it in no piece."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = self.kind[np.minimum(codes, len(self.kind) - 1)]
+        out = np.ones(len(codes), bool)
+        out[1:] = ~self.meet.ravel()[kind[:-1] * len(self.meet) + kind[1:]]
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        """Runs of marks with the characters that follow, of a text with the leading mark that the model adds."""
-        return re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK)) if text else []
-
-    def encode_chunks(self, chunks: list[str]) -> Coded:
-        """For ChunkEncoder: a mark alone stands for an empty text."""
-        lists = [self.chunks(c.removeprefix(WHOLE)) if c.startswith(WHOLE) else [] if c == MARK else [c] for c in chunks]
-        cut = [[p for c in x for p in self.cut.split(c)] for x in lists]
-        parts, new = {}, []
-        for p in sorted({p for x in cut for p in x}):
-            k = self.known(p)
-            if k is None:
-                new.append(p)
-            else:
-                parts[p] = k
-        parts |= self.learn(new)
-        return in_turn(chunks, [[i for p in x for i in parts[p]] for x in cut])
-
-    def chunk_encoder(self) -> ChunkEncoder:
-        out = ChunkEncoder(self.encode_chunks, MARK, MARK, rf"  |\A | \n?\z|{MARK}|\x00")
-        out.MOST = self.MOST
-
-        def known(part: str) -> list[int] | None:
-            """The ids of a part that the worker remembers as a chunk; a mark alone and names with zeros are no such chunks."""
-            k = out.index.get(part[1:]) if part[0] == MARK and len(part) > 1 and part[1] != "\0" else None
-            return None if k is None else out.ids[out.ends[k] : out.ends[k + 1]].tolist()
-
-        self.known = known
-        return out
+    def chunk_encoder(self) -> PartEncoder:
+        return PartEncoder(self)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids of which some are bytes."""
@@ -238,8 +223,70 @@ class SuffixEncoder:
         return out
 
 
+class PartEncoder:
+    """Texts from the ids of their parts. index: known parts, a space for each mark, with their rows; seen: in how many batches."""
+
+    MOST = 300_000  # parts that a worker remembers; beyond, the half that most batches had
+    LONGEST = 200  # characters of a part that it remembers
+
+    def __init__(self, own: SuffixEncoder):
+        self.own, self.index = own, {}
+        self.ids, self.ends, self.seen = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _rows(self, parts: list[str]) -> np.ndarray:
+        """Rows of distinct parts, new ones too."""
+        at = list(map(self.index.get, parts))
+        if None in at:
+            new = [p for p, x in zip(parts, at) if x is None]
+            ids, lengths = self.own.learn([p.replace(" ", MARK) for p in new])
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.ids = np.concatenate((self.ids, ids))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
+            self.seen = np.concatenate((self.seen, np.zeros(len(new), np.int64)))
+            at = list(map(self.index.get, parts))
+        out = np.array(at, np.int64)
+        self.seen[out] += 1
+        return out
+
+    def _forget(self) -> None:
+        """Keep the short parts that most batches had, half of MOST, in their order; what they were seen counts half from now on."""
+        parts = list(self.index)
+        by = np.lexsort((-np.arange(len(parts)), -self.seen))  # of parts in as many batches the later ones
+        short = np.fromiter(map(len, parts), np.int64, len(parts)) <= self.LONGEST
+        lengths = np.diff(self.ends)
+        kept = by[short[by]][: self.MOST // 2]
+        kept = np.sort(kept[np.cumsum(lengths[kept]) <= 4 * self.MOST])
+        there = np.zeros(len(parts), bool)
+        there[kept] = True
+        self.ids = self.ids[np.repeat(there, lengths)]
+        self.ends = np.concatenate(([0], np.cumsum(lengths[kept])))
+        self.seen = self.seen[kept] // 2
+        self.index = {parts[k]: i for i, k in enumerate(kept.tolist())}
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text's ids). Null is empty."""
+        joined = "".join([" " + t for t in texts if t]).replace(MARK, " ")  # the model puts a mark before a text
+        size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        begin = np.cumsum(size) - size
+        if not joined:
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        starts = self.own.starts(joined.replace(" ", MARK))
+        starts[begin[size > 0]] = True
+        first = np.flatnonzero(starts)
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        place = first if len(raw) == len(starts) else np.flatnonzero((raw & 0xC0) != 0x80)[first]  # characters begin with no byte 10xxxxxx
+        coded = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(np.append(place, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
+        at = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        lengths = self.ends[at + 1] - self.ends[at]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.ends[at] - ends[:-1], lengths)]
+        if len(self.index) > self.MOST or len(self.ids) > 8 * self.MOST:
+            self._forget()
+        return ids, ends[np.append(np.searchsorted(first, begin), len(first))]
+
+
 @cache
-def encoder(path: str) -> tuple[SuffixEncoder, ChunkEncoder]:
+def encoder(path: str) -> tuple[SuffixEncoder, PartEncoder]:
     e = SuffixEncoder(path)
     return e, e.chunk_encoder()
 
@@ -253,7 +300,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
         for pdf in batches:
             for some in text_slices(pdf, "text", 1_000_000):
                 ids, ends = chunks.encode(some["text"].tolist())
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "nameless": some["nameless"].to_numpy(), "ids": np.split(ids.astype(np.int32), ends[1:-1]) if len(some) else []})
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "nameless": some["nameless"].to_numpy(), "ids": np.split(ids, ends[1:-1]) if len(some) else []})
 
     return materialize(named(nameless(docs).mapInPandas(run, "doc_id long, nameless boolean, ids array<int>")), "pieces")
 
